@@ -1,11 +1,640 @@
-"""The registered queries of the reference's operators, and their SQL."""
+"""The registered queries: every operator on the driver's tables, with the SQL that says the same.
+
+Analogies: documents are entries, their source is the source, labels are assertions, pages are markup,
+conversations are lines of print, event properties are JSON payloads, parts are headwords and vocabulary,
+orders with their line items are entries with links, nations and regions are documents and sources.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import cells, citations, text
+from quire.operators import checks, facets, linking, marginal, markup, tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+NORM = "strip_accents(lower(coalesce(text, '')))"
+
+# ---- text -------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, sha256({NORM}) AS normalized_sha256, length({NORM})::INTEGER AS n_chars FROM documents")
+def normalize_text(spark, d):
+    n = text.normalize(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(n, 256).alias("normalized_sha256"), F.char_length(n).alias("n_chars"))
+
+
+@query(f"SELECT doc_id, sha256(text) AS raw_hash, sha256({NORM}) AS normalized_hash FROM documents")
+def dual_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.raw_hash(F.col("text")).alias("raw_hash"), text.normalized_hash(F.col("text")).alias("normalized_hash"))
+
+
+_TOKENS = r"""
+WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\p{L}\p{N}]*[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*') AS segs FROM documents),
+u AS (SELECT doc_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS i FROM s),
+t AS (SELECT doc_id, i, regexp_extract(seg, '[\p{L}\p{N}].*$', 0, 's') AS token, sum(length(seg)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM u)
+"""
+
+
+@query(_TOKENS + "SELECT doc_id, count(*) AS n_tokens, sum(stop - length(token))::BIGINT AS sum_start, sum(stop)::BIGINT AS sum_end, max(i)::INTEGER AS last_index FROM t GROUP BY doc_id")
+def tokenize_offsets(spark, d):
+    t = text.tokens(table(spark, d, "documents"), "doc_id", "text")
+    return t.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum("start_offset").alias("sum_start"), F.sum("end_offset").alias("sum_end"), (F.max("token_index") + 1).alias("last_index"))
+
+
+@query(_TOKENS + "SELECT strip_accents(lower(token)) AS token, count(*) AS n FROM t GROUP BY 1 ORDER BY n DESC, token LIMIT 50")
+def token_index_counts(spark, d):
+    words = table(spark, d, "documents").select(F.explode(text.token_texts(F.col("text"))).alias("t"))
+    return words.groupBy(text.normalize(F.col("t")).alias("token")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(50)
+
+
+@query(f"SELECT doc_id, source, left({NORM}, 512) AS prefix FROM documents WHERE starts_with(left({NORM}, 512), 'the th') ORDER BY source, doc_id LIMIT 100")
+def prefix_search(spark, d):
+    docs = facets.with_prefix(table(spark, d, "documents"), "text")
+    return facets.search(docs, " Thé  TH", ["source", "doc_id"]).select("doc_id", "source", "prefix")
+
+
+@query("SELECT doc_id, source FROM documents WHERE false")
+def short_query(spark, d):
+    docs = facets.with_prefix(table(spark, d, "documents"), "text")
+    return facets.search(docs, "th", ["source", "doc_id"]).select("doc_id", "source")
+
+
+@query("SELECT doc_id, source, lang, n_chars FROM documents ORDER BY source, doc_id LIMIT 50")
+def browse_first_page(spark, d):
+    return facets.search(table(spark, d, "documents"), None, ["source", "doc_id"]).select("doc_id", "source", "lang", "n_chars")
+
+
+@query("SELECT doc_id, source FROM documents WHERE (source, doc_id) > ('src1', 100) ORDER BY source, doc_id LIMIT 50")
+def next_page(spark, d):
+    return facets.page_after(table(spark, d, "documents"), ["source", "doc_id"], ("src1", 100)).select("doc_id", "source")
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id = 42")
+def entry_detail(spark, d):
+    return facets.lookup(table(spark, d, "documents"), "doc_id", 42)
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))::INTEGER AS n_words, sha256(array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda x: trim(x, ' ' || chr(9))), lambda x: x <> ''), '\n')) AS single_line_sha256, CASE WHEN length(text) > 180 THEN left(text, 177) || '...' ELSE text END AS clipped FROM documents")
+def text_cells(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.word_count(t).alias("n_words"), F.sha2(text.single_line(t), 256).alias("single_line_sha256"), text.clip(t, 180).alias("clipped"))
+
+
+@query(r"""
+WITH w AS (SELECT source, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS n, n_chars FROM documents),
+t AS (SELECT source, count(*) AS n_docs, sum(n)::BIGINT AS n_words, sum(n_chars)::BIGINT AS n_chars FROM w GROUP BY source)
+SELECT *, abs(n_words * 6.5 - n_chars) > 0.05 * n_chars AS alert FROM t""")
+def word_counts_by_source(spark, d):
+    rows = table(spark, d, "documents").select("source", text.word_count(F.col("text")).alias("n"), "n_chars")
+    out = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_words"), F.sum("n_chars").alias("n_chars"))
+    return out.withColumn("alert", F.abs(F.col("n_words") * 6.5 - F.col("n_chars")) > 0.05 * F.col("n_chars"))
+
+
+# ---- identities, mutations, order -------------------------------------------------------------
+
+
+@query("""
+WITH i AS (SELECT c_custkey, c_nationkey::VARCHAR || '.' || c_mktsegment AS ident FROM customer)
+SELECT c_custkey, CASE WHEN count(*) OVER (PARTITION BY ident) > 1 THEN ident || '~' || row_number() OVER (PARTITION BY ident ORDER BY c_custkey) ELSE ident END AS entry_id FROM i""")
+def dedupe_ids(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.col("c_nationkey").cast("string"), F.lit("."), "c_mktsegment").alias("ident"))
+    return cells.dedupe_ids(rows, "ident", ["c_custkey"]).select("c_custkey", "entry_id")
+
+
+@query(r"""
+WITH r AS (SELECT doc_id, CASE WHEN text IS NULL THEN 'null_contents' WHEN trim(text) = '' THEN 'blank_contents' WHEN len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) < 50 THEN 'too_short' END AS reason FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY doc_id) AS i FROM r WHERE reason IS NOT NULL)
+SELECT reason, count(*) AS n, string_agg(CASE WHEN i <= 3 THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS examples FROM n GROUP BY reason""")
+def skip_reasons(spark, d):
+    return checks.skip_counts(table(spark, d, "documents"), checks.skip_reason(F.col("text"), 50), "doc_id")
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS ln, min(l_suppkey) AS sk FROM lineitem GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, l_partkey) - 1 AS pos FROM f)
+SELECT l_orderkey, l_partkey::VARCHAR AS part_id, pos::INTEGER AS position, pos = 0 AS is_primary FROM p""")
+def link_explode_primary(spark, d):
+    seen = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    cell = F.array_join(F.transform(seen, lambda x: x["l_partkey"].cast("string")), ", ")
+    return tables.exploded_links(table(spark, d, "lineitem").groupBy("l_orderkey").agg(cell.alias("cell")), "l_orderkey", "cell", "part_id")
+
+
+@query("""
+WITH l AS (SELECT 'L' || lpad(p_partkey::VARCHAR, 6, '0') AS lemma_id, p_partkey, strip_accents(lower(p_name)) AS h FROM part)
+SELECT arg_min(lemma_id, p_partkey) AS canonical_lemma_id, h AS headword_normalized, string_agg(lemma_id, ',' ORDER BY p_partkey) AS member_lemma_ids, count(*)::INTEGER AS n_members FROM l GROUP BY h HAVING count(*) > 1""")
+def canonical_clusters(spark, d):
+    rows = table(spark, d, "part").select(F.concat(F.lit("L"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("lemma_id"), text.normalize(F.col("p_name")).alias("headword_normalized"))
+    return linking.clusters(rows)
+
+
+@query("""
+SELECT lower(p_name) AS headword, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, headword LIMIT 20""")
+def top_groups(spark, d):
+    rows = table(spark, d, "part").groupBy(F.lower("p_name").alias("headword")).agg(F.count("*").alias("n"))
+    return tables.top_groups(rows, "n", "headword", 20)
+
+
+def _halves(spark, d):
+    c = table(spark, d, "customer")
+    target = c.filter("c_custkey % 3 <> 0").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+    batch = c.filter("c_custkey % 2 = 0").select("c_custkey", F.upper("c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    again = c.filter("c_custkey % 10 = 0").select("c_custkey", F.lower("c_name").alias("c_name"), (F.col("c_acctbal") + 2).alias("c_acctbal"))
+    return target, batch.withColumn("seq", F.lit(1)).union(again.withColumn("seq", F.lit(2)))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN lower(c_name) WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name,
+       CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 2 WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
+       CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS c_nationkey
+FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0""")
+def upsert_merge(spark, d):
+    target, batch = _halves(spark, d)
+    return tables.upsert(target, batch, ["c_custkey"], [F.col("seq")])
+
+
+@query("""
+SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 10 AND c_custkey % 4 = 0 THEN false ELSE true END AS is_active,
+       CASE WHEN c_nationkey < 10 THEN 'run2' ELSE 'run1' END AS last_import_run_id
+FROM customer""")
+def deactivate_unseen(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    before = c.withColumns({"is_active": F.lit(True), "last_import_run_id": F.lit("run1")})
+    run = c.filter("c_nationkey < 10 and c_custkey % 4 <> 0")
+    return tables.deactivate_unseen(before, run, ["c_custkey", "c_nationkey"], "c_nationkey", "run2")
+
+
+@query(f"""
+SELECT doc_id, sha256({NORM}) AS stored_hash, sha256({NORM}) IS DISTINCT FROM CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 'old' ELSE sha256({NORM}) END AS changed FROM documents""")
+def backfill_distinct_from(spark, d):
+    now = text.normalized_hash(F.col("text"))
+    rows = table(spark, d, "documents").withColumn("stored_hash", F.when(F.col("doc_id") % 3 == 1, "old").when(F.col("doc_id") % 3 == 2, now))
+    return tables.backfill(rows, "stored_hash", now).select("doc_id", "stored_hash", "changed")
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey = 7 THEN 'final' ELSE c_mktsegment END AS status FROM customer""")
+def keyed_update(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("status"))
+    return tables.update_where(rows, F.col("c_custkey") == 7, {"status": F.lit(tables.checked("final", checks.GEN1_STATUS))})
+
+
+@query("""
+SELECT batch_id, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key
+FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 500 AS batch_id FROM orders) GROUP BY batch_id""")
+def load_batches(spark, d):
+    rows = tables.batches(table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], 500)
+    return rows.groupBy("batch_id").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+
+
+@query("""
+SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1""")
+def latest_version(spark, d):
+    return tables.latest(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id, coalesce(max(event_id), 0) + 1 AS next_version FROM events GROUP BY user_id")
+def next_version(spark, d):
+    return tables.next_version(table(spark, d, "events"), ["user_id"], "event_id")
+
+
+@query("""
+SELECT conv_id, turn, lag(turn) OVER w AS previous_turn, sha256(lag(text) OVER w) AS previous_sha256 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def prev_context(spark, d):
+    rows = tables.previous_in(table(spark, d, "conversations"), ["conv_id"], [F.col("turn")], ["turn", "text"])
+    return rows.select("conv_id", "turn", "previous_turn", F.sha2("previous_text", 256).alias("previous_sha256"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}][\p{L}\p{N}\p{Mn}]*') AS ts FROM conversations)
+SELECT conv_id, turn, array_to_string(ts[greatest(1, 8 - 3):8 + 3], ' ') AS around FROM t""")
+def token_context(spark, d):
+    ts = text.token_texts(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tables.context(ts, F.lit(7), F.lit(8), 3), " ").alias("around"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS child, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0),
+c AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT c.node, e.parent, c.depth + 1 FROM c JOIN e ON c.ancestor = e.child)
+SELECT node, ancestor, depth FROM c""")
+def recursive_closure(spark, d):
+    edges = table(spark, d, "part").filter("p_partkey > 0").select(F.col("p_partkey").alias("child"), F.floor(F.col("p_partkey") / 2).alias("parent"))
+    return tables.closure(edges, "child", "parent")
+
+
+# ---- linking ----------------------------------------------------------------------------------
+
+VOCABULARY = [("P1", "ring", "shape"), ("P2", "widget", "shape"), ("P3", "red", "colour"), ("P4", "small", "size"), ("P5", "large", "size"), ("P6", "blue", "colour"), ("P7", "ring", "jewel")]
+_VOCAB_SQL = "v(prep_id, form, domain, rule) AS (VALUES " + ", ".join(f"('{i}', '{w}', '{g}', {k})" for k, (i, w, g) in enumerate(VOCABULARY)) + ")"
+
+
+def _vocabulary(spark):
+    return spark.createDataFrame([(i, w, g, k) for k, (i, w, g) in enumerate(VOCABULARY)], "prep_id string, form string, domain string, rule int")
+
+
+def _part_words(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.posexplode(F.split(text.normalize(F.col("p_name")), " ")).alias("pos", "token"))
+
+
+_WORDS_SQL = "w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token, generate_subscripts(string_split(lower(p_name), ' '), 1) - 1 AS pos FROM part)"
+
+
+@query(f"""
+WITH {_VOCAB_SQL}, {_WORDS_SQL},
+f AS (SELECT form, arg_min(prep_id, rule) AS prep_id FROM v GROUP BY form),
+m AS (SELECT p_partkey, prep_id, min(pos) AS pos, arg_min(token, pos) AS token FROM w JOIN f ON token = form GROUP BY 1, 2)
+SELECT p_partkey, prep_id, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) = 1 AS is_primary, 'matched_in=p_name; token=' || token AS notes FROM m""")
+def vocab_link_first_match(spark, d):
+    rule = _vocabulary(spark).groupBy("form").agg(F.min_by("prep_id", "rule").alias("prep_id"))
+    hits = _part_words(spark, d).join(rule, F.col("token") == F.col("form")).groupBy("p_partkey", "prep_id").agg(F.min("pos").alias("pos"), F.min_by("token", "pos").alias("token"))
+    first = F.row_number().over(Window.partitionBy("p_partkey").orderBy("pos")) == 1
+    return hits.select("p_partkey", "prep_id", first.alias("is_primary"), F.concat(F.lit("matched_in=p_name; token="), "token").alias("notes"))
+
+
+@query(f"""
+WITH {_VOCAB_SQL}, {_WORDS_SQL}
+SELECT p_partkey, min(prep_id) AS part_id FROM w JOIN v ON token = form GROUP BY p_partkey HAVING count(DISTINCT prep_id) = 1""")
+def unique_part_assignment(spark, d):
+    hits = _part_words(spark, d).join(_vocabulary(spark), F.col("token") == F.col("form"))
+    return hits.groupBy("p_partkey").agg(F.min("prep_id").alias("part_id"), F.max("prep_id").alias("m")).filter("part_id = m").drop("m")
+
+
+@query(f"WITH {_VOCAB_SQL}, {_WORDS_SQL} SELECT token, count(*) AS n, min(p_partkey) AS example FROM w WHERE token NOT IN (SELECT form FROM v) GROUP BY token")
+def unmatched_terms(spark, d):
+    loose = _part_words(spark, d).join(_vocabulary(spark), F.col("token") == F.col("form"), "left_anti")
+    return loose.groupBy("token").agg(F.count("*").alias("n"), F.min("p_partkey").alias("example"))
+
+
+@query(f"""
+WITH {_VOCAB_SQL}, {_WORDS_SQL}, h AS (SELECT DISTINCT p_partkey, domain, form FROM w JOIN v ON token = form)
+SELECT p_partkey, domain, string_agg(form, ',' ORDER BY form) AS terms FROM h GROUP BY 1, 2""")
+def vocab_facets(spark, d):
+    vocabulary = _vocabulary(spark).withColumn("english", F.col("form"))
+    return linking.vocabulary_facets(table(spark, d, "part"), "p_partkey", "p_name", vocabulary)
+
+
+@query("""
+WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) WHEN p_partkey % 5 = 0 THEN p_name || ' x' ELSE p_name END AS name FROM part),
+c AS (SELECT CASE WHEN name IN (SELECT p_name FROM part) THEN 'exact' WHEN lower(trim(name)) IN (SELECT lower(p_name) FROM part) THEN 'variant' ELSE 'new' END AS match FROM n)
+SELECT match, count(*) AS n FROM c GROUP BY match""")
+def match_classes(spark, d):
+    p = table(spark, d, "part")
+    names = p.select(F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit(" x"))).otherwise(F.col("p_name")).alias("name"))
+    return linking.match_classes(names, p.select(F.col("p_name").alias("name"))).groupBy("match").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH f AS (SELECT DISTINCT p_name AS form_normalized, p_brand AS lemma_id FROM part)
+SELECT form_normalized, count(*) AS n_lemmata, CASE WHEN count(*) > 1 THEN 'needs_review' ELSE 'merged' END AS status FROM f GROUP BY 1""")
+def form_merge(spark, d):
+    return linking.form_merge(table(spark, d, "part").select(F.col("p_name").alias("form_normalized"), F.col("p_brand").alias("lemma_id")))
+
+
+# ---- facets -----------------------------------------------------------------------------------
+
+
+@query("""
+SELECT e.event_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey
+WHERE e.event_type = 'click' AND json_extract_string(e.props, '$.k') = '7' AND c.c_acctbal > 0""")
+def facet_quality(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("assertion_type"), F.col("props").alias("payload"), F.col("user_id").alias("tei_entry_id"), F.lit(False).alias("is_stale"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", (F.col("c_acctbal") > 0).alias("is_active"))
+    found = facets.facet(e, c.join(e.select("tei_entry_id").distinct(), F.col("id") == F.col("tei_entry_id"), "left_semi"), "click", {"k": "7"})
+    clicks = e.filter("assertion_type = 'click'").filter(F.get_json_object("payload", "$.k") == "7")
+    return clicks.join(found.select("id", "c_name").distinct(), F.col("tei_entry_id") == F.col("id")).select("event_id", "c_name")
+
+
+@query("""
+SELECT DISTINCT 'order~' || o.o_orderkey AS display_entry_id, p.p_brand AS form_normalized, p.p_name AS headword_normalized
+FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+WHERE starts_with(p.p_name, 'red wi') AND o.o_orderstatus = 'F'""")
+def facet_substance(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order~"), F.col("o_orderkey").cast("string")).alias("display_entry_id"), (F.col("o_orderstatus") == "F").alias("is_active"))
+    links = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tei_entry_id"), F.col("l_partkey").alias("lemma_form_id"))
+    parts = table(spark, d, "part")
+    forms = parts.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("form_normalized"), F.col("p_name").alias("lemma_id"))
+    heads = parts.select(F.col("p_name").alias("id"), F.col("p_name").alias("headword_normalized")).distinct()
+    return facets.facet_substance(orders, links, forms, heads, "Red wi")
+
+
+@query("""
+SELECT coalesce(d.source, '(all)') AS source, count(*) AS n, count(l.doc_id) AS n_labelled, count(*) FILTER (WHERE l.toxic = 1) AS n_stale
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY ROLLUP (d.source)""")
+def facet_counts(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").withColumnRenamed("doc_id", "l"), F.col("doc_id") == F.col("l"), "left")
+    return rows.rollup("source").agg(F.count("*").alias("n"), F.count("l").alias("n_labelled"), F.count_if(F.col("toxic") == 1).alias("n_stale")).withColumn("source", F.coalesce("source", F.lit("(all)")))
+
+
+@query("""
+SELECT c.c_custkey, count(DISTINCT o.o_orderkey) AS n_translations, coalesce(a.n, 0) AS n_assertions, coalesce(a.s, false) AS has_stale
+FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey
+LEFT JOIN (SELECT user_id, count(*) AS n, bool_or(event_type = 'error') AS s FROM events GROUP BY 1) a ON a.user_id = c.c_custkey
+GROUP BY c.c_custkey, a.n, a.s""")
+def badges(spark, d):
+    return facets.badges(
+        table(spark, d, "customer"),
+        table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"),
+        table(spark, d, "events").select(F.col("user_id").alias("c_custkey"), (F.col("event_type") == "error").alias("is_stale")),
+        "c_custkey",
+    )
+
+
+@query("""
+SELECT p.p_name AS lemma_id, count(DISTINCT p.p_partkey) AS n_forms, count(DISTINCT l.l_orderkey) AS n_entries
+FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey GROUP BY 1""")
+def lemma_counts(spark, d):
+    p = table(spark, d, "part").select(F.col("p_name").alias("lemma_id"), F.col("p_partkey").alias("form_id"))
+    links = table(spark, d, "lineitem").select(F.col("l_partkey").alias("form_id"), F.col("l_orderkey").alias("entry_id"))
+    return facets.lemma_counts(p.select("lemma_id").distinct(), p, links)
+
+
+@query("SELECT coalesce(event_type, '(all)') AS assertion_type, count(*) AS n, count(*) FILTER (WHERE value < 5) AS n_stale FROM events GROUP BY ROLLUP (event_type)")
+def assertion_totals(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("assertion_type"), (F.col("value") < 5).alias("is_stale"))
+    return facets.totals(e).withColumn("assertion_type", F.coalesce("assertion_type", F.lit("(all)")))
+
+
+@query("""
+SELECT c_custkey, c_nationkey FROM customer c WHERE c_nationkey IN (1, 2, 3)
+AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')
+AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""")
+def semi_has_link(spark, d):
+    c = table(spark, d, "customer").withColumn("source", F.col("c_nationkey").cast("string"))
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    out = facets.list_filter(c, ["1", "2", "3"], None, {"has": (o.filter("o_orderstatus = 'F'"), True), "not": (o.filter("o_orderpriority = '1-URGENT'"), False)}, "c_custkey")
+    return out.select("c_custkey", "c_nationkey")
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')")
+def text_contains(spark, d):
+    return facets.list_filter(table(spark, d, "documents"), active=None, key="doc_id", contains=("text", "LICENSE")).select("doc_id", "source")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS p FROM lineitem),
+s AS (SELECT a.e AS a, b.e AS b, count(*) AS n FROM l a JOIN l b ON a.p = b.p AND a.e <> b.e GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM s)
+SELECT a, b, n AS n_shared FROM r WHERE k <= 3""")
+def compare_shared(spark, d):
+    return facets.sharing(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 3)
+
+
+@query("""
+WITH x AS (SELECT DISTINCT p.p_name, s.s_nationkey FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey)
+SELECT p_name, count(*) AS n_sources FROM x GROUP BY 1 HAVING count(*) >= 2""")
+def shared_across_sources(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return rows.groupBy("p_name").agg(F.count_distinct("s_nationkey").alias("n_sources")).filter("n_sources >= 2")
+
+
+@query(r"""
+WITH a AS (SELECT item_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS x FROM benchmark),
+b AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS y FROM documents),
+p AS (SELECT doc_id, y, unnest(generate_series(1, len(y) - 5)) AS i FROM b WHERE len(y) > 5),
+t AS (SELECT item_id, doc_id, list_distinct(x) AS x, list_distinct(y[i:i + len(x) - 1]) AS y FROM a JOIN p ON array_to_string(x[1:6], ' ') = array_to_string(y[i:i + 5], ' ') WHERE len(x) > 5)
+SELECT item_id, doc_id, round(max(len(list_intersect(x, y)) / greatest(len(x) + len(y) - len(list_intersect(x, y)), 1)), 6) AS similarity FROM t GROUP BY 1, 2""")
+def passage_overlap(spark, d):
+    a = table(spark, d, "benchmark").select("item_id", facets.token_list(F.col("text")).alias("x")).filter(F.size("x") > 5)
+    b = table(spark, d, "documents").select("doc_id", facets.token_list(F.col("text")).alias("y"))
+    hits = facets.passages(a, "x", b, "y", 6, "doc_id")
+    return hits.groupBy("item_id", "doc_id").agg(F.round(F.max(facets.jaccard(F.col("x"), F.col("run"))), 6).alias("similarity"))
+
+
+@query("""
+SELECT t.name AS table_name, r.role, r.role IN ('authenticated', 'viewer', 'editor', 'service') AS can_read,
+       t.writer <> '' AND (r.role = 'service' OR r.role = t.writer) AS can_write
+FROM (VALUES ('translations', 'editor'), ('assertions', 'editor'), ('lemmata', 'editor'), ('lemma_forms', 'editor'), ('entry_lemma_forms', 'editor'), ('lemma_aliases', 'editor'), ('entry_alignments', 'editor'), ('entries', 'service'), ('tokens', 'service'), ('entry_refs', 'service'), ('import_runs', 'service'), ('sources', ''), ('docs', ''), ('quality_vocab', ''), ('parts_vocab', ''), ('process_vocab', '')) t(name, writer),
+     (VALUES ('anonymous'), ('authenticated'), ('viewer'), ('editor'), ('service')) r(role)""")
+def policy_matrix(spark, d):
+    roles = ("anonymous", "authenticated", "viewer", "editor", "service")
+    return spark.createDataFrame([(t, r, facets.may(t, r), facets.may(t, r, True)) for t in facets.POLICIES for r in roles], "table_name string, role string, can_read boolean, can_write boolean")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def secured_scan(spark, d):
+    seen = facets.secured(table(spark, d, "nation"), "docs", "viewer").filter("n_regionkey = 1")
+    hidden = facets.secured(table(spark, d, "nation"), "docs", None)
+    return seen.union(hidden).select("n_nationkey", "n_name")
+
+
+# ---- quality, provenance, comparison ----------------------------------------------------------
+
+
+@query("""
+SELECT 'lineitem.part' AS fk, count(*) AS n FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = l.l_partkey AND p.p_size > 5)
+UNION ALL SELECT 'orders.customer', count(*) FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey)
+UNION ALL SELECT 'labels.documents', count(*) FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.doc_id = l.doc_id)""")
+def fk_violations(spark, d):
+    found = [
+        ("lineitem.part", checks.orphans(table(spark, d, "lineitem"), "l_partkey", table(spark, d, "part").filter("p_size > 5"), "p_partkey")),
+        ("orders.customer", checks.orphans(table(spark, d, "orders"), "o_custkey", table(spark, d, "customer"), "c_custkey")),
+        ("labels.documents", checks.orphans(table(spark, d, "labels"), "doc_id", table(spark, d, "documents"), "doc_id")),
+    ]
+    out = None
+    for name, rows in found:
+        one = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("fk"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("""
+SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O')) AS bad_status, count(*) FILTER (WHERE o_totalprice < 1000) AS low_price,
+       round(100.0 * count(*) FILTER (WHERE o_orderpriority <> '5-LOW') / count(*), 1) AS coverage,
+       (SELECT count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)) AS n_repeated FROM orders""")
+def validation_metrics(spark, d):
+    o = table(spark, d, "orders")
+    one = o.agg(F.count("*").alias("n"), F.count_if(~F.col("o_orderstatus").isin("F", "O")).alias("bad_status"), F.count_if(F.col("o_totalprice") < 1000).alias("low_price"), checks.coverage(F.col("o_orderpriority") != "5-LOW").alias("coverage"))
+    return one.join(checks.duplicate_keys(o, "o_custkey").agg(F.count("*").alias("n_repeated")))
+
+
+@query("""
+WITH a AS (SELECT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b, x.l_returnflag AS t, x.l_orderkey * 100 + x.l_linenumber AS line_no, x.l_quantity AS confidence
+  FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1 AND x.l_partkey <> y.l_partkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b, t ORDER BY line_no DESC, confidence DESC) AS n FROM a)
+SELECT a, b, t AS alignment_type, confidence, line_no FROM r WHERE n = 1""")
+def align_last_wins(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_quantity")
+    y = x.select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("p"))
+    rows = x.join(y, (F.col("l_orderkey") == F.col("o")) & (F.col("l_linenumber") == F.col("n"))).filter("l_partkey <> p")
+    rows = rows.select(F.least("l_partkey", "p").alias("a"), F.greatest("l_partkey", "p").alias("b"), F.col("l_returnflag").alias("alignment_type"), F.col("l_quantity").alias("confidence"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"))
+    return tables.last_wins(rows, ["a", "b", "alignment_type"], [F.col("line_no"), F.col("confidence")])
+
+
+@query("""
+SELECT id, count(*) AS n FROM (SELECT l_partkey AS id FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem) GROUP BY id""")
+def alignment_endpoints(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit("x").alias("alignment_type"))
+    return facets.aligned(rows).groupBy(F.col("entry").alias("id")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT l_orderkey, l_linenumber,
+  CASE WHEN l_discount > 0.08 THEN 'confidence_range' END AS c1, CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'unknown_type' END AS c2, CASE WHEN l_partkey = l_suppkey THEN 'self_pair' END AS c3 FROM lineitem)
+SELECT concat_ws(',', c2, c3, c1) AS errors, count(*) AS n FROM e GROUP BY 1""")
+def alignment_errors(spark, d):
+    key = lambda c: F.concat(F.lit("x~"), F.col(c).cast("string"))
+    rows = table(spark, d, "lineitem").select(key("l_partkey").alias("source_a_entry_id"), key("l_suppkey").alias("source_b_entry_id"), F.col("l_returnflag").alias("alignment_type"), F.when(F.col("l_discount") > 0.08, 2.0).otherwise(0.5).alias("confidence"), F.lit("run").alias("source"))
+    return rows.groupBy(F.array_join(checks.alignment_errors(rows, ("A", "N")), ",").alias("errors")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH a AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_linenumber <> 2), b AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p FROM lineitem WHERE l_linenumber <> 5),
+k AS (SELECT DISTINCT l_orderkey AS id FROM lineitem),
+x AS (SELECT id, count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a) GROUP BY id), y AS (SELECT id, count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b) GROUP BY id)
+SELECT k.id, coalesce(x.n, 0)::INTEGER AS terms_added, coalesce(y.n, 0)::INTEGER AS terms_removed, coalesce(x.n, 0) + coalesce(y.n, 0) > 0 AS changed FROM k LEFT JOIN x ON k.id = x.id LEFT JOIN y ON k.id = y.id""")
+def run_diff(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_partkey", "l_linenumber")
+    side = lambda n: li.groupBy("id").agg(F.collect_set(F.when(F.col("l_linenumber") != n, F.col("l_partkey"))).alias("terms"))
+    return checks.run_diff(side(2), side(5), li.select("id").distinct(), "id", ["terms"])
+
+
+@query(f"""
+SELECT doc_id, sha256({NORM}) <> CASE WHEN doc_id % 5 = 0 THEN sha256('x' || {NORM}) ELSE sha256({NORM}) END AS is_stale FROM documents""")
+def stale_assertions(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", text.normalized_hash(F.col("text")).alias("now"))
+    marks = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat(F.lit("x"), text.normalize(F.col("text"))), 256)).otherwise(F.col("now")).alias("then"))
+    return checks.stale(marks, docs, "doc_id", "doc_id", "then", "now").select("doc_id", "is_stale")
+
+
+@query("""
+WITH q AS (SELECT doc_id, text, substr(text, 11, 20) AS quote, CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 3 END AS st FROM documents WHERE length(text) >= 40),
+i AS (SELECT *, instr(text, quote) AS p FROM q)
+SELECT doc_id, CASE WHEN substr(text, st + 1, 20) = quote THEN 'stable' WHEN p > 0 AND instr(substr(text, p + 1), quote) = 0 THEN 'reanchored' ELSE 'needs_review' END AS outcome,
+  CASE WHEN substr(text, st + 1, 20) = quote THEN st WHEN p > 0 AND instr(substr(text, p + 1), quote) = 0 THEN p - 1 END::INTEGER AS start_offset FROM i""")
+def reanchor(spark, d):
+    q = table(spark, d, "documents").filter(F.char_length("text") >= 40).withColumn("quote", F.substring("text", 11, 20)).withColumn("st", F.when(F.col("doc_id") % 2 == 0, 10).otherwise(3))
+    return q.select("doc_id", checks.reanchor(F.col("quote"), F.col("st"), F.col("text")).alias("r")).select("doc_id", "r.outcome", F.col("r.start").alias("start_offset"))
+
+
+@query("""
+WITH f AS (SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT min(doc_id) AS a FROM f WHERE quality = 0), e AS (SELECT min(doc_id) AS b FROM f WHERE toxic = 1 AND doc_id <> (SELECT a FROM c)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM f WHERE doc_id NOT IN ((SELECT a FROM c), (SELECT b FROM e))),
+s AS (SELECT doc_id FROM r WHERE i % greatest(1, n // 18) = 0 ORDER BY doc_id LIMIT 18)
+SELECT a AS doc_id FROM c UNION ALL SELECT b FROM e UNION ALL SELECT doc_id FROM s""")
+def deterministic_sample(spark, d):
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    return checks.covering_sample(rows, "doc_id", [F.coalesce(F.col("quality") == 0, F.lit(False)), F.coalesce(F.col("toxic") == 1, F.lit(False))], 20)
+
+
+@query()
+def hash_sample(spark, d):
+    return checks.hash_sample(table(spark, d, "documents").select("doc_id", "source"), "doc_id", 10, 42)
+
+
+# ---- references, markup, lines of print -------------------------------------------------------
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_orderkey::VARCHAR || '.' || l_linenumber || CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN ':' || l_partkey WHEN 2 THEN ':' || l_partkey || '.' || l_suppkey ELSE '.' || l_partkey || '.8.' || l_suppkey END AS ref FROM lineitem)
+SELECT ref, split_part(ref, '.', 1) AS book, CASE WHEN contains(ref, ':') THEN split_part(split_part(ref, ':', 1), '.', 2) ELSE split_part(ref, '.', 2) END AS chapter,
+  CASE WHEN contains(ref, ':') THEN split_part(split_part(ref, ':', 2), '.', 1) ELSE split_part(ref, '.', 3) END AS section,
+  CASE WHEN contains(ref, ':') THEN '' ELSE split_part(ref, '.', 4) END AS subsection, CASE WHEN contains(ref, ':') THEN split_part(split_part(ref, ':', 2), '.', 2) ELSE split_part(ref, '.', 5) END AS line FROM r""")
+def parse_reference(spark, d):
+    kind = F.col("l_linenumber") % 4
+    tail = F.when(kind == 0, "").when(kind == 1, F.concat(F.lit(":"), F.col("l_partkey").cast("string"))).when(kind == 2, F.concat(F.lit(":"), F.concat_ws(".", "l_partkey", "l_suppkey"))).otherwise(F.concat(F.lit("."), F.concat_ws(".", "l_partkey", F.lit("8"), "l_suppkey")))
+    rows = table(spark, d, "lineitem").select(F.concat(F.concat_ws(".", "l_orderkey", "l_linenumber"), tail).alias("ref"))
+    return rows.select("ref", *(c.alias(n) for n, c in citations.split_reference(F.col("ref")).items()))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey::VARCHAR END AS s, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey::VARCHAR || '.' || l_linenumber END AS e, l_orderkey || '.' || l_linenumber AS st FROM lineitem)
+SELECT l_orderkey, l_linenumber, st || ' (Kühn' || coalesce(' ' || CASE WHEN s IS NULL THEN e WHEN e IS NULL THEN s ELSE s || '–' || e END, '') || ')' AS citation FROM p""")
+def format_citation(spark, d):
+    n = F.col("l_linenumber")
+    path = F.array(F.struct(F.col("l_orderkey").cast("string").alias("n"), F.lit(None).cast("string").alias("head")), F.struct(F.lit("").alias("n"), n.cast("string").alias("head")))
+    edition = citations.edition_ref(F.lit("Kühn"), F.when(n % 3 > 0, F.col("l_partkey").cast("string")), F.lit(None).cast("string"), F.when(n % 2 == 0, F.col("l_suppkey").cast("string")), F.when(n % 2 == 0, n.cast("string")))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", citations.combined_ref(citations.structure_ref(path), edition).alias("citation"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, string_agg('1.' || conv_id || ':1.' || (turn // 3) || '.' || (turn % 3 + 1) || chr(10) || regexp_replace(text, '\s+', ' ', 'g'), chr(10) ORDER BY turn) AS s FROM conversations WHERE turn >= 0 GROUP BY conv_id),
+g AS (SELECT conv_id, turn // 3 AS u, string_agg(regexp_replace(text, '\s+', ' ', 'g'), ' ' ORDER BY turn) AS body FROM conversations GROUP BY 1, 2)
+SELECT conv_id AS doc_id, '1.' || conv_id || ':1.' || u || '.1' AS reference, sha256(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS contents_sha256 FROM g""")
+def marginal_units(spark, d):
+    c = table(spark, d, "conversations")
+    ref = F.concat(F.lit("1."), F.col("conv_id").cast("string"), F.lit(":1."), F.floor(F.col("turn") / 3).cast("string"), F.lit("."), (F.col("turn") % 3 + 1).cast("string"))
+    page = F.concat(ref, F.lit("\n"), F.regexp_replace("text", r"\s+", " "))
+    docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", page.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
+    return marginal.cut_units(docs, "conv_id", compat=True).groupBy("doc_id", "reference").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part_no", F.when(F.col("part_no") == 0, F.col("contents")).otherwise(F.concat(F.lit("– "), "contents")).alias("c")))), lambda x: x["c"]), " ").alias("t")).select("doc_id", "reference", F.sha2("t", 256).alias("contents_sha256"))
+
+
+@query()
+def marginal_entries(spark, d):
+    c = table(spark, d, "conversations")
+    line = F.concat((F.col("conv_id") + 1).cast("string"), F.lit("."), F.col("turn").cast("string"), F.lit("\n"), "text")
+    docs = c.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
+    return marginal.cut_lines(docs, "conv_id").withColumnRenamed("doc_id", "conv_id")
+
+
+@query()
+def reading_text_html(spark, d):
+    t = markup.html_text(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.char_length(t).alias("n_chars"), F.sha2(t, 256).alias("text_sha256"))
+
+
+@query(r"""
+SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', ''), '<', ''), '>', ''), '[\x00-\x08\x0B-\x1F]', '', 'g') AS raw,
+  sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(text, '&', ''), '<', ''), '>', ''), '[\x00-\x08\x0B-\x1F]', '', 'g'), '\s+', ' ', 'g'))) AS reading_sha256
+FROM documents""".replace("raw,", "raw,"))
+def tei_segments(spark, d):
+    clean = F.regexp_replace(F.translate("text", "&<>", ""), "[\\x00-\\x08\\x0B-\\x1F]", "")
+    xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div n="1"><div n="2" xml:id="s'), F.col("doc_id").cast("string"), F.lit('"><pb n="1"/>'), clean, F.lit("<note>left out</note></div></div></body></text></TEI>"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tei_doc_id"), F.encode(xml, "UTF-8").alias("content"), clean.alias("raw"))
+    found = markup.segments(rows).filter("reading_text is not null").select("tei_doc_id", F.sha2("reading_text", 256).alias("reading_sha256"))
+    return rows.join(found, "tei_doc_id").select(F.col("tei_doc_id").cast("long").alias("doc_id"), "raw", "reading_sha256")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE floor(p_retailprice)::BIGINT::VARCHAR END AS price_text, TRY_CAST(CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE p_size::VARCHAR || '.7' END AS DOUBLE)::DECIMAL(18, 1)::DOUBLE AS n0,
+  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS size_int, CASE p_type WHEN 'ECONOMY' THEN 'vegetable' ELSE '' END AS category, p_partkey AS id_number, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS display, p_partkey % 5 = 0 AS is_null
+FROM part""".replace("TRY_CAST(CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE p_size::VARCHAR || '.7' END AS DOUBLE)::DECIMAL(18, 1)::DOUBLE AS n0,\n ", ""))
+def typed_coercions(spark, d):
+    p = table(spark, d, "part")
+    k = F.col("p_partkey")
+    price = cells.to_intish(F.when(k % 7 == 0, F.lit(float("nan"))).otherwise(F.floor("p_retailprice").cast("double")))
+    cell = F.when(k % 4 == 0, "x").otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".7 ")))
+    kind = F.when(F.col("p_type") == "ECONOMY", " Plant").otherwise(F.col("p_type"))
+    null = F.when(k % 10 == 0, " NULL ").when(k % 5 == 0, "(null)").otherwise("root")
+    return p.select("p_partkey", price.alias("price_text"), cells.to_int(cell).alias("size_int"), cells.category(kind).alias("category"), cells.id_number(F.concat(F.lit("L"), F.lpad(k.cast("string"), 7, "0"))).alias("id_number"), cells.display(F.when(k % 2 == 0, F.col("p_name")).otherwise(""), F.col("p_brand")).alias("display"), cells.is_nullish(null).alias("is_null"))
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT count(*) AS n, count(DISTINCT k) AS n_keys, sum(CASE WHEN s = 'a' THEN 1 ELSE 0 END)::BIGINT AS n_a FROM (SELECT c_custkey AS k, 'a' AS s FROM customer UNION ALL SELECT s_suppkey, 'b' FROM supplier)")
+def union_sheets(spark, d):
+    sheets = {"a": table(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_name"), "b": table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))}
+    return tables.union_sheets(sheets).agg(F.count("*").alias("n"), F.count_distinct("k").alias("n_keys"), F.count_if(F.col("sheet") == "a").alias("n_a"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+def load_counts(spark, d):
+    out = None
+    for name in ("customer", "orders", "part"):
+        one = table(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = one if out is None else out.union(one)
+    return out
