@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,8 +159,6 @@ def diff_totals(diff: DataFrame) -> DataFrame:
 
 def unified_diff(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """(key, diff): the unified diff of two texts, for rows where they differ."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(k: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         import difflib

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.tables import upsert
+from quire.operators.tables import last_wins
 
 
 def read(spark: SparkSession, path: str, like: DataFrame, files: int = 1) -> DataFrame:
@@ -22,7 +22,8 @@ def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes"
 
 
 def upserting(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink: merges each batch into a table of versions, the last row of a key wins. A batch
+    """A ``foreachBatch`` sink: merges each batch into a table of versions; of a key the row
+    that is last by ``order`` stays, whichever batch it came in. A batch
     that is run again writes the same version, so restarts do no harm."""
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -34,6 +35,6 @@ def upserting(path: str, keys: list[str], order: str) -> Callable[[DataFrame, in
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             before = batch.limit(0)
-        upsert(before, batch, keys, [F.col(order)]).write.mode("overwrite").parquet(new)
+        last_wins(before.unionByName(batch), keys, [F.col(order)]).write.mode("overwrite").parquet(new)
 
     return merge
