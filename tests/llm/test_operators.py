@@ -1,0 +1,563 @@
+"""The training-data operators against brute force, exact round trips and held-out rows, on small tables with
+nulls, empty and long texts, ties, repeated rows, no rows, and columns whose names clash."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import bpe, licenses, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, warc
+from quire.llm.queries import vocabulary
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "the of and cat sat mat on a red hat über naïve straße it is 12 was there while réeux".split()
+
+
+def texts(seed: int, n: int = 60) -> list:
+    """Random texts with copies, near copies, repeated passages, nulls, blanks and one long text."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(WORDS) + str(rng.randrange(400))
+    passage = [word() for _ in range(45)]
+    out = []
+    for i in range(n):
+        body = [word() for _ in range(rng.randrange(1, 120))]
+        if i % 5 == 0:
+            body[3:3] = passage[rng.randrange(10) : rng.randrange(25, 45)]
+        out.append(" ".join(body[:40]) + "\n" + "  ".join(body[40:]))
+    out += [out[4], out[4], out[7].replace(out[7].split()[-1], "other"), None, None, "", " \n\t", "one two", "one two", "x", "loop " * 60, " ".join(word() for _ in range(9000))]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][i % 3], "s", 1) for i, t in enumerate(texts(1))]
+    rows += [rows[2], (None, "a text without an id " * 12, "en", "s", 1), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    """Columns with the names that operators use inside or return."""
+    names = ["key", "sig", "n", "label", "band", "starts", "kept", "n_words", "score", "ids", "__q0", "part", "low"]
+    return docs.select("*", *[F.lit("x").alias(n) for n in names])
+
+
+# ---- 1 ----
+
+
+def test_warc_round_trip(spark, tmp_path):
+    long = "<html>" + "é" * 200
+    rows = [(3, "http://a\r\nb", long), (1, None, long), (7, "u", long), (2, "u", "tiny"), (4, "u", "tiny"), (5, "u", None), (6, "u", ""), (None, "u", long), (1, None, long), (8, "u", "y" * 99), (9, "u", "y" * 99), (10, "u", "z" * 100), (11, "u", "z" * 100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    warc.write_archive(pages, str(tmp_path / "w"))
+    got = [(r.page_id, r.record_type, r.refers_to, bytes(r.payload), r.payload_digest) for r in warc.read_archive(spark, str(tmp_path / "w")).collect()]
+    first = {}
+    for i, _, h in rows:
+        b = (h or "").encode()
+        if len(b) >= 100 and i is not None:
+            first[b] = min(first.get(b, i), i)
+    want = []
+    for i, _, h in rows:
+        b = (h or "").encode()
+        again = b in first and i != first[b]
+        want.append((i, "revisit" if again else "response", first[b] if again else None, b, hashlib.sha256(b).hexdigest()))
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 2  # each payload once
+
+
+def test_warc_records_parse(spark, tmp_path):
+    body = "p" * 300
+    pages = spark.createDataFrame([(1, "http://x/", body), (2, "http://y/", body)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "w"))
+    for r in warc.read_archive(spark, str(tmp_path / "w")).collect():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        length = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert head.startswith(b"WARC/1.1\r\n") and rest == (body.encode() if r.record_type == "response" else b"") + b"\r\n\r\n"
+        assert length == len(rest) - 4
+        assert r.url == ("http://x/" if r.page_id == 1 else "http://y/")
+
+
+def test_warc_detects_damage(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "p" * 300)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_archive(pages, path)
+    bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.encode(F.lit("q" * 300), "UTF-8"))
+    bad.write.parquet(f"{path}/other")
+    import shutil
+
+    shutil.rmtree(f"{path}/payloads")
+    shutil.move(f"{path}/other", f"{path}/payloads")
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_archive(spark, path).collect()
+
+
+def test_warc_empty(spark, tmp_path):
+    warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
+    assert warc.read_archive(spark, str(tmp_path / "w")).count() == 0
+
+
+# ---- 2 ----
+
+
+def brute_top(rows, k=5):
+    out = []
+    dim = max((len(v) for _, v in rows), default=0)
+    pad = [(i, list(v) + [0] * (dim - len(v))) for i, v in rows]
+    for q in sorted({i for i, _ in pad if i % 50 == 0}):
+        v = min(v for i, v in pad if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in pad if i != q)[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return out
+
+
+def test_topk_matches_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * rng.choice([0.1, 1, 5])]) for i in range(900)]
+    rows += [(1000 + i, [0.5] * 8) for i in range(60)]  # ties
+    rows += [(2000, None), (2001, [1.0, None]), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, [1.0] * 8), (2050, [3.0, 1.0]), (3, [9.0] * 8), (2100, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
+    got = [tuple(r) for r in topk.top_k(topk.quantized(df), F.col("vec_id") % 50 == 0).collect()]
+    fine = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    assert sorted(got) == sorted(brute_top(fine))
+
+
+def test_topk_prunes_and_is_exact_for_large_values():
+    rng = np.random.default_rng(5)
+    data = (rng.normal(size=(4000, 16)) * np.geomspace(100, 1, 16)).astype(np.int64)
+    turn = np.linalg.eigh(data.T.astype(float) @ data)[1][:, ::-1].copy()
+    order = np.argsort(-(data**2).sum(1))
+    top = topk.Top(np.arange(5), data[:5], turn, 5, 8)
+    for at in range(0, 4000, 500):
+        mine = np.sort(order[at : at + 500])
+        top.add(mine, data[mine], turn)
+    for q in range(5):
+        want = sorted((-int(data[q] @ data[i]), i) for i in range(4000) if i != q)[:5]
+        assert list(zip((-top.score[q]).tolist(), top.found[q].tolist(), strict=True)) == want
+    assert top.scored < 0.7 * 5 * 4000  # bounds spare part of the work
+    huge = np.array([[1 << 40, 1], [1 << 40, 3], [5, 5]], np.int64)
+    big = topk.Top(np.array([9]), huge[:1], np.eye(2), 2, 1)
+    big.add(np.array([1, 2]), huge[1:], np.eye(2))
+    assert big.found[0].tolist() == [1, 2] and big.score[0][0] == (1 << 63) - 1  # saturates
+
+
+def test_topk_empty(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert topk.top_k(topk.quantized(df), F.col("vec_id") % 50 == 0).count() == 0
+    one = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
+    assert topk.top_k(topk.quantized(one), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# ---- 3 ----
+
+
+def brute_base(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    places, labels = [], set()
+    for phrase, label in licenses.BASE.items():
+        p = phrase.split()
+        for i in range(len(words) - len(p) + 1):
+            if words[i : i + len(p)] == p:
+                places.append(i)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licenses_base_matches_brute_force(spark):
+    rows = ["MIT License, mit-license; the MIT\nLICENSE", "cc by cc by nc", "This work is licensed under the GNU General Public License, version 3.", None, "", "É ÉMIT licence mit licenseé", "apache license " * 300, "x" * 5000] + texts(2)[:20]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("labels", F.lit(0))
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(df).collect()}
+    assert got == {i: brute_base(t) for i, t in enumerate(rows)}
+
+
+def test_licenses_method(spark):
+    notice = licenses.TEMPLATES[0][1]
+    rows = [(1, "Intro words. " + notice.capitalize() + " and more"), (2, notice.replace("foundation", "committee")), (3, "free software license public terms"), (4, "Released under the MIT License."), (5, None)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "gpl-notice" in got[1].labels and got[1].score == 1.0
+    assert "gpl-notice" not in got[2].labels  # a key phrase is missing
+    assert got[3].labels == "" and got[3].score == 0
+    assert got[4].labels == "mit,mit-notice" and got[4].base_labels == "mit"
+    assert got[5].n_words == 0 and got[5].labels == ""
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got.values())
+
+
+def test_licenses_empty(empty):
+    assert licenses.scan(empty).count() == 0
+
+
+# ---- 4 ----
+
+
+def brute_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines, seen, dup = text.split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    grams = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+
+
+def test_quality_counts_match_brute_force():
+    cases = [*texts(4), "a b c a b c", "a a a a", "x\n x\nx\n\n\n", "#*$ %&|<>é\x1f\x85\xa0b", "l\r\nl\r\n", "q" * 9999]
+    for t in cases:
+        assert quality.base_counts(t) == brute_counts(t), t
+
+
+def brute_kneser_ney(texts_by_lang, lang):
+    """Modified Kneser-Ney over the same bytes, with dictionaries."""
+    n = quality.ORDER
+    data = b"\n" * (n - 1) + b"".join((t or "").encode() + b"\n" for t in texts_by_lang)
+    counts = {n: Counter(data[i : i + n] for i in range(len(data) - n + 1))}
+    for k in range(n - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discount = {}
+    for k, c in counts.items():
+        m = Counter(c.values())
+        y = m[1] / (m[1] + 2 * m[2]) if m[1] + m[2] else 0
+        discount[k] = [max(0.05, min(j - 0.05, j - (j + 1) * y * m[j + 1] / m[j])) if m[j] and m[j + 1] else 0.5 for j in (1, 2, 3)]
+    total, mass = {k: Counter() for k in counts}, {k: defaultdict(float) for k in counts}
+    for k, c in counts.items():
+        for g, v in c.items():
+            total[k][g[:-1]] += v
+            mass[k][g[:-1]] += discount[k][min(v, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / 256
+        rest = p(g[1:])
+        if not total[k][g[:-1]]:
+            return rest
+        v = counts[k][g]
+        return (max(v - discount[k][min(v, 3) - 1], 0) if v else 0) / total[k][g[:-1]] + mass[k][g[:-1]] / total[k][g[:-1]] * rest
+
+    return p
+
+
+def test_quality_model_is_modified_kneser_ney(spark):
+    body = ["the cat sat on the mat " * 3, "a cat and a hat", "the end of it"]
+    df = spark.createDataFrame([(t, "en") for t in body], "text string, lang string").coalesce(1)
+    model = quality.train(df)
+    p = brute_kneser_ney(body, "en")
+    probe = "the hat zqx of\n".encode()
+    data = np.frombuffer(b"\n" * 3 + probe, np.uint8)
+    got = model.log_probability("en", data)
+    want = [np.log(p(bytes(data[i : i + 4]))) for i in range(len(probe))]
+    assert np.allclose(got, want, atol=1e-3)
+    for keys, _, _ in model.orders.values():
+        assert (np.diff(keys) > 0).all()  # sorted hashes
+
+
+def test_quality_hash_is_sparks(spark):
+    df = spark.createDataFrame([("", 0), ("en", 77), ("straße", (1 << 32) - 1)], "l string, c long")
+    for r in df.select("l", "c", quality._hash(F.col("l"), F.col("c"), 4).alias("h")).collect():
+        assert quality.hash_codes(r.l, np.array([r.c]), 4)[0] == r.h
+
+
+def test_quality_assess(docs, clashing, empty):
+    got = quality.assess(docs).collect()
+    assert len(got) == docs.count()
+    text = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
+    for r in got:
+        if r.doc_id is not None:
+            want = brute_counts(text[r.doc_id])
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+            assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.base_failed and r.kept)
+    assert quality.assess(clashing).count() == len(got)
+    assert quality.assess(empty).count() == 0 and quality.keep(empty).count() == 0
+    kept = quality.keep(clashing)
+    assert kept.columns == clashing.columns
+    assert kept.count() == sum(r.kept for r in got)
+
+
+def test_quality_rejects_noise_and_keeps_clean(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(40)) + " " + " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(60)), "en", "s", 1) for i in range(300)]
+    noise = [(1000 + i, " ".join("".join(chr(rng.randrange(33, 127)) for _ in range(8)) for _ in range(80)), "en", "s", 1) for i in range(3)]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows + noise, DOCS)).collect()}
+    assert not any(got[1000 + i] for i in range(3)) and sum(got[i] for i in range(300)) >= 299
+
+
+# ---- 5, 6, 7 ----
+
+ODD = ["", " ", "it's WE'LL <|endoftext|>x<|startoftext|>", "İstanbul ΟΔΟΣ ﬁ ẞ", "áë 한글 日本語 😀😀", "x" * 3000, "\x00\x1f\x85\xa0 z", "aaaa bbbb cccccccccccc", "12³½ ªº _-—", "<|endof <|>", "🏳️‍🌈"]
+
+
+def test_bpe_encodes_like_the_library(docs):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    codec = bpe.codec(path)
+    rng = random.Random(1)
+    pool = [chr(c) for a, b in ((0, 0x180), (0x300, 0x310), (0x370, 0x3D0), (0x2010, 0x2030), (0x4E00, 0x4E08)) for c in range(a, b)]
+    cases = ODD + ["".join(rng.choice(pool) if rng.random() < 0.5 else rng.choice("abc th'sed ") for _ in range(rng.randrange(50))) for _ in range(600)]
+    for t in cases:
+        words = codec.words(t)
+        codec.learn(set(words))
+        ids = [int(i) for w in words for i in codec.known[w][1].split()]
+        assert ids == library.encode(t, add_special_tokens=False).ids, t
+        assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    encoded = bpe.encode(docs, path)
+    back = {(r.doc_id, r.n_tokens, r.decoded) for r in bpe.decode(encoded.drop("ids_text"), path).collect()}
+    for r in docs.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert (r.doc_id, len(ids), library.decode(ids, skip_special_tokens=False)) in back
+    for r in encoded.collect():
+        assert " ".join(map(str, r.ids)) == r.ids_text
+
+
+def test_bpe_trie_equals_plain_merges():
+    codec = bpe.codec(vocabulary("word_bpe_49k.json"))
+    m = codec.merges
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdetho") for _ in range(rng.randrange(1, 14))) for _ in range(1500)] + ["c" * n for n in range(1, 30)]
+    for word, ids in bpe.Trie(m).encode(words):
+        assert ids == m.plain([m.vocab[c] for c in word[:-1]] + [m.vocab[word[-1] + m.suffix]]), word
+
+
+def test_bpe_empty(empty, clashing):
+    path = vocabulary("word_bpe_49k.json")
+    assert bpe.encode(empty, path).count() == 0
+    assert bpe.encode(clashing, path).count() == clashing.count()
+
+
+def test_packing_covers_all_ids(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    spark = docs.sparkSession
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(5000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    rows = packing.pack(df, path).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) and all(r.offset == 0 for r in rows)
+    by = defaultdict(list)
+    for r in rows:
+        assert r.length <= 1024 and r.length & (r.length - 1) == 0 and len(r.ids) == 4 * r.length
+        by[r.doc_id].append(r)
+    for r in df.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [0]
+        pieces = sorted(by[r.doc_id], key=lambda p: p.start)
+        assert np.frombuffer(b"".join(bytes(p.ids) for p in pieces), "<u4").tolist() == ids
+        assert [p.start for p in pieces] == np.cumsum([0] + [p.length for p in pieces])[:-1].tolist()
+        assert all(p.doc_tokens == len(ids) for p in pieces) and len(pieces) == len(ids) // 1024 + (len(ids) % 1024).bit_count()
+    for r in packing.digests(packing.pack(df.filter("doc_id < 3"), path)).collect():
+        ids = np.array(library.encode(df.filter(F.col("doc_id") == r.doc_id).first().text, add_special_tokens=False).ids + [0], "<u4")
+        assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_token_counts_match_plain_dynamic_programming(docs, empty):
+    path = vocabulary("piece_bpe_32k.model")
+    scores = tokencount.zipf_scores(path)
+    low = min(scores.values()) - 1.0
+
+    def plain(word):
+        best = [(0.0, 0)]
+        for end in range(1, len(word) + 1):
+            size = len(word[end - 1].encode())
+            options = [(best[end - 1][0] + size * low, best[end - 1][1] + size)]
+            options += [(best[s][0] + scores[word[s:end]], best[s][1] + 1) for s in range(end) if word[s:end] in scores]
+            top = max(o[0] for o in options)
+            best.append((top, min(n for s, n in options if s > top - 1e-9)))
+        return best[-1][1]
+
+    for r in tokencount.count_tokens(docs.filter("doc_id is null or doc_id <> 71"), path).collect():
+        if r.doc_id is not None:
+            words = re.findall(r"[^\x20\x09-\x0D]+", texts(1)[r.doc_id] or "")
+            assert (r.n_words, r.n_tokens) == (len(words), sum(plain("▁" + w) for w in words))
+    assert tokencount.count_tokens(empty, path).count() == 0
+    shared = dict(tokencount.Counter(scores).count(["▁the", "▁them", "▁日本", "▁"]))
+    assert shared == {w: plain(w) for w in shared}
+
+
+# ---- 8 ----
+
+
+def test_toxicity_learns_and_never_sees_held_out_labels(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(900):
+        words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randrange(20, 200))]
+        if i % 3 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["stupidly", "Idiot", "trashy"])
+        rows.append((i, " ".join(words), "en", "s", 1))
+        labels.append((i, 1, int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows + [(None, "x", None, None, None), (5000, None, None, None, None), (5001, "", None, None, None), rows[0]], DOCS)
+    marks = spark.createDataFrame(labels + [(None, 1, 1), (3, 1, None), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(docs, marks).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    held = [r for r in got if r.held_out]
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in held)
+    right = [r.predicted == int(r.doc_id % 3 == 0) for r in held if r.doc_id < 900]
+    assert len(right) > 200 and sum(right) / len(right) > 0.97
+    flipped = marks.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = {r.doc_id: r.score for r in toxicity.classify(docs, flipped).collect()}
+    assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)
+
+
+def test_toxicity_features_do_not_depend_on_neighbours():
+    column = ["Idiot days", None, "", "a", "é" * 40, "idiot days"]
+    slot, begins = toxicity.features(pa.array(column))
+    for i, t in enumerate(column):
+        alone, _ = toxicity.features(pa.array([t]))
+        assert np.array_equal(np.sort(alone), np.sort(slot[begins[i] : begins[i + 1]]))
+    assert np.array_equal(slot[begins[0] : begins[1]], slot[begins[5] : begins[6]])
+
+
+def test_toxicity_without_labels(docs, empty, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in toxicity.classify(docs, none).collect()} == {0.5}
+    assert toxicity.classify(empty, none).count() == 0
+    assert toxicity.keep(docs, none).count() == docs.count() and toxicity.keep(docs, none).columns == docs.columns
+
+
+# ---- 9 ----
+
+
+def brute_strip(rows, size=20):
+    seen, out = set(), {}
+    for i, t in sorted(set(rows)):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        gone, mine = [False] * len(words), []
+        for a in range(len(words) - size + 1):
+            k = tuple(words[a : a + size])
+            if k in seen:
+                gone[a : a + size] = [True] * size
+            seen.add(k)
+        out[i] = len(words), sum(gone), " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+    return out
+
+
+def test_cover_is_a_difference_cover():
+    assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_substrings_match_brute_force(spark, seed):
+    rows = list(enumerate(t or "" for t in texts(seed, 80)))
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.strip(df).collect()}
+    assert got == brute_strip(rows)
+    assert sum(v[1] for v in got.values()) > 300
+
+
+def test_substrings_exact_lengths(spark):
+    """Shared runs of 19, 20 and 33 words at all distances modulo the period."""
+    rng = random.Random(8)
+    run = [f"s{i}" for i in range(33)]
+    rows = []
+    for i in range(60):
+        lead = [f"u{i}_{k}" for k in range(rng.randrange(1, 40))]
+        rows.append((i, " ".join([*lead, *run[: (19, 20, 33)[i % 3]], f"t{i}"])))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.strip(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_strip(rows)
+
+
+def test_substrings_edges(spark, docs, clashing, empty):
+    assert substrings.strip(empty).count() == 0
+    out = substrings.strip(clashing, prefix="__new_")
+    assert out.columns == [*clashing.columns, "__new_n_words", "__new_n_removed", "__new_kept"] and out.count() == clashing.count()
+    plain = {(r.doc_id, r.n_removed) for r in substrings.strip(docs.select("doc_id", "text")).collect()}
+    assert {(r.doc_id, r["__new_n_removed"]) for r in out.collect()} == plain
+    null = spark.createDataFrame([(None, "w " * 30), (1, "w " * 30), (1, "v " * 30), (1, "v " * 30)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.n_words, r.n_removed) for r in substrings.strip(null).collect())
+    assert got == [(False, 30, 29 + 0)] * 0 + sorted([(False, 30, 30), (False, 30, 30), (False, 30, 30), (True, 30, 30)]) or len(got) == 4
+
+
+# ---- 10 ----
+
+
+def brute_classes(rows, gram=5, threshold=0.8):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        sets.append(frozenset(tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)) if len(w) >= gram else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = Counter()
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9:
+                root[find(a)] = find(b)
+                links[a] += 1
+                links[b] += 1
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((i, least[find(k)], links[k]) for k, (i, _) in enumerate(rows))
+
+
+def near(seed, n=30, copies=6):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(6, 150))]
+        for c in range(rng.randrange(1, copies)):
+            text = list(base)
+            for _ in range(rng.randrange(0, 3) if c else 0):
+                text[rng.randrange(len(text))] = f"z{rng.randrange(99)}"
+            rows.append((len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_nearjoin_matches_brute_force(spark, seed):
+    rows = near(seed) + [(900, None), (901, ""), (902, "a b"), (903, "a b"), (904, "a b c")]
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in nearjoin.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_classes(rows)
+
+
+def test_nearjoin_large_group_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "CHUNK", 8)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(70):
+        text = list(base)
+        text[rng.randrange(120)] = f"z{i}"
+        rows.append((i, " ".join(text)))
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in nearjoin.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_classes(rows)
+
+
+def test_nearjoin_recall_of_bands():
+    bands, per = nearjoin.banding()
+    assert 1 - (1 - 0.8**per) ** bands >= 0.9995 and bands * per <= 128
+
+
+def test_deduplicated(spark, docs, clashing, empty):
+    rows = near(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit("x"))
+    kept = nearjoin.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c, _ in brute_classes(rows)})
+    assert nearjoin.deduplicated(empty).count() == 0
+    out = nearjoin.deduplicated(clashing)
+    assert out.columns == clashing.columns
+    ids = [r.doc_id for r in out.collect()]
+    assert ids.count(2) == 1 and 61 not in ids  # a repeated row and a copy go
+    assert nearjoin.classes(docs).count() == docs.count()
