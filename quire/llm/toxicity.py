@@ -21,79 +21,121 @@ from quire.llm.hashing import text_buffer
 BITS = 20
 ORDERS = (5, 8)
 #: At most so many training documents of either class.
-SAMPLE = 2500
+SAMPLE = 2000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-def features(column, orders=ORDERS, bits=BITS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-gram slots of each text, in one array, and where each text's begin (one more than texts).
+def grams(column, orders=ORDERS, bits=BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per order the slot of each n-gram of all texts and the number of its text, repeats and all.
 
     N-grams do not reach over the end of a text, which counts as a line feed before and after it."""
     data, ends = text_buffer(column)
     data = np.concatenate((np.full(1, 0x0A, np.uint8), _LOWER[data]))
-    n = len(ends)
     # a text's n-grams start at the line feed before it at the earliest and end at the one after it
     lengths = np.diff(np.concatenate(([0], ends)))
-    owner, last = np.repeat(np.arange(n, dtype=np.int64), lengths), np.repeat(ends, lengths)
-    parts = []
     for order in orders:
         m = max(0, len(data) - order + 1)
         code = np.zeros(m, np.uint64)
         for k in range(order):
-            code = code << np.uint64(8) | data[k : k + m]
-        slot = ((code + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        inside = np.arange(order - 1, m + order - 1) <= last[:m]
-        parts.append((owner[:m] << bits | slot.astype(np.int64))[inside])
-    both = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+            code <<= np.uint64(8)
+            code |= data[k : k + m]
+        code += np.uint64(order)
+        code *= np.uint64(0x9E3779B97F4A7C15)
+        code >>= np.uint64(64 - bits)
+        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.maximum(lengths - order + 2, 0))
+        begin = np.concatenate(([0], ends[:-1]))
+        at = np.arange(len(owner)) + np.repeat(begin - np.concatenate(([0], np.cumsum(np.maximum(lengths - order + 2, 0))[:-1])), np.maximum(lengths - order + 2, 0)) if len(ends) else np.zeros(0, np.int64)
+        yield code[at].astype(np.int32), owner
+
+
+def distinct(slot: np.ndarray, owner: np.ndarray, n: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots of each text, in one array, and where each text's begin (one more than texts)."""
+    both = np.sort(owner.astype(np.int64) << bits | slot)
+    both = both[np.concatenate((np.ones(min(len(both), 1), bool), both[1:] != both[:-1]))]
     return (both & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(both, np.arange(n + 1, dtype=np.int64) << bits)
 
 
+def features(column) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct slots of each text, as ``distinct`` gives them."""
+    slot, owner = (np.concatenate(x) for x in zip(*grams(column), strict=True))
+    return distinct(slot, owner, len(column))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
 
     def score(self, column) -> np.ndarray:
-        slot, begins = features(column)
+        """Only n-grams with a weight are gathered; most have none."""
+        slots, owners = [], []
+        for slot, owner in grams(column):
+            live = np.flatnonzero(self.weights[slot])
+            slots.append(slot[live])
+            owners.append(owner[live])
+        slot, begins = distinct(np.concatenate(slots), np.concatenate(owners), len(column))
         sums = np.concatenate(([0], np.cumsum(self.weights[slot], dtype=np.float64)))
         return 1 / (1 + np.exp(-np.clip(sums[begins[1:]] - sums[begins[:-1]] + self.bias, -30, 30)))
 
 
-def fit(slot: np.ndarray, begins: np.ndarray, label: np.ndarray, rounds: int = 200, penalty: float = 2e-2, alpha: float = 1.0, seen: int = 5) -> Model:
+def fit(docs: list[np.ndarray], label: np.ndarray, rounds: int = 200, penalty: float = 2e-2, alpha: float = 1.0, seen: int = 5) -> Model:
     """Log-count ratios, then logistic regression with an L2 penalty by Nesterov steps. Classes weigh alike.
     N-grams of fewer than ``seen`` training documents have no weight. Without both classes every score is
-    the same: 0.5 without any label, else near the only label."""
+    the same: 0.5 without any label, else near the only label. Documents pass in blocks of a fixed size, so
+    beside the slots themselves only arrays of the model's size are held."""
     size = 1 << BITS
     weights = np.zeros(size, np.float32)
     n, positive = len(label), int(label.sum())
     if not n or positive in (0, n):
         return Model(weights, 0.0 if not n else (3.0 if positive else -3.0))
-    owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(begins))
-    pos = np.bincount(slot, label[owner], size)
-    all_ = np.bincount(slot, minlength=size)
+    pos, all_ = np.zeros(size), np.zeros(size)
+    for slot, y in zip(docs, label, strict=True):  # slots are distinct within a document
+        all_[slot] += 1
+        if y > 0:
+            pos[slot] += 1
     p, q = alpha + pos, alpha + all_ - pos
     ratio = np.log(p / (positive + 2 * alpha)) - np.log(q / (n - positive + 2 * alpha))
     use = (all_ >= seen) & (np.abs(ratio) > 0.5)
-    mine = use[slot]
-    owner, slot = owner[mine], slot[mine]
     names = np.flatnonzero(use)
-    place = np.zeros(size, np.int32)
+    place = np.full(size, -1, np.int32)
     place[names] = np.arange(len(names))
-    column, value = place[slot], ratio[slot].astype(np.float32)
+    ratio = ratio[names]
+    columns = [c[c >= 0] for c in (place[slot] for slot in docs)]
+    docs.clear()
+    blocks, at = [], 0
+    while at < n:
+        to, total = at, 0
+        while to < n and (to == at or total + len(columns[to]) <= 1 << 19):
+            total += len(columns[to])
+            to += 1
+        blocks.append((at, to, np.concatenate(columns[at:to]), np.array([len(c) for c in columns[at:to]])))
+        columns[at:to] = [None] * (to - at)
+        at = to
     share = np.where(label > 0, 0.5 / positive, 0.5 / (n - positive))
-    w, old, bias, old_bias, step = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0, None
-    norm = np.bincount(owner, value.astype(np.float64) ** 2, n)
-    step = 1 / (0.25 * float((share * (norm + 1)).sum()) + penalty)
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        """Of each document, the sum over its n-grams."""
+        out = np.zeros(n)
+        for a, b, column, lengths in blocks:
+            c = np.concatenate(([0], np.cumsum(values[column])))
+            ends = np.cumsum(lengths)
+            out[a:b] = c[ends] - c[ends - lengths]
+        return out
+
+    step = 1 / (0.25 * float((share * (sums(ratio**2) + 1)).sum()) + penalty)
+    w, old, bias, old_bias = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for t in range(rounds):
         pull = t / (t + 3)
-        at, at_bias = w + pull * (w - old), bias + pull * (bias - old_bias)
-        z = np.bincount(owner, at[column] * value, n) + at_bias
+        ahead, ahead_bias = w + pull * (w - old), bias + pull * (bias - old_bias)
+        z = sums(ahead * ratio) + ahead_bias
         error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
-        gradient = np.bincount(column, error[owner] * value, len(names)) + penalty * at
+        gradient = np.zeros(len(names))
+        for a, b, column, lengths in blocks:
+            gradient += np.bincount(column, np.repeat(error[a:b], lengths), len(names))
         old, old_bias = w, bias
-        w, bias = at - step * gradient, at_bias - step * float(error.sum())
-    weights[names] = w * ratio[names]
+        w, bias = ahead - step * (gradient * ratio + penalty * ahead), ahead_bias - step * float(error.sum())
+    weights[names] = w * ratio
     return Model(weights, bias)
 
 
@@ -120,11 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([slot[a:b].tobytes() for a, b in zip(begins, begins[1:], strict=False)], pa.binary())], names=["y", "slots"])
 
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("y", "text").mapInArrow(run, "y int, slots binary").toArrow()
-    blobs = [np.frombuffer(x, np.int32) for x in rows.column(1).to_pylist()]
-    order = sorted(range(len(blobs)), key=lambda i: (len(blobs[i]), blobs[i].tobytes()[:64]))  # the same sums in every run
-    label = rows.column(0).to_numpy()[order] > 0 if len(blobs) else np.zeros(0)
-    slot = np.concatenate([blobs[i] for i in order]) if blobs else np.zeros(0, np.int32)
-    return fit(slot, np.concatenate(([0], np.cumsum([len(blobs[i]) for i in order]))).astype(np.int64), np.asarray(label, np.float64))
+    label = rows.column(0).to_numpy()
+    blobs = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(1)]
+    order = sorted(range(len(blobs)), key=lambda i: (len(blobs[i]), blobs[i][:16].tobytes()))  # the same sums in every run
+    return fit([blobs[i] for i in order], np.array([label[i] > 0 for i in order], np.float64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
