@@ -124,6 +124,7 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
             twice = np.concatenate((h[1:] == h[:-1], [False]))
             part = ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
             for p, mine in _groups(part):
+                mine = mine[np.argsort(order[mine])]  # as read: a document's key repeats, which compresses
                 a, b = mine[first[mine]], mine[~first[mine]]
                 yield _batch([p], [_pack(h[a].astype("<u4"), key[a], place[a], twice[a].astype("u1"))], [_pack(key[b], place[b])])
 
@@ -173,7 +174,8 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 yield _batch([-1], [_pack(key[settled], start[settled])], [b""])
             part = ((h[open_] >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
             for p, mine in _groups(part):
-                mine = open_[mine]
+                mine = np.sort(open_[mine])
+                mine = mine[np.lexsort((start[mine], key[mine], ids[mine]))]  # by place, which compresses
                 docs_, number = np.unique(np.rec.fromarrays((ids[mine], key[mine])), return_inverse=True)
                 yield _batch([p], [_pack(h[mine], c[mine], number.astype("<u4"), start[mine])], [_pack(docs_.f0, docs_.f1)])
 
