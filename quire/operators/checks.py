@@ -235,3 +235,14 @@ def covering_sample(df: DataFrame, key: str, features: list[Column], n: int) ->
     spark = df.sparkSession
     first = spark.createDataFrame([(c,) for c in chosen], df.select(key).schema) if chosen else df.select(key).limit(0)
     return first.union(stride).orderBy(key)
+
+
+def distinct_terms(terms: Column) -> Column:
+    """Terms without repeats, in order: one of each label and headword (or surface where none is known), of
+    substance parts one of each substance and part."""
+    substance = lambda t: t["label"] == "SUBSTANCE_PART"
+    first = lambda t: F.when(substance(t), t["substance_lemma_normalized"]).otherwise(F.coalesce(t["lemma_normalized"], t["normalized"]))
+    second = lambda t: F.when(substance(t), t["part_lemma_normalized"])
+    key = lambda t: F.to_json(F.struct(t["label"].alias("a"), first(t).alias("b"), second(t).alias("c")))
+    keys = F.transform(terms, key)
+    return F.filter(terms, lambda t, i: F.array_position(keys, key(t)) == i + 1)

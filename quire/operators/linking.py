@@ -195,3 +195,15 @@ def vocabulary_facets(texts: DataFrame, key: str, text: str, vocabulary: DataFra
     words = texts.select(key, F.explode(F.array_distinct(F.split(normalize(F.col(text)), r"[^\p{L}\p{N}]+"))).alias("form"))
     hits = words.join(vocabulary.select("form", "domain", "english"), "form").select(key, "domain", "english").distinct()
     return hits.groupBy(key, "domain").agg(F.array_join(F.sort_array(F.collect_list("english")), ",").alias("terms"))
+
+
+def bridged(rows: DataFrame, key: str, bridge: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+    """Rows under the ids that a bridge table has for their old ones, and the queue of rows without."""
+    known = bridge.groupBy(F.col(old).alias("__old")).agg(F.min(new).alias(new))
+    joined = rows.join(known, F.col(key) == F.col("__old"), "left").drop("__old")
+    return joined.filter(F.col(new).isNotNull()), joined.filter(F.col(new).isNull()).drop(new)
+
+
+def supplement(rows: DataFrame, text: str, vocabulary: DataFrame, form: str, ident: str) -> tuple[DataFrame, DataFrame]:
+    """A supplement's rows with the vocabulary id of their normalized text, and the residue for review."""
+    return bridged(rows.withColumn("__form", normalize(F.col(text), strip=True)), "__form", vocabulary, form, ident)

@@ -640,3 +640,49 @@ def load_counts(spark, d):
         one = table(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
         out = one if out is None else out.union(one)
     return out
+
+
+@query("""
+WITH b AS (SELECT p_name AS old, min(p_partkey) AS new_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1),
+r AS (SELECT p.p_partkey, b.new_id FROM part p LEFT JOIN b ON p.p_name = b.old WHERE p.p_size > 10)
+SELECT p_partkey, new_id, new_id IS NULL AS queued FROM r""")
+def bridge_lookup(spark, d):
+    p = table(spark, d, "part")
+    bridge = p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("old"), F.col("p_partkey").alias("new_id"))
+    found, queue = linking.bridged(p.filter("p_size > 10").select("p_partkey", "p_name"), "p_name", bridge, "old", "new_id")
+    return found.select("p_partkey", "new_id", F.lit(False).alias("queued")).union(queue.select("p_partkey", F.lit(None).cast("bigint"), F.lit(True)))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN l.l_orderkey IS NULL THEN 0 ELSE l.n END AS n_links, coalesce(l.first_part, -1) AS first_part FROM orders o
+LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_partkey) AS first_part FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey""")
+def left_link_default(spark, d):
+    links = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_links"), F.min("l_partkey").alias("first_part"))
+    out = table(spark, d, "orders").join(links, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return out.select("o_orderkey", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first_part", F.lit(-1)).alias("first_part"))
+
+
+@query("""
+WITH w AS (SELECT event_id, props, json_extract_string(props, '$.k')::INTEGER AS k FROM events)
+SELECT k % 10 AS bucket, count(*) AS n, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NOT NULL) AS n_valid, count(*) FILTER (WHERE k BETWEEN 10 AND 19) AS n_in_range FROM w GROUP BY 1""")
+def payload_checks(spark, d):
+    k = F.get_json_object("props", "$.k")
+    rows = table(spark, d, "events").select(k.cast("int").alias("k"), k.isNotNull().alias("valid"))
+    return rows.groupBy((F.col("k") % 10).alias("bucket")).agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.count_if(F.col("k").between(10, 19)).alias("n_in_range"))
+
+
+@query("""
+SELECT source, count(*) AS n, count(DISTINCT lang) AS n_langs, count(*) FILTER (WHERE contains(lower(text), 'license')) AS n_licensed FROM documents GROUP BY source""")
+def source_audit(spark, d):
+    docs = table(spark, d, "documents").select("source", "lang", F.contains(F.lower("text"), F.lit("license")).alias("l"))
+    return docs.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("n_langs"), F.count_if("l").alias("n_licensed"))
+
+
+@query("""
+WITH x AS (SELECT p_name AS h, p_partkey FROM part), w AS (SELECT p_name AS t, p_name || ' ' || p_type AS long_name, p_partkey FROM part)
+SELECT w.p_partkey, min(x.p_partkey) AS parent FROM w JOIN x ON w.t = x.h GROUP BY 1""")
+def prefix_parents(spark, d):
+    p = table(spark, d, "part")
+    short = p.groupBy(F.col("p_name").alias("t")).agg(F.min("p_partkey").alias("parent"))
+    long = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("n"))
+    return long.withColumn("t", F.array_join(F.slice(F.split("n", " "), 1, 2), " ")).join(short, "t").select("p_partkey", "parent")

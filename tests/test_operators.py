@@ -257,3 +257,15 @@ def test_overlap(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "x array<string>, y array<string>")
     assert [r.o for r in df.select(facets.jaccard(F.col("x"), F.col("y")).alias("o")).collect()] == [1 / 3, 0.0]
     assert normalize is not None
+
+
+def test_distinct_terms_and_bridge(spark):
+    from quire.sources.readers import RESULT
+
+    terms = [{"label": "S", "lemma_normalized": "a", "normalized": "x"}, {"label": "S", "lemma_normalized": "a", "normalized": "y"}, {"label": "S", "normalized": "a"}, {"label": "SUBSTANCE_PART", "substance_lemma_normalized": "s", "part_lemma_normalized": "p"}, {"label": "SUBSTANCE_PART", "substance_lemma_normalized": "s", "part_lemma_normalized": "p", "normalized": "z"}, {"label": "T", "lemma_normalized": "a"}]
+    df = spark.createDataFrame([("e", terms, [])], RESULT)
+    got = df.select(checks.distinct_terms(F.col("terms")).alias("o")).first().o
+    assert [(t.label, t.normalized) for t in got] == [("S", "x"), ("SUBSTANCE_PART", None), ("T", None)]
+    vocabulary = spark.createDataFrame([("ριζα", "P1")], "form string, part_id string")
+    found, rest = linking.supplement(spark.createDataFrame([(1, " Ῥίζα"), (2, "x")], "k int, t string"), "t", vocabulary, "form", "part_id")
+    assert [(r.k, r.part_id) for r in found.collect()] == [(1, "P1")] and [r.k for r in rest.collect()] == [2]
