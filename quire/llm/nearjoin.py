@@ -165,9 +165,10 @@ def similar(classes: DataFrame, docs: DataFrame, bands: int, threshold: float, g
     """From text classes (sig, key, n, copies, bands): rows (sig, parent, n_links) of the classes with links,
     one for each unit of work, or with ``pairs`` every linked pair (sig, parent, jaccard)."""
     spark, parts = docs.sparkSession, partitions(docs.sparkSession)
-    slim = classes.select("sig", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
+    slim = classes.select("sig", F.posexplode("bands").alias("band", "bucket"))
     groups = slim.groupBy("band", "bucket").agg(F.count("*").alias("m")).filter("m > 1")
-    members = slim.join(groups, ["band", "bucket"]).withColumn("g", F.ceil(F.col("m") / CHUNK).cast("int"))
+    # most classes share no band: what the comparison needs of the others is joined once they are gone
+    members = slim.join(groups, ["band", "bucket"]).join(classes.select("sig", "n", "bands"), "sig").withColumn("g", F.ceil(F.col("m") / CHUNK).cast("int"))
     members = members.withColumn("c", F.pmod(F.xxhash64("sig", "band"), F.col("g")).cast("int"))
     members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     units = members.select("band", "bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), (F.col("c") > F.col("o")).cast("int").alias("side"), "sig", "n", "bands")
