@@ -269,3 +269,12 @@ def test_distinct_terms_and_bridge(spark):
     vocabulary = spark.createDataFrame([("ριζα", "P1")], "form string, part_id string")
     found, rest = linking.supplement(spark.createDataFrame([(1, " Ῥίζα"), (2, "x")], "k int, t string"), "t", vocabulary, "form", "part_id")
     assert [(r.k, r.part_id) for r in found.collect()] == [(1, "P1")] and [r.k for r in rest.collect()] == [2]
+
+
+def test_quality_statements(spark):
+    from quire.operators import qualities
+
+    cases = {"a": "Θερμὸς καὶ ξηραντικὸς κατὰ τὴν τρίτην που ἀπόστασιν· ψυχρὸς μετρίως.", "b": "ὑγρόν", "c": None, "d": "ξηραίνει σφοδρῶς καὶ μετρίως", "e": "ψυχρὸν κατὰ τὴν τετάρτην"}
+    df = spark.createDataFrame(list(cases.items()), "k string, t string")
+    got = sorted((r.k, r.axis, r.degree, r.intensity, r.hedge) for r in qualities.extract(df, "k", "t").collect())
+    assert got == [("a", "COLD", None, "moderate", None), ("a", "DRY", 3, None, "που"), ("a", "HOT", 3, None, "που"), ("d", "DRY", None, "strong", None), ("e", "COLD", 4, None, None)]
