@@ -102,7 +102,7 @@ def fit(docs: list[np.ndarray], label: np.ndarray, rounds: int = 200, penalty: f
     place[names] = np.arange(len(names))
     ratio = ratio[names]
     columns = [c[c >= 0] for c in (place[slot] for slot in docs)]
-    docs.clear()
+    del docs
     blocks, at = [], 0
     while at < n:
         to, total = at, 0
@@ -147,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     """Fit on at most ``sample`` documents of either class, those with the smallest hashes of their ids.
 
     Rows whose crc32(id) modulo 3 is 1 and rows with a null id or label are left out; a document labelled
-    more than once counts as toxic if any label says so. Only distinct n-gram slots of the sample reach
-    the driver."""
+    more than once counts as toxic if any label says so. One task fits the model, so only the weights,
+    of fixed size, reach the driver."""
     of = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     of = of.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("id"), F.col("id")]
@@ -161,11 +161,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             slot, begins = features(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([slot[a:b].tobytes() for a, b in zip(begins, begins[1:], strict=False)], pa.binary())], names=["y", "slots"])
 
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("y", "text").mapInArrow(run, "y int, slots binary").toArrow()
-    label = rows.column(0).to_numpy()
-    blobs = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column(1)]
-    order = sorted(range(len(blobs)), key=lambda i: (len(blobs[i]), blobs[i][:16].tobytes()))  # the same sums in every run
-    return fit([blobs[i] for i in order], np.array([label[i] > 0 for i in order], np.float64))
+    def learn(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        found = [(y, np.frombuffer(x, np.int32)) for batch in batches for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        found.sort(key=lambda x: (len(x[1]), x[1][:16].tobytes()))  # the same sums in every run
+        label = np.array([y > 0 for y, _ in found], np.float64)
+        model = fit([x for _, x in found], label)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([float(model.bias)])], names=["weights", "bias"])
+
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("y", "text")
+    # the sample is bounded, so one task learns from it
+    got = rows.mapInArrow(run, "y int, slots binary").repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    return Model(np.frombuffer(got.weights, np.float32), got.bias)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
