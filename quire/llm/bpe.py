@@ -10,19 +10,24 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from quire.llm.common import slices, texts
+from quire.llm.common import SLICE_BYTES, slices, texts
 from quire.llm.packing import byte_characters
 
-#: Words whose encodings a task keeps; it starts anew beyond that. Only speed depends on it.
-KEPT_WORDS = 300_000
+#: Words whose encodings a task keeps, twice: beyond that the older half goes. Only speed depends on it.
+KEPT_WORDS = 200_000
 _LOADED: dict = {}
 
 
+def pack(*ids: int) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 class Merges:
     """Vocabulary and merges, and which pairs of tokens may stand side by side."""
 
@@ -38,7 +43,8 @@ class Merges:
             self.parts.setdefault(made, (left, right))
             self.born.setdefault(made, rank)
         self.longest = max(map(len, vocab))
-        self.side: dict[tuple[int, int], bool] = {}
+        #: left << 20 | right -> whether they stand side by side
+        self.side: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
     def plain(self, symbols: list[int]) -> list[int]:
@@ -63,9 +69,9 @@ class Merges:
     def stands(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart: undo their merges from the latest on, and no pair across the
         border may merge before the merges that are still to come on either side."""
-        known = self.side.get((left, right))
+        known = self.side.get(left << 20 | right)
         if known is None:
-            known = self.side[left, right] = self._stands(left, right)
+            known = self.side[left << 20 | right] = self._stands(left, right)
         return known
 
     def _stands(self, a: int, b: int) -> bool:
@@ -101,52 +107,63 @@ class Trie:
     """Distinct words as paths of symbols; every node has the last token of the encoding of its prefix."""
 
     def __init__(self, merges: Merges):
+        if len(merges.vocab) > 1 << 20:
+            raise ValueError("vocabularies of more than 2**20 tokens are not supported")
         self.merges = merges
+        lengths = range(1, merges.longest + 1)
+        #: Only one suffix fits, so the likely ones come first: the last token with one character more, then short ones.
+        self.orders = [(g, *(n for n in lengths if n != g)) for g in range(merges.longest + 1)]
 
     def encode(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of each word, given in byte characters. Sorted words are a trie's paths in depth-first
-        order: what a word shares with the one before it is the path down to the node to go on from."""
-        m, suffix = self.merges, self.merges.suffix
-        vocab, stands, longest = m.vocab, m.stands, m.longest
+        order: what a word shares with the one before it is the path down to the node to go on from.
+
+        A node's last token is the one suffix of its prefix in the vocabulary that stands beside the last
+        token of what is before it. A word's last symbol carries the end mark, so its end is a node apart."""
+        m = self.merges
+        get, side, stands, longest, suffix = m.vocab.get, m.side, m.stands, m.longest, m.suffix
         path: list[int] = []  # the last token at each depth of the inner nodes
         size: list[int] = []  # its length in characters
         before = ""
         for word in sorted(words):
-            shared, most = 0, min(len(before), len(word) - 1, len(path))
+            length = len(word)
+            shared, most = 0, min(len(before), length - 1, len(path))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             del path[shared:], size[shared:]
-            for depth in range(shared + 1, len(word)):
-                token, n = self.last(word[:depth] if depth <= longest else word[depth - longest : depth], depth, path, size, vocab, stands)
-                path.append(token)
-                size.append(n)
-            # the last symbol carries the end mark, so a word's end is a node apart
-            tail = word[-longest:] + suffix
-            token, n = self.last(tail, len(word), path, size, vocab, stands, len(suffix))
-            ids, at = [token], len(word) - n
+            marked = word + suffix
+            for depth in range(shared + 1, length + 1):
+                text, stop = (word, depth) if depth < length else (marked, length + len(suffix))
+                for n in self.orders[min(size[-1] + 1, longest) if size else 1]:
+                    if n > depth:
+                        continue
+                    start = depth - n
+                    token = get(text[start:stop])
+                    if token is None:
+                        continue
+                    if start:
+                        left = path[start - 1]
+                        fine = side.get(left << 20 | token)
+                        if fine is None:
+                            fine = stands(left, token)
+                    else:
+                        fine = m.makes_itself(token)
+                    if fine:
+                        path.append(token)
+                        size.append(n)
+                        break
+                else:
+                    raise ValueError(f"no token ends {text[:stop]!r}")
+            ids, at = [], length
             while at > 0:
                 ids.append(path[at - 1])
                 at -= size[at - 1]
             ids.reverse()
+            path.pop()  # the end's node is no inner node
+            size.pop()
             yield word, ids
             before = word
 
-    def last(self, text: str, depth: int, path: list[int], size: list[int], vocab: dict, stands, extra: int = 0) -> tuple[int, int]:
-        """The last token of a prefix of ``depth`` characters that ends with ``text``: the one suffix in the
-        vocabulary that stands beside the last token of what is before it."""
-        total = len(text) - extra
-        for start in range(total):
-            token = vocab.get(text[start:])
-            if token is None:
-                continue
-            n = total - start
-            if n == depth:
-                if self.merges.makes_itself(token):
-                    return token, n
-            elif stands(path[depth - n - 1], token):
-                return token, n
-        raise ValueError(f"no token ends {text!r}")
-
 
 def _letters() -> tuple[str, str]:
     """Character classes of letters and numbers in the ranges that the fast path takes."""
@@ -181,8 +198,10 @@ class Codec:
         self.rare = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" if chr(a) not in "\\]^-" else re.escape(chr(a)) + "-" + chr(b) for a, b in FAST) + "]")
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.byte = {b: c for c, b in byte_characters().items()}
-        #: word -> its ids as little-endian bytes and as decimal text
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.decimal = {i: str(i) for i in self.token}
+        #: word -> its ids as little-endian bytes
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         """The words, as the pre-tokenizer gives them before bytes are mapped; added tokens stand for themselves."""
@@ -203,24 +222,25 @@ class Codec:
         return [bytes(back[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def learn(self, words: set[str]) -> None:
-        import numpy as np
-
+        if len(self.known) > KEPT_WORDS:
+            self.older, self.known = self.known, {}
         fresh = words - self.known.keys()
-        if len(self.known) + len(fresh) > KEPT_WORDS:
-            self.known.clear()
-            fresh = words
+        again = fresh & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        fresh -= again
         if len(self.merges.side) > 2_000_000:
             self.merges.side.clear()
-        shown: dict[str, list[str]] = {}
+        shown: dict[str, str] = {}
         for word in fresh:
             if word[0] == "\0" and word[1:] in self.added:
                 i = self.added[word[1:]]
-                self.known[word] = np.array([i], "<i4").tobytes(), str(i)
+                self.known[word] = pack(i)
+            elif word.isascii() and word.isprintable():  # such characters stand for themselves
+                shown[word] = word
             else:
-                shown.setdefault("".join(map(self.byte.__getitem__, word.encode())), []).append(word)
+                shown["".join(map(self.byte.__getitem__, word.encode()))] = word
         for mapped, ids in self.trie.encode(list(shown)):
-            for word in shown[mapped]:
-                self.known[word] = np.array(ids, "<i4").tobytes(), " ".join(map(str, ids))
+            self.known[shown[mapped]] = pack(*ids)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by a space: the file names no decoder. Ids of no token are passed over."""
@@ -249,15 +269,17 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         c = codec(tokenizer_path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 * SLICE_BYTES):
             split = [c.words(t) if t else [] for t in batch.column(1).to_pylist()]
             c.learn(set().union(*split))
-            found = [[c.known[w] for w in words] for words in split]
-            raw = [b"".join([x[0] for x in f]) for f in found]
+            ids_of, decimal_of = c.known.__getitem__, c.decimal.__getitem__
+            raw = [b"".join(map(ids_of, words)) for words in split]
             flat = np.frombuffer(b"".join(raw), "<i4")
             counts = np.array([len(r) // 4 for r in raw], np.int64)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), ids, pa.array([" ".join([x[1] for x in f]) for f in found], pa.string())], names=["doc_id", "n_tokens", "ids", "ids_text"])
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            decimal = [" ".join(map(decimal_of, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), ids, pa.array(decimal, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_text string")
