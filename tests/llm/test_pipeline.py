@@ -5,8 +5,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 import __spark_entry__
 import corpus_pipeline
 from quire.llm import queries
@@ -42,7 +40,7 @@ def test_stages_in_order(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     columns, ids = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, corpus).localCheckpoint() if False else spark.createDataFrame(stage(spark, docs, corpus).collect(), DOCS)
+        docs = spark.createDataFrame(stage(spark, docs, corpus).collect(), DOCS)
         assert docs.columns == columns
         ids[name] = {r.doc_id: r for r in docs.collect()}
     q, t, n, s = (ids[name] for name, _ in corpus_pipeline.STAGES[:-1])
@@ -52,8 +50,6 @@ def test_stages_in_order(spark, corpus):
     assert set(s) == set(n)
     cut = [i for i in s if s[i].text != n[i].text]
     assert cut and all(s[i].n_chars == len(s[i].text) < n[i].n_chars for i in cut)
-    shared = sum("59" in r.text and " ".join(r.text.split()).count("58") > 0 for r in s.values())
-    assert shared >= 0
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, corpus).collect()
     assert {p.doc_id for p in pieces} == set(s)
     whole = {(p.doc_id, p.start, p.length, p.ids_crc32) for p in corpus_pipeline.run(spark, corpus).collect()}
@@ -86,4 +82,3 @@ def test_queries_match_sql(spark):
         assert sorted(df.columns) == sorted(want.columns)
         got = sorted(tuple(map(str, r)) for r in df.select(*want.columns).collect())
         assert got == sorted(tuple(map(str, r)) for r in want.fetchall()), name
-    assert F is not None
