@@ -3,7 +3,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions.text import normalize
 from quire.operators import checks, facets, linking, marginal, markup, tables
 
 
@@ -256,7 +255,6 @@ def test_html_text(spark):
 def test_overlap(spark):
     df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "x array<string>, y array<string>")
     assert [r.o for r in df.select(facets.jaccard(F.col("x"), F.col("y")).alias("o")).collect()] == [1 / 3, 0.0]
-    assert normalize is not None
 
 
 def test_distinct_terms_and_bridge(spark):
