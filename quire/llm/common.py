@@ -100,10 +100,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not live.take(1):
             break
         both = live.select(F.col("a").alias("n"), F.col("b").alias("m")).union(live.select(F.col("b"), F.col("a")))
-        point = both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("p"))
+        # a table, so that the joins below deal both of their sides and can split a hub's rows
+        base = written(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("p")), "smallest")
+        hop, point = base.select(F.col("n").alias("p"), F.col("p").alias("q")), base
         for _ in range(2):
-            nxt = point.select(F.col("n").alias("p"), F.col("p").alias("q"))
-            point = point.join(nxt, "p", "left").select("n", F.coalesce("q", "p").alias("p"))
+            point = point.join(hop, "p", "left").select("n", F.coalesce("q", "p").alias("p"))
         point = written(point, "pointers")
         to = point.select(F.col("n").alias("label"), F.col("p"))
         if labels is None:
@@ -118,7 +119,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        old = [live, point] + ([labels] if labels is not None else [])
+        old = [live, base, point] + ([labels] if labels is not None else [])
         live, labels = written(moved, "edges"), new
         for table in old:
             dropped(table)
