@@ -269,7 +269,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         c = codec(tokenizer_path)
-        for batch in slices(batches, "text", 2 * SLICE_BYTES):
+        for batch in slices(batches, "text", 4 * SLICE_BYTES):
             split = [c.words(t) if t else [] for t in batch.column(1).to_pylist()]
             c.learn(set().union(*split))
             ids_of, decimal_of = c.known.__getitem__, c.decimal.__getitem__

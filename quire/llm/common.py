@@ -9,8 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A slice of a batch holds about so many bytes of text; numpy's temporaries are some ten times that.
-SLICE_BYTES = 2 << 20
+#: A slice of a batch holds about so many bytes of text; numpy's temporaries are some thirty times that, twice an executor.
+SLICE_BYTES = 1_000_000
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

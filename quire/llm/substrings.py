@@ -27,7 +27,7 @@ SIZE = 20
 #: A perfect difference set: every distance modulo the period is a difference of two members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: A task sends its blocks off after so many entries.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BLOCK = "part int, rows binary, docs binary"
 
 
