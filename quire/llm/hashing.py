@@ -48,8 +48,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an Arrow string column, each text followed by a line feed, and where each text ends."""
+def text_buffer(column, feeds: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow string column, each text followed by line feeds, and where each text ends with them."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -61,11 +61,12 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and n else np.zeros(0, np.uint8)
     lengths = np.diff(offsets)
-    ends = np.cumsum(lengths + 1)
+    ends = np.cumsum(lengths + feeds)
     out = np.full(int(ends[-1]) if n else 0, 0x0A, np.uint8)
     if n:
         keep = np.ones(len(out), bool)
-        keep[ends - 1] = False
+        for k in range(1, feeds + 1):
+            keep[ends - k] = False
         out[keep] = data[offsets[0] : offsets[-1]]
     return out, ends
 

@@ -224,7 +224,7 @@ def test_quality_counts_match_brute_force():
 def brute_kneser_ney(texts_by_lang, lang):
     """Modified Kneser-Ney over the same bytes, with dictionaries."""
     n = quality.ORDER
-    data = b"\n" * (n - 1) + b"".join((t or "").encode() + b"\n" for t in texts_by_lang)
+    data = b"\n" * (n - 1) + b"".join((t or "").encode() + b"\n" * (n - 1) for t in texts_by_lang)
     counts = {n: Counter(data[i : i + n] for i in range(len(data) - n + 1))}
     for k in range(n - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -266,6 +266,11 @@ def test_quality_model_is_modified_kneser_ney(spark):
         assert (np.diff(keys) > 0).all()  # sorted hashes
 
 
+def test_quality_does_not_depend_on_how_rows_are_dealt(docs):
+    one = {(r.doc_id, r.n_words): round(r.log_perplexity or 0, 6) for r in quality.assess(docs.coalesce(1)).collect()}
+    assert one == {(r.doc_id, r.n_words): round(r.log_perplexity or 0, 6) for r in quality.assess(docs.repartition(7)).collect()}
+
+
 def test_quality_hash_is_sparks(spark):
     df = spark.createDataFrame([("", 0), ("en", 77), ("straße", (1 << 32) - 1)], "l string, c long")
     for r in df.select("l", "c", quality._hash(F.col("l"), F.col("c"), 4).alias("h")).collect():
