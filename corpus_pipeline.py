@@ -11,37 +11,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire import ship
 from quire.llm import nearjoin, packing, quality, substrings, toxicity
-from quire.llm.common import written
+from quire.llm.common import prepare, written
 from quire.llm.queries import table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie in their language's perplexity band. Nulls, repeated rows
     and empty tables as in ``quality.assess``."""
-    ship(spark)
+    prepare(spark)
     return quality.keep(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among ``docs``, scores below 0.7. Without
     labels of both classes none goes."""
-    ship(spark)
+    prepare(spark)
     labels = table(spark, sf_dir, "labels")
     return toxicity.keep(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    ship(spark)
+    prepare(spark)
     return nearjoin.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 20-word windows that start earlier in the corpus go. A text that loses words becomes the kept
     words joined by one space, and n_chars follows; other texts stay as they are. No row goes."""
-    ship(spark)
+    prepare(spark)
     found = substrings.strip(docs, prefix="__")
     changed = F.col("__n_removed") > 0
     text = F.when(changed, F.col("__kept")).otherwise(F.col("text"))
@@ -52,7 +51,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, without padding, as in ``op6_packing``."""
-    ship(spark)
+    prepare(spark)
     return packing.digests(packing.pack(docs, vocabulary("byte_bpe_50k.json")))
 
 

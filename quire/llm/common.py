@@ -9,8 +9,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import ship
+
 #: A slice of a batch holds about so many bytes of text; numpy's temporaries are some thirty times that, twice an executor.
 SLICE_BYTES = 1_000_000
+BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -41,6 +44,14 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(CLEAN_UP, before)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep Arrow batches small: an executor holds several of them at a time, outside its heap.
+    A size that the session was given is kept."""
+    ship(spark)
+    if spark.conf.get(BATCH_BYTES) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, from a Parquet table in the shared folder: it outlives executors and cuts the lineage."""
     spark = df.sparkSession

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire import ship
 from quire.llm import bpe, licenses, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, warc
-from quire.llm.common import shared_folder
+from quire.llm.common import prepare, shared_folder
 
 
 def vocabulary(name: str) -> str:
@@ -19,7 +18,7 @@ def vocabulary(name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
