@@ -292,18 +292,20 @@ def base_failed(n_words: Column, n_repeat: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat > 50 * n_words)
 
 
-def bands(scores: DataFrame, spread: float = 6.0, least: float = 0.4) -> DataFrame:
-    """(__band_lang, __low, __high): per language the median of the log perplexity plus and minus ``spread`` robust
-    standard deviations (from the quartiles), at least ``least``; over all documents that pass the base
-    rules. A language without such documents has no band, and keeps what passes the base rules."""
+def bands(scores: DataFrame, spread: float = 4.0) -> DataFrame:
+    """(__band_lang, __low, __high): per language the median of the log perplexity, minus and plus ``spread`` robust
+    standard deviations of its own side (from the quartile there); over all documents that pass the base rules.
+    A side whose quartile is the median takes the other side's deviation. A language without spread, or without
+    such documents, has no band, and keeps what passes the base rules."""
     good = scores.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & F.col("log_perplexity").isNotNull())
-    # exact quartiles of values in steps of a thousandth: a row per language and step, however many documents
-    steps = good.groupBy(F.coalesce("lang", F.lit("")).alias("__band_lang"), F.round(F.col("log_perplexity") * 1000).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    # exact quartiles of values in steps of a ten-thousandth: a row per language and step, however many documents
+    steps = good.groupBy(F.coalesce("lang", F.lit("")).alias("__band_lang"), F.round(F.col("log_perplexity") * 10_000).cast("long").alias("x")).agg(F.count("*").alias("n"))
     lang = Window.partitionBy("__band_lang")
     steps = steps.withColumn("upto", F.sum("n").over(lang.orderBy("x"))).withColumn("all", F.sum("n").over(lang))
     q = [F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("x"))).alias(f"q{i}") for i, share in enumerate((0.25, 0.5, 0.75))]
-    wide = F.greatest(F.lit(least), spread * (F.col("q2") - F.col("q0")) / 1349)
-    return steps.groupBy("__band_lang").agg(*q).select("__band_lang", (F.col("q1") / 1000 - wide).alias("__low"), (F.col("q1") / 1000 + wide).alias("__high"))
+    rows = steps.groupBy("__band_lang").agg(*q).withColumn("below", F.expr("nullif(q1 - q0, 0)")).withColumn("above", F.expr("nullif(q2 - q1, 0)"))
+    wide = lambda side, other: spread * F.coalesce(side, other) / 6745
+    return rows.select("__band_lang", (F.col("q1") / 10_000 - wide("below", "above")).alias("__low"), (F.col("q1") / 10_000 + wide("above", "below")).alias("__high"))
 
 
 def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:

@@ -301,6 +301,43 @@ def test_quality_rejects_noise_and_keeps_clean(spark):
     assert not any(got[1000 + i] for i in range(3)) and sum(got[i] for i in range(300)) >= 299
 
 
+def junk_and_clean(seed: int, n: int = 300, each: int = 8) -> list:
+    """Clean documents of invented words, and junk made of the same words: with symbols, in cells, with shuffled letters."""
+    rng = random.Random(seed)
+    parts = ["th", "er", "an", "on", "in", "re", "ed", "ha", "st", "ou", "ing", "tion", "ble", "ly"]
+    pool = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+
+    def words(k: int) -> list:
+        return [rng.choice(WORDS if rng.random() < 0.4 else pool) for _ in range(k)]
+
+    def shuffled(word: str) -> str:
+        return "".join(rng.sample(word, len(word)))
+
+    rows = [(i, " ".join(words(rng.randrange(150, 400))), "en", "s", 1) for i in range(n)]
+    for kind in range(3):
+        for i in range(each):
+            w = words(250)
+            text = " ".join(x + rng.choice("#$%&*") * 3 for x in w) if kind == 0 else " | ".join(w) if kind == 1 else " ".join(map(shuffled, w))
+            rows.append((1000 * (kind + 1) + i, text, "en", "s", 1))
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["symbols", "cells", "shuffled"])
+def test_quality_rejects_junk_of_ordinary_letters(spark, kind):
+    at = 1 + ["symbols", "cells", "shuffled"].index(kind)
+    rows = [r for r in junk_and_clean(5) if r[0] < 1000 or r[0] // 1000 == at]
+    got = {r.doc_id: r.kept for r in quality.assess(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not any(kept for i, kept in got.items() if i >= 1000)
+    assert sum(kept for i, kept in got.items() if i < 1000) >= 297
+
+
+def test_quality_band_without_spread_keeps(spark):
+    scores = [(i, lang, 60, 0, x) for i, (lang, x) in enumerate([("a", 1.23456)] * 5 + [("a", 1.5)] + [("b", 1.2)] * 3 + [("b", 1.3)] * 2 + [("b", 2.9)])]
+    df = spark.createDataFrame(scores, "doc_id long, lang string, n_words long, n_repeat_words long, log_perplexity double")
+    kept = {r.doc_id: r.kept for r in quality.judged(df, quality.bands(df)).collect()}
+    assert all(kept[i] for i in range(11)) and not kept[11]
+
+
 # ---- 5, 6, 7 ----
 
 ODD = ["", " ", "it's WE'LL <|endoftext|>x<|startoftext|>", "İstanbul ΟΔΟΣ ﬁ ẞ", "áë 한글 日本語 😀😀", "x" * 3000, "\x00\x1f\x85\xa0 z", "aaaa bbbb cccccccccccc", "12³½ ªº _-—", "<|endof <|>", "🏳️‍🌈"]
