@@ -338,6 +338,47 @@ def test_quality_band_without_spread_keeps(spark):
     assert all(kept[i] for i in range(11)) and not kept[11]
 
 
+@pytest.mark.parametrize("part", [1 << 22, 50])
+def test_quality_long_model_is_modified_kneser_ney(spark, monkeypatch, part):
+    """The whole model, in one part or in many: n-grams are longer than 4 bytes and none shares a place with another."""
+    monkeypatch.setattr(quality, "PART", part)
+    body = {"en": ["the cat sat on the mat " * 3, "a cat and a hat", "the end of it"], "fr": ["le chat est là " * 2, ""]}
+    rows = [(t, lang) for lang, ts in body.items() for t in ts] + [(None, "en"), ("the end of it", "en")]
+    body["en"] += [None, "the end of it"]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = quality.learn(df)
+    assert (model.agg(F.max("part")).first()[0] > 0) == (part < 1 << 22)
+    monkeypatch.setattr(quality, "ORDER", quality.LONG)
+    got = quality.score(df, model, prefix="p_").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if not r.text:
+            assert r.p_log_perplexity is None and r.p_short_perplexity is None
+            continue
+        p, n = brute_kneser_ney(body[r.lang], r.lang), quality.LONG
+        data = b"\n" * (n - 1) + r.text.encode()
+        grams = [data[i : i + n] for i in range(len(data) - n + 1)]
+        assert abs(r.p_log_perplexity + np.mean([np.log(p(g)) for g in grams])) < 1e-4
+        assert abs(r.p_short_perplexity + np.mean([np.log(p(g[-4:])) for g in grams])) < 1e-4
+
+
+def test_quality_every_ngram_has_its_own_place():
+    """More n-grams than the 4 M slots there once were: each is found with its own value, others are not."""
+    keys = np.random.default_rng(3).choice(1 << 47, 5_000_000).astype(np.uint64)
+    keys = np.unique(keys)
+    logs = np.arange(len(keys), dtype=np.float32)
+    part = quality.Part({"en": (keys, np.stack((logs, -logs), 1))})
+    got, hit = part.logs("en", keys)
+    assert hit.all() and (got[:, 0] == logs).all() and (got[:, 1] == -logs).all()
+    assert not part.logs("en", keys + np.uint64(1 << 47))[1].any() and not part.logs("fr", keys[:9])[1].any()
+
+
+def test_quality_uncounted_ngram_is_an_error(spark):
+    df = spark.createDataFrame([("abcdefgh", "en"), ("hgfedcba", "en")], "text string, lang string")
+    with pytest.raises(Exception, match="not counted"):
+        quality.score(df, quality.learn(df.limit(1))).collect()
+
+
 # ---- 5, 6, 7 ----
 
 ODD = ["", " ", "it's WE'LL <|endoftext|>x<|startoftext|>", "İstanbul ΟΔΟΣ ﬁ ẞ", "áë 한글 日本語 😀😀", "x" * 3000, "\x00\x1f\x85\xa0 z", "aaaa bbbb cccccccccccc", "12³½ ªº _-—", "<|endof <|>", "🏳️‍🌈"]
