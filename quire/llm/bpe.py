@@ -14,13 +14,19 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.llm.common import SLICE_BYTES, slices, texts
 from quire.llm.packing import byte_characters
 
-#: Words whose encodings a task keeps, twice: beyond that the older half goes. Only speed depends on it.
-KEPT_WORDS = 200_000
+#: Words whose encodings a process keeps, twice: beyond that the older half goes. Only speed depends on it.
+KEPT_WORDS = 150_000
+#: Pairs of tokens of which a process knows whether they stand side by side; beyond that all are forgotten.
+KEPT_PAIRS = 500_000
 _LOADED: dict = {}
 
 
@@ -183,8 +189,7 @@ class Codec:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -192,17 +197,28 @@ class Codec:
         self.trie = Trie(self.merges)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token = dict(self.merges.token) | {i: t for t, i in self.added.items()}
-        self.library = Tokenizer.from_file(path)
+        self._library = None
         letters, numbers = _letters()
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+")
         self.rare = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" if chr(a) not in "\\]^-" else re.escape(chr(a)) + "-" + chr(b) for a, b in FAST) + "]")
         self.special = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.byte = {b: c for c, b in byte_characters().items()}
-        self.decimal = {i: str(i) for i in self.token}
+        size = max(self.token, default=-1) + 1
+        self.text_of = pa.array([self.token.get(i) for i in range(size)], pa.string())
+        self.decimal_of = pa.array([str(i) for i in range(size)], pa.string())
         #: word -> its ids as little-endian bytes
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @property
+    def library(self):
+        """Only for texts with other than Latin letters, so most processes never load it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def words(self, text: str) -> list[str]:
         """The words, as the pre-tokenizer gives them before bytes are mapped; added tokens stand for themselves."""
         if self.special and "<" in text and self.special.search(text):
@@ -228,7 +244,7 @@ class Codec:
         again = fresh & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
         fresh -= again
-        if len(self.merges.side) > 2_000_000:
+        if len(self.merges.side) > KEPT_PAIRS:
             self.merges.side.clear()
         shown: dict[str, str] = {}
         for word in fresh:
@@ -242,12 +258,19 @@ class Codec:
         for mapped, ids in self.trie.encode(list(shown)):
             self.known[shown[mapped]] = pack(*ids)
 
-    def decode(self, ids: list[int]) -> str:
-        """The tokens joined by a space: the file names no decoder. Ids of no token are passed over."""
-        try:
-            return " ".join(map(self.token.__getitem__, ids))
-        except KeyError:
-            return " ".join(self.token[i] for i in ids if i in self.token)
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The text of each run of ids, which ends where ``ends`` (from 0 on) says: tokens joined by a space, as the
+        file names no decoder. Ids of no token are passed over."""
+        fine = (ids >= 0) & (ids < len(self.text_of))
+        fine[fine] = self.text_of.is_valid().to_numpy(zero_copy_only=False)[ids[fine]]
+        if not fine.all():
+            ends, ids = np.concatenate(([0], np.cumsum(fine)))[ends], ids[fine]
+        return joined(self.text_of, ids, ends)
+
+
+def joined(names: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The names of each run of ids, joined by a space."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), names.take(pa.array(ids))), " ")
 
 
 def codec(path: str) -> Codec:
@@ -256,6 +279,14 @@ def codec(path: str) -> Codec:
     return _LOADED[path]
 
 
+def encoded(c: Codec, texts_: list) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts in one array, and where each text's end (from 0 on); a null text has none."""
+    split = [c.words(t) if t else [] for t in texts_]
+    c.learn(set().union(*split))
+    raw = [b"".join(map(c.known.__getitem__, words)) for words in split]
+    return np.frombuffer(b"".join(raw), "<i4"), np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int64)
+
+
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, ids (array of ints) and ids_text (the same, in decimal, joined by a space).
 
@@ -265,44 +296,47 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
         c = codec(tokenizer_path)
-        for batch in slices(batches, "text", 4 * SLICE_BYTES):
-            split = [c.words(t) if t else [] for t in batch.column(1).to_pylist()]
-            c.learn(set().union(*split))
-            ids_of, decimal_of = c.known.__getitem__, c.decimal.__getitem__
-            raw = [b"".join(map(ids_of, words)) for words in split]
-            flat = np.frombuffer(b"".join(raw), "<i4")
-            counts = np.array([len(r) // 4 for r in raw], np.int64)
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            decimal = [" ".join(map(decimal_of, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), ids, pa.array(decimal, pa.string())], names=["doc_id", "n_tokens", "ids", "ids_text"])
+        for batch in slices(batches, "text", 2 * SLICE_BYTES):
+            ids, ends = encoded(c, batch.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), lists, joined(c.decimal_of, ids, ends)], names=["doc_id", "n_tokens", "ids", "ids_text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, ids_text string")
 
 
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_tokens, ids_text and decoded, as ``encode`` and then ``decode`` give them, in one pass: the ids
+    need no way through the JVM, and a task has one Python process. Nulls, repeated rows and empty tables as
+    there."""
+
+    def run(batches: Iterator) -> Iterator:
+        c = codec(tokenizer_path)
+        for batch in slices(batches, "text", 2 * SLICE_BYTES):
+            ids, ends = encoded(c, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), joined(c.decimal_of, ids, ends), c.decode(ids, ends)], names=["doc_id", "n_tokens", "ids_text", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return texts(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_text string, decoded string")
+
+
 def decode(rows: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
-    """All columns of ``rows`` but the ids, and decoded. Null ids decode to an empty text."""
+    """All columns of ``rows`` but the ids, and decoded. Null lists and empty ones decode to an empty text; a null id in
+    a list and an id of no token are passed over; repeated rows are decoded each; an empty table gives no rows."""
     rest = [c for c in rows.columns if c != ids_col]
     own = [f"__q{i}" for i in range(len(rest))]
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         c = codec(tokenizer_path)
         for batch in batches:
             n = batch.num_columns - 1
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = part.column(n)
-                flat, ends = lists.flatten().to_pylist(), [0]
-                for k in lists.value_lengths().to_pylist():
-                    ends.append(ends[-1] + (k or 0))
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array([c.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())], names=[*own, "decoded"])
+                ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], c.decode(ids, ends)], names=[*own, "decoded"])
 
     schema = ", ".join([*(f"{o} {rows.schema[c].dataType.simpleString()}" for o, c in zip(own, rest, strict=True)), "decoded string"])
-    return rows.select(*rest, ids_col).toDF(*own, "ids").mapInArrow(run, schema).toDF(*rest, "decoded")
+    return rows.select(*rest, F.col(ids_col).cast("array<int>")).toDF(*own, "ids").mapInArrow(run, schema).toDF(*rest, "decoded")

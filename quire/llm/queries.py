@@ -45,9 +45,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary("word_bpe_49k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), path).withColumn("ids_sha256", F.sha2("ids_text", 256)).drop("ids_text")
-    return bpe.decode(encoded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
