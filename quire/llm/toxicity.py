@@ -1,9 +1,10 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A document is the set of its hashed character n-grams (UTF-8 bytes of the text with A-Z folded); a
-feature's value is the log ratio of its smoothed document frequency among toxic and other training
-documents, and logistic regression learns a weight on top. The classifier is fitted on a bounded
-sample of labelled rows; whole texts of all documents are scored.
+A feature is a character n-gram (of the text with A-Z folded) that stands at least once, twice or three
+times in a document. Its value is the log ratio of its smoothed document frequency among toxic and other
+training documents; n-grams that the classes share alike are left out by a chi-square test, and logistic
+regression learns a weight on top of the rest. The classifier is fitted on a bounded sample of labelled
+rows; whole texts of all documents are scored.
 """
 
 from __future__ import annotations
@@ -15,165 +16,220 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, texts
+from quire.llm.common import dropped, slices, texts, written
 from quire.llm.hashing import text_buffer
 
-BITS = 20
-ORDERS = (5, 8)
+BITS = 21
+ORDERS = (4, 6)
+#: A feature for so many occurrences of an n-gram or more.
+LEVELS = 3
 #: At most so many training documents of either class.
-SAMPLE = 2000
+SAMPLE = 2500
+#: Features need so many training documents, and such a chi-square of class and presence (99.99997 % at 25).
+SEEN, CHI_SQUARE = 5, 25.0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
+_LEVEL_STEP = 0x5BD1E995
+
+
+def level_slot(slot: np.ndarray, level: int, bits: int = BITS) -> np.ndarray:
+    """The slot of "at least ``level`` times" of an n-gram."""
+    return ((slot.astype(np.int64) + (level - 1) * _LEVEL_STEP) & ((1 << bits) - 1)).astype(np.int32)
 
 
 def grams(column, orders=ORDERS, bits=BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per order the slot of each n-gram of all texts and the number of its text, repeats and all.
+    """Per order the slot of each n-gram of characters of all texts and the number of its text, repeats and all.
 
     N-grams do not reach over the end of a text, which counts as a line feed before and after it."""
     data, ends = text_buffer(column)
-    data = np.concatenate((np.full(1, 0x0A, np.uint8), _LOWER[data]))
-    # a text's n-grams start at the line feed before it at the earliest and end at the one after it
-    lengths = np.diff(np.concatenate(([0], ends)))
+    data = _LOWER[np.concatenate((np.full(1, 0x0A, np.uint8), data, np.zeros(3, np.uint8)))]
+    lead = np.flatnonzero((data[:-3] & 0xC0) != 0x80)  # the first byte of each character
+    size = np.diff(np.concatenate((lead, [len(data) - 3])))
+    char = data[lead].astype(np.uint64)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        char[more] |= data[lead[more] + k].astype(np.uint64) << np.uint64(8 * k)
+    char = (char + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    char ^= char >> np.uint64(29)
+    first = np.searchsorted(lead, np.concatenate(([1], ends + 1)))  # of each text, behind the line feed before it
     for order in orders:
-        m = max(0, len(data) - order + 1)
-        code = np.zeros(m, np.uint64)
+        code = np.zeros(max(len(char) - order + 1, 0), np.uint64)
         for k in range(order):
-            code <<= np.uint64(8)
-            code |= data[k : k + m]
-        code += np.uint64(order)
+            code *= np.uint64(0xD6E8FEB86659FD93)
+            code += char[k : k + len(code)]
+        code ^= code >> np.uint64(32)
         code *= np.uint64(0x9E3779B97F4A7C15)
         code >>= np.uint64(64 - bits)
-        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.maximum(lengths - order + 2, 0))
-        begin = np.concatenate(([0], ends[:-1]))
-        at = np.arange(len(owner)) + np.repeat(begin - np.concatenate(([0], np.cumsum(np.maximum(lengths - order + 2, 0))[:-1])), np.maximum(lengths - order + 2, 0)) if len(ends) else np.zeros(0, np.int64)
+        counts = np.maximum(np.diff(first) - order + 2, 0)
+        owner = np.repeat(np.arange(len(ends), dtype=np.int32), counts)
+        at = np.arange(len(owner)) + np.repeat(first[:-1] - 1 - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) if len(ends) else np.zeros(0, np.int64)
         yield code[at].astype(np.int32), owner
 
 
-def distinct(slot: np.ndarray, owner: np.ndarray, n: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct slots of each text, in one array, and where each text's begin (one more than texts)."""
+def leveled(slot: np.ndarray, owner: np.ndarray, n: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of each text, in one array, and where each text's begin (one more than texts)."""
     both = np.sort(owner.astype(np.int64) << bits | slot)
-    both = both[np.concatenate((np.ones(min(len(both), 1), bool), both[1:] != both[:-1]))]
+    start = np.concatenate((np.ones(min(len(both), 1), bool), both[1:] != both[:-1]))
+    count = np.arange(len(both)) - np.maximum.accumulate(np.where(start, np.arange(len(both)), 0))
+    found = [both[count == 0]]
+    for level in range(2, LEVELS + 1):
+        more = both[count == level - 1]
+        found.append(more >> bits << bits | level_slot(more & ((1 << bits) - 1), level, bits))
+    both = np.unique(np.concatenate(found))
     return (both & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(both, np.arange(n + 1, dtype=np.int64) << bits)
 
 
 def features(column) -> tuple[np.ndarray, np.ndarray]:
-    """All distinct slots of each text, as ``distinct`` gives them."""
+    """All features of each text, as ``leveled`` gives them."""
     slot, owner = (np.concatenate(x) for x in zip(*grams(column), strict=True))
-    return distinct(slot, owner, len(column))
+    return leveled(slot, owner, len(column))
 
 
 @dataclass
 class Model:
+    """The slots that have a weight, sorted, their weights, and the bias."""
+
+    slots: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weight of every slot, and whether an n-gram has a weight at any level; made once a process."""
+        if "_tables" not in self.__dict__:
+            dense = np.zeros(1 << BITS, np.float32)
+            dense[self.slots] = self.weights
+            every = np.arange(1 << BITS, dtype=np.int32)
+            live = dense != 0
+            for level in range(2, LEVELS + 1):
+                live |= dense[level_slot(every, level)] != 0
+            self.__dict__["_tables"] = dense, live
+        return self.__dict__["_tables"]
+
+    def __getstate__(self) -> dict:
+        return {"slots": self.slots, "weights": self.weights, "bias": self.bias}
+
     def score(self, column) -> np.ndarray:
         """Only n-grams with a weight are gathered; most have none."""
+        dense, live = self.tables()
         slots, owners = [], []
         for slot, owner in grams(column):
-            live = np.flatnonzero(self.weights[slot])
-            slots.append(slot[live])
-            owners.append(owner[live])
-        slot, begins = distinct(np.concatenate(slots), np.concatenate(owners), len(column))
-        sums = np.concatenate(([0], np.cumsum(self.weights[slot], dtype=np.float64)))
+            at = np.flatnonzero(live[slot])
+            slots.append(slot[at])
+            owners.append(owner[at])
+        slot, begins = leveled(np.concatenate(slots), np.concatenate(owners), len(column))
+        sums = np.concatenate(([0], np.cumsum(dense[slot], dtype=np.float64)))
         return 1 / (1 + np.exp(-np.clip(sums[begins[1:]] - sums[begins[:-1]] + self.bias, -30, 30)))
 
 
-def fit(docs: list[np.ndarray], label: np.ndarray, rounds: int = 200, penalty: float = 2e-2, alpha: float = 1.0, seen: int = 5) -> Model:
-    """Log-count ratios, then logistic regression with an L2 penalty by Nesterov steps. Classes weigh alike.
-    N-grams of fewer than ``seen`` training documents have no weight. Without both classes every score is
-    the same: 0.5 without any label, else near the only label. Documents pass in blocks of a fixed size, so
-    beside the slots themselves only arrays of the model's size are held."""
-    size = 1 << BITS
-    weights = np.zeros(size, np.float32)
+def chosen_features(slot: np.ndarray, pos: np.ndarray, all_: np.ndarray, positive: int, n: int, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, log-count ratios) of the features to learn from, by slot. ``pos`` and ``all_`` are in how many toxic and
+    in how many training documents each stands."""
+    order = np.argsort(slot)
+    slot, pos, all_ = slot[order], pos[order].astype(float), all_[order].astype(float)
+    ratio = np.log((alpha + pos) / (positive + 2 * alpha)) - np.log((alpha + all_ - pos) / (n - positive + 2 * alpha))
+    prior = positive / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = (pos - all_ * prior) ** 2 / (all_ * prior * (1 - prior) * (1 - all_ / n))
+    use = (all_ >= SEEN) & (np.abs(ratio) > 0.5) & (np.nan_to_num(chi, nan=0.0, posinf=np.inf) >= CHI_SQUARE)
+    return slot[use], ratio[use]
+
+
+def fit(docs: list[np.ndarray], label: np.ndarray, slots: np.ndarray, ratio: np.ndarray, rounds: int = 300, penalty: float = 2e-2) -> Model:
+    """Logistic regression over the given features (of each document, those of ``slots`` that it has) with an L2
+    penalty, by Nesterov steps. Classes weigh alike. Without both classes every score is the same: 0.5
+    without any label, else near the only label."""
     n, positive = len(label), int(label.sum())
     if not n or positive in (0, n):
-        return Model(weights, 0.0 if not n else (3.0 if positive else -3.0))
-    pos, all_ = np.zeros(size), np.zeros(size)
-    for slot, y in zip(docs, label, strict=True):  # slots are distinct within a document
-        all_[slot] += 1
-        if y > 0:
-            pos[slot] += 1
-    p, q = alpha + pos, alpha + all_ - pos
-    ratio = np.log(p / (positive + 2 * alpha)) - np.log(q / (n - positive + 2 * alpha))
-    use = (all_ >= seen) & (np.abs(ratio) > 0.5)
-    names = np.flatnonzero(use)
-    place = np.full(size, -1, np.int32)
-    place[names] = np.arange(len(names))
-    ratio = ratio[names]
-    columns = [c[c >= 0] for c in (place[slot] for slot in docs)]
-    del docs
-    blocks, at = [], 0
-    while at < n:
-        to, total = at, 0
-        while to < n and (to == at or total + len(columns[to]) <= 1 << 19):
-            total += len(columns[to])
-            to += 1
-        blocks.append((at, to, np.concatenate(columns[at:to]), np.array([len(c) for c in columns[at:to]])))
-        columns[at:to] = [None] * (to - at)
-        at = to
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0 if not n else (3.0 if positive else -3.0))
+    column = np.searchsorted(slots, np.concatenate(docs)) if len(slots) else np.zeros(0, np.int64)
+    lengths = np.array([len(d) for d in docs])
+    ends = np.cumsum(lengths)
     share = np.where(label > 0, 0.5 / positive, 0.5 / (n - positive))
 
     def sums(values: np.ndarray) -> np.ndarray:
-        """Of each document, the sum over its n-grams."""
-        out = np.zeros(n)
-        for a, b, column, lengths in blocks:
-            c = np.concatenate(([0], np.cumsum(values[column])))
-            ends = np.cumsum(lengths)
-            out[a:b] = c[ends] - c[ends - lengths]
-        return out
+        """Of each document, the sum over its features."""
+        c = np.concatenate(([0], np.cumsum(values[column])))
+        return c[ends] - c[ends - lengths]
 
     step = 1 / (0.25 * float((share * (sums(ratio**2) + 1)).sum()) + penalty)
-    w, old, bias, old_bias = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
+    w, old, bias, old_bias = np.zeros(len(slots)), np.zeros(len(slots)), 0.0, 0.0
     for t in range(rounds):
         pull = t / (t + 3)
         ahead, ahead_bias = w + pull * (w - old), bias + pull * (bias - old_bias)
-        z = sums(ahead * ratio) + ahead_bias
-        error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
-        gradient = np.zeros(len(names))
-        for a, b, column, lengths in blocks:
-            gradient += np.bincount(column, np.repeat(error[a:b], lengths), len(names))
+        error = share * (1 / (1 + np.exp(-np.clip(sums(ahead * ratio) + ahead_bias, -30, 30))) - label)
+        gradient = np.bincount(column, np.repeat(error, lengths), len(slots))
         old, old_bias = w, bias
         w, bias = ahead - step * (gradient * ratio + penalty * ahead), ahead_bias - step * float(error.sum())
-    weights[names] = w * ratio
-    return Model(weights, bias)
+    return Model(slots.astype(np.int32), (w * ratio).astype(np.float32), float(bias))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most ``sample`` documents of either class, those with the smallest hashes of their ids.
-
-    Rows whose crc32(id) modulo 3 is 1 and rows with a null id or label are left out; a document labelled
-    more than once counts as toxic if any label says so. One task fits the model, so only the weights,
-    of fixed size, reach the driver."""
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(y, text) of at most ``sample`` documents of either class, those with the smallest hashes of their ids."""
     of = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     of = of.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    of = of.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")  # labels of documents that are gone use up no place
     order = [F.xxhash64("id"), F.col("id")]
     chosen = of.filter("y > 0").orderBy(*order).limit(sample).union(of.filter("y <= 0").orderBy(*order).limit(sample))
+    found = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))  # two samples at most
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(F.when(F.col("y") > 0, 1).otherwise(0).alias("y"), "text")
 
-    def run(batches: Iterator) -> Iterator:
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on at most ``sample`` documents of either class that ``docs`` has.
+
+    Rows whose crc32(id) modulo 3 is 1 and rows with a null id or label are left out; a document labelled
+    more than once counts as toxic if any label says so; of rows with one id and several texts the smallest
+    text counts. Tasks count in how many documents each feature stands; only features that pass the test go
+    on, so that the task that fits holds few numbers a document, however long the texts are."""
+    rows = written(sampled(docs, labels, sample, id_col, text_col, label_col), "sample")
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total, hits = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        for batch in slices(batches, "text"):
+            slot, begins = features(batch.column(1))
+            toxic = np.repeat(batch.column(0).to_numpy(), np.diff(begins))
+            total += np.bincount(slot, minlength=1 << BITS).astype(np.int32)
+            hits += np.bincount(slot[toxic > 0], minlength=1 << BITS).astype(np.int32)
+        for at in np.array_split(np.flatnonzero(total), 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(hits[at].astype(np.int64)), pa.array(total[at].astype(np.int64))], names=["slot", "pos", "n"])
+
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    counts = rows.mapInArrow(count, "slot int, pos long, n long").groupBy("slot").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).filter(F.col("n") >= SEEN)
+    slots, ratio = np.zeros(0, np.int32), np.zeros(0)
+    if 0 < size.pos < size.n:
+        # what the two classes share alike goes before it reaches the driver
+        share = size.pos / size.n
+        far = F.pow(F.col("pos") - F.col("n") * share, 2) >= F.col("n") * share * (1 - share) * (1 - F.col("n") / size.n) * (CHI_SQUARE - 1e-6)
+        got = counts.filter(far).toArrow()
+        slots, ratio = chosen_features(*(got[c].to_numpy() for c in ("slot", "pos", "n")), size.pos, size.n)
+
+    def select(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
             slot, begins = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([slot[a:b].tobytes() for a, b in zip(begins, begins[1:], strict=False)], pa.binary())], names=["y", "slots"])
+            use = np.isin(slot, slots)
+            kept = [slot[a:b][use[a:b]].tobytes() for a, b in zip(begins, begins[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary())], names=["y", "slots"])
 
     def learn(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        found = [(y, np.frombuffer(x, np.int32)) for batch in batches for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-        found.sort(key=lambda x: (len(x[1]), x[1][:16].tobytes()))  # the same sums in every run
-        label = np.array([y > 0 for y, _ in found], np.float64)
-        model = fit([x for _, x in found], label)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([float(model.bias)])], names=["weights", "bias"])
+        found = [(y, x) for batch in batches for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        found.sort()  # the same sums in every run
+        model = fit([np.frombuffer(x, np.int32) for _, x in found], np.array([y for y, _ in found], np.float64), slots, ratio)
+        yield pa.RecordBatch.from_arrays([pa.array([model.slots.tobytes()], pa.binary()), pa.array([model.weights.tobytes()], pa.binary()), pa.array([float(model.bias)])], names=["slots", "weights", "bias"])
 
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).dropDuplicates(["doc_id"]).select("y", "text")
-    # the sample is bounded, so one task learns from it
-    got = rows.mapInArrow(run, "y int, slots binary").repartition(1).mapInArrow(learn, "weights binary, bias double").first()
-    return Model(np.frombuffer(got.weights, np.float32), got.bias)
+    # the sample is bounded, and so is what is left of each document, so one task learns from it
+    got = rows.mapInArrow(select, "y int, slots binary").repartition(1).mapInArrow(learn, "slots binary, weights binary, bias double").first()
+    dropped(rows)
+    return Model(np.frombuffer(got.slots, np.int32), np.frombuffer(got.weights, np.float32), got.bias)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "toxicity") -> DataFrame:
