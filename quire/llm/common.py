@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,8 +93,19 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Where a task gathers a partition, one has about so many bytes of the input's files.
+PARTITION_BYTES = 32 << 20
+
+
+def partitions(spark: SparkSession, read: DataFrame | None = None) -> int:
+    """The session's number of shuffle partitions; more where ``read`` is so large, by the optimizer's estimate from the
+    sizes of its files, that a task of that many partitions would gather too much."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if read is not None:
+        size = int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size < 1 << 60:  # an unknown size is given as a huge one
+            n = max(n, -(-size // PARTITION_BYTES))
+    return min(n, 1 << 20)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -139,6 +150,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels
-
-
-Arrow = Callable[[Iterator], Iterator]

@@ -8,8 +8,9 @@ of ``size - PERIOD + 1`` words at cover positions finds an anchor in every repea
 anchors that occur twice the match is extended to full windows, which are compared by 96-bit hashes.
 
 Rows move in blocks: a task gathers what goes to one partition into a few binary arrays. What repeats
-within a task is settled there, so a passage in a third of all documents reaches a partition once per
-task, not once per document.
+within a task is settled there and goes straight to its documents; one place of it goes to the partition
+of its hash, so a passage in a third of all documents reaches that partition once per block of FLUSH
+entries, not once per document. The number of partitions follows the size of the input's files.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def _groups(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(part[mine[0]]), mine
 
 
-def _reduce(blocks: DataFrame, n: int, settle, schema: str) -> DataFrame:
+def _gathered(blocks: DataFrame, n: int, settle, schema: str) -> DataFrame:
     """Deal blocks to their partitions and run ``settle(rows, docs)`` on each partition's."""
 
     def run(batches: Iterator) -> Iterator:
@@ -76,6 +77,31 @@ def _reduce(blocks: DataFrame, n: int, settle, schema: str) -> DataFrame:
     return blocks.repartitionById(n, F.col("part")).mapInArrow(run, schema)
 
 
+def _settled(blocks: DataFrame, n: int, settle) -> DataFrame:
+    """Deal blocks to their partitions, run ``settle(rows, docs)`` on each partition's, and pass on to their documents
+    the entries of blocks that were settled before (partition -1), which are dealt evenly."""
+
+    def run(batches: Iterator) -> Iterator:
+        rows, docs, done = [], [], []
+        for batch in batches:
+            for p, r, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if p >= 0:
+                    rows.append(r)
+                    docs.append(d)
+                    continue
+                done.append(r)
+                if sum(map(len, done)) > 12 * FLUSH:
+                    yield from _to_documents(*_unpack(done, "<i8", "<i4"), n)
+                    done = []
+        if done:
+            yield from _to_documents(*_unpack(done, "<i8", "<i4"), n)
+        if rows:
+            yield from settle(rows, docs)
+
+    part = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("rows"), F.lit(n)).cast("int"))
+    return blocks.repartitionById(n, part).mapInArrow(run, BLOCK)
+
+
 def _places(name: str, blocks: DataFrame, n: int) -> DataFrame:
     """(key, name): per document all its places, from blocks of (document key, place)."""
 
@@ -91,7 +117,7 @@ def _places(name: str, blocks: DataFrame, n: int) -> DataFrame:
             some = slice(at, at + 4096)
             yield pa.RecordBatch.from_arrays([pa.array(key[begins[some]]), pa.array([place[a:b].tobytes() for a, b in zip(begins[some], ends[some], strict=True)], pa.binary())], names=["key", name])
 
-    return _reduce(blocks, n, settle, f"key long, {name} binary")
+    return _gathered(blocks, n, settle, f"key long, {name} binary")
 
 
 def _to_documents(key: np.ndarray, place: np.ndarray, n: int) -> Iterator:
@@ -107,26 +133,31 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
     ``docs`` has doc_id (a long), text and key."""
     if size < PERIOD:
         raise ValueError(f"a window has {PERIOD} words or more")
-    n = partitions(docs.sparkSession)
+    n = partitions(docs.sparkSession, docs)
     span = size - PERIOD + 1
     in_cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches: Iterator) -> Iterator:
-        """Blocks of (hash, key, place, seen twice); a task's further places of an anchor go in the docs column."""
+        """Blocks of (hash, key, place, seen twice), one place of each hash; all places of those that the block itself
+        has twice go to their documents, in blocks of partition -1."""
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator:
             h, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             order = np.argsort(h, kind="stable")
-            h, key, place = h[order], key[order], place[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            twice = np.concatenate((h[1:] == h[:-1], [False]))
-            part = ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+            same = h[order][1:] == h[order][:-1]
+            first, twice = np.ones(len(h), bool), np.zeros(len(h), bool)
+            first[order[1:][same]] = False
+            twice[order[1:][same]] = twice[order[:-1][same]] = True
+            again = np.flatnonzero(twice)
+            if len(again):
+                yield _batch([-1], [_pack(key[again], place[again])], [b""])
+            once = np.flatnonzero(first)  # as read: a document's key repeats, which compresses
+            part = ((h[once] >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
             for p, mine in _groups(part):
-                mine = mine[np.argsort(order[mine])]  # as read: a document's key repeats, which compresses
-                a, b = mine[first[mine]], mine[~first[mine]]
-                yield _batch([p], [_pack(h[a].astype("<u4"), key[a], place[a], twice[a].astype("u1"))], [_pack(key[b], place[b])])
+                mine = once[mine]
+                yield _batch([p], [_pack(h[mine].astype("<u4"), key[mine], place[mine], twice[mine].astype("u1"))], [b""])
 
         for batch in slices(batches, "text"):
             words = Words(batch.column(1))
@@ -142,16 +173,15 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
         if held:
             yield from flush()
 
-    def shared(rows: list[bytes], more: list[bytes]) -> Iterator:
-        """Anchors that occur twice or more."""
+    def shared(rows: list[bytes], _) -> Iterator:
+        """Anchors that occur in several blocks; those that were seen twice in one are with their documents."""
         h, key, place, twice = _unpack(rows, "<u4", "<i8", "<i4", "u1")
         order = np.argsort(h, kind="stable")
         same = np.concatenate(([False], h[order][1:] == h[order][:-1], [False]))
-        found = order[same[1:] | same[:-1] | (twice[order] > 0)]
-        key2, place2 = _unpack(more, "<i8", "<i4")
-        yield from _to_documents(np.concatenate((key[found], key2)), np.concatenate((place[found], place2)), n)
+        found = order[(same[1:] | same[:-1]) & (twice[order] == 0)]
+        yield from _to_documents(key[found], place[found], n)
 
-    anchored = _places("places", _reduce(docs.select("doc_id", "text", "key").mapInArrow(anchors, BLOCK), n, shared, BLOCK), n)
+    anchored = _places("places", _settled(docs.select("doc_id", "text", "key").mapInArrow(anchors, BLOCK), n, shared), n)
 
     def extend(batches: Iterator) -> Iterator:
         """Blocks of (hash, check, document's number in the block, start) with the block's documents (id, key);
@@ -216,22 +246,7 @@ def repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     candidates = docs.join(anchored, "key").select("doc_id", "text", "key", "places").mapInArrow(extend, BLOCK)
 
-    # settled windows go straight to their documents: they share the second exchange with the others
-    def judge(batches: Iterator) -> Iterator:
-        rows, more = [], []
-        for batch in batches:
-            for p, r, d in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if p < 0:
-                    key, start = _unpack([r], "<i8", "<i4")
-                    yield from _to_documents(key, start, n)
-                else:
-                    rows.append(r)
-                    more.append(d)
-        if rows:
-            yield from later(rows, more)
-
-    dealt = candidates.repartitionById(n, F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("rows"), F.lit(n)).cast("int")))
-    return _places("starts", dealt.mapInArrow(judge, BLOCK), n)
+    return _places("starts", _settled(candidates, n, later), n)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
