@@ -203,7 +203,9 @@ def similar(classes: DataFrame, docs: DataFrame, bands: int, threshold: float, g
             yield pa.RecordBatch.from_arrays([batch.column(0), grams], names=["sig", "grams"])
 
     wanted = classes.join(chosen.select("sig").distinct(), "sig", "left_semi")
-    texts = docs.select("key", "text").join(wanted.select("key", "sig"), "key").dropDuplicates(["key"]).select("sig", "text")
+    # a document is known by its id and a hash of both: the hash alone could meet another's
+    one = wanted.select(F.col("key").alias("__key"), F.col("least").alias("__id"), "sig")
+    texts = docs.join(one, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["sig"]).select("sig", "text")
     sets = written(wanted.join(texts.mapInArrow(build, "sig binary, grams binary"), "sig").select("sig", "n", "copies", "bands", "grams"), "grams")
 
     def verify(batches: Iterator) -> Iterator:
@@ -258,7 +260,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, rec
     rows = keyed(docs, id_col, text_col)
     sign = written(signed(rows, bands, per, gram), "signed")
     alike = written(
-        sign.filter("sig is not null").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min("doc_id").alias("least")),
+        sign.filter("sig is not null")
+        .groupBy("sig")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        .select("sig", F.col("m.key").alias("key"), "n", "copies", "bands", F.col("m.doc_id").alias("least")),
         "alike",
     )
     links = similar(alike, rows, bands, threshold, gram)
@@ -266,7 +271,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, rec
     label = components(links.select(F.col("sig").alias("a"), F.col("parent").alias("b")))
     named = alike.select("sig", "copies", "least").join(label.withColumnRenamed("node", "sig"), "sig", "left").join(counted, "sig", "left")
     named = named.select("sig", "copies", "least", F.coalesce("label", "sig").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    # both sides of the join are tables, so that the rows of a large class can be split
+    named = written(named, "named")
+    least = written(named.groupBy("label").agg(F.min("least").alias("class_id")), "least")
     named = written(named.join(least, "label").select("sig", "label", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")), "classes")
     out = sign.select("doc_id", "key", "sig").join(named, "sig", "left")
     alone = F.col("label").isNull()
@@ -277,9 +284,9 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM
     """The rows of ``docs`` of which one of each class stays: that with the smallest id (a null id first; of
     equal ids one). Rows without words all stay. Columns as in ``docs``."""
     found = classes(docs, threshold, gram, id_col=id_col, text_col=text_col)
-    stay = found.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("m")).select(F.col("m.key").alias("__stay"))
+    stay = found.filter("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "key")).alias("m")).select(F.col("m.key").alias("__stay"), F.col("m.doc_id").alias("__stay_id"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), text))
     blank = ~text.rlike("[^ \\t\\n\\x0B\\f\\r]")
-    kept = rows.filter(~blank).join(stay, F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"])
+    kept = rows.filter(~blank).join(stay, (F.col("__key") == F.col("__stay")) & F.col(id_col).eqNullSafe(F.col("__stay_id")), "left_semi").dropDuplicates(["__key", id_col])
     return kept.select(*docs.columns).unionByName(docs.filter(blank))
