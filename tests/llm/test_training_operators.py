@@ -205,16 +205,65 @@ def test_licenses_base_matches_brute_force(spark):
     assert got == {i: brute_base(t) for i, t in enumerate(rows)}
 
 
-def test_licenses_method(spark):
-    notice = licenses.TEMPLATES[0][1]
-    rows = [(1, "Intro words. " + notice.capitalize() + " and more"), (2, notice.replace("foundation", "committee")), (3, "free software license public terms"), (4, "Released under the MIT License."), (5, None)]
-    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "gpl-notice" in got[1].labels and got[1].score == 1.0
-    assert "gpl-notice" not in got[2].labels  # a key phrase is missing
-    assert got[3].labels == "" and got[3].score == 0
-    assert got[4].labels == "mit,mit-notice" and got[4].base_labels == "mit"
-    assert got[5].n_words == 0 and got[5].labels == ""
-    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got.values())
+def brute_matches(text, index):
+    """Each template at every shift of the text, without an index."""
+    words = licenses.words_of(text)
+    best = {}
+    for t, (label, template, keys) in enumerate(index.templates):
+        rare = {p for w, posts in index.postings.items() for u, p in posts if u == t}
+        hit = {d: {p for p in rare if 0 <= d + p < len(words) and words[d + p] == template[p]} for d in range(-len(template), len(words))}
+        for low in hit:
+            near = [d for d in range(low, low + index.slip + 1) if hit.get(d)]
+            if not hit[low] or len(set().union(*(hit[d] for d in near))) < 2:
+                continue
+            span = words[max(low, 0) : near[-1] + len(template)]
+            if all(any(span[i : i + len(k)] == k for i in range(len(span) - len(k) + 1)) for k in keys):
+                share = sum(any(0 <= d + p < len(words) and words[d + p] == w for d in near) for p, w in enumerate(template)) / len(template)
+                if share >= index.least:
+                    best[label] = max(share, best.get(label, 0))
+    return best
+
+
+def test_licenses_method_matches_brute_force(spark):
+    rng = random.Random(12)
+    rows = [None, "", "license " * 400, "mit license " * 150, "x " * 20000 + "released under the MIT license"]
+    for label, text, _ in licenses.TEMPLATES:
+        words = text.split()
+        for _ in range(4):
+            w = list(words)
+            for _ in range(rng.randrange(4)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randrange(2)] = [rng.choice([*words, "zzz"])] * rng.randrange(2)
+            rows.append("intro words here. " * rng.randrange(3) + " ".join(w).capitalize() + " tail" * rng.randrange(5))
+    rows += [rows[9], rows[9], rows[20] + " " + rows[40]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    frequency, n = licenses.document_frequency(df, licenses.Index().lexicon)
+    index = licenses.Index(frequency=frequency, n_docs=n)
+    for r in licenses.scan(df).collect():
+        text = rows[r.doc_id]
+        if text and len(text) > 30000:
+            assert r.labels == "mit" and r.n_words == 20005
+            continue
+        want = brute_matches(text, index)
+        assert {m.label: m.score for m in r.matches} == want, text
+        assert r.labels == ",".join(sorted(set(want) | set(filter(None, brute_base(text)[4].split(","))))) and r.score == max(want.values(), default=0)
+    assert sum(len(brute_matches(t, index)) for t in rows[:60] if t and len(t) < 3000) > 30
+
+
+def test_licenses_names_and_versions_apart():
+    index = licenses.Index()
+    notice = licenses.foundation_notice
+    cases = {
+        notice("program", "gnu affero general public license", "3"): {"agpl-3.0"},
+        notice("program", "gnu general public license", "2"): {"gpl-2.0"},
+        notice("library", "gnu lesser general public license", "2 1"): {"lgpl-2.1"},
+        notice("program", "gnu general public license", "3").replace("terms of the", "terms of the very same"): {"gpl-3.0"},
+        notice("program", "gnu general public license", "3").replace("general public", "general"): set(),
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc-4.0"},
+        "free software license public terms": set(),
+    }
+    for text, want in cases.items():
+        assert set(index.scan(licenses.words_of(text))[2]) == want, text
 
 
 def test_licenses_empty(empty):
