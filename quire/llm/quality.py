@@ -4,9 +4,9 @@ The language model is a modified Kneser-Ney model over the bytes of the texts, o
 counted by Spark over all documents: n-grams of LONG bytes, which is about a word with its space.
 N-grams of the highest order are counted per task and summed; everything below follows from the
 distinct n-grams with joins and sums. The finished model is a table with a row for each distinct
-n-gram, so it grows with the corpus; keys are the language and the bytes themselves, and no two
-n-grams share a place. Tasks hold PART rows of it at a time: a larger model is scored part by part,
-and the sums are added. A document is rejected if the log of its perplexity, by the whole n-grams or
+n-gram, so it grows with the corpus. Tasks hold PART rows of it at a time, as sorted arrays of
+invertible hashes: no two n-grams share one. A larger model is scored part by part, and the sums
+are added. A document is rejected if the log of its perplexity, by the whole n-grams or
 by their last ORDER bytes, leaves the band of its language, which is taken from quantiles over
 all documents of that language that pass the base rules.
 """
@@ -27,7 +27,7 @@ from quire.llm.hashing import text_buffer
 
 ORDER = 4
 LONG = 6
-#: N-grams of the model that a task holds at a time, 16 bytes each and twice that in its table.
+#: N-grams of the model that a task holds at a time, 16 bytes each and up to 8 in the index.
 PART = 1 << 22
 #: Up to so many languages a table of one row each is broadcast; beyond, it is shuffled.
 MANY_LANGUAGES = 10_000
@@ -257,58 +257,55 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 
 class Part:
-    """A part of the model: per language distinct n-grams with the log probabilities of all their bytes and of the last
-    ORDER. Looked up in a table with open places, made once a process."""
+    """A part of the model: per language the hashes of distinct n-grams, sorted, and aligned with them the log
+    probabilities of all their bytes and of the last ORDER. The hash is a bijection, so no two n-grams share one;
+    an index by its first bits, made once a process, says where to look."""
 
     def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.grams, self.tables = grams, {}
+        self.arrays: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.index: dict[str, tuple[np.ndarray, np.uint64]] = {}
+        for lang in list(grams):
+            keys, logs = grams.pop(lang)
+            h = scrambled(keys)
+            order = np.argsort(h)
+            self.arrays[lang] = h[order], logs[order]
 
     def __getstate__(self) -> dict:
-        return {"grams": self.grams, "tables": {}}
-
-    def _table(self, lang: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
-        if lang not in self.tables:
-            keys, logs = self.grams.pop(lang)
-            bits = max(4, int(1.5 * len(keys)).bit_length())
-            places, values, shift = np.full(1 << bits, FREE), np.zeros((1 << bits, 2), np.float32), np.uint64(64 - bits)
-            at, left = _place(keys, shift), np.arange(len(keys))
-            while len(left):
-                free = places[at] == FREE
-                places[at[free]] = keys[left[free]]  # one of those with the same place stays
-                done = places[at] == keys[left]
-                values[at[done]] = logs[left[done]]
-                at, left = (at[~done] + 1) & ((1 << bits) - 1), left[~done]
-            self.tables[lang] = places, values, shift
-        return self.tables[lang]
+        return {"arrays": self.arrays, "index": {}}
+
+    def _begins(self, lang: str) -> tuple[np.ndarray, np.uint64]:
+        """Where the hashes of each bucket begin, and how far a hash is shifted to give its bucket."""
+        if lang not in self.index:
+            hashes = self.arrays[lang][0]
+            bits = max(4, len(hashes).bit_length())
+            counts = np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            self.index[lang] = np.concatenate(([0], np.cumsum(counts))).astype(np.int32), np.uint64(64 - bits)
+        return self.index[lang]
 
     def logs(self, lang: str, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each n-gram the two log probabilities, and whether it is in this part; zeros if not."""
         out, hit = np.zeros((len(code), 2), np.float32), np.zeros(len(code), bool)
-        if lang not in self.grams and lang not in self.tables:
+        if lang not in self.arrays or not len(self.arrays[lang][0]):
             return out, hit
-        places, values, shift = self._table(lang)
-        at, left = _place(code, shift), None
-        while True:
-            seen = places[at]
-            same = seen == (code if left is None else code[left])
-            if left is None:
-                hit, out = same, values[at]
-                left = np.arange(len(code))
-            else:
-                hit[left[same]] = True
-                out[left[same]] = values[at[same]]
-            go = ~same & (seen != FREE)
-            at, left = (at[go] + 1) & (len(places) - 1), left[go]
+        hashes, values = self.arrays[lang]
+        begins, shift = self._begins(lang)
+        h = scrambled(code)
+        bucket = (h >> shift).astype(np.int64)
+        at, stop, left = begins[bucket], begins[bucket + 1], None
+        while True:  # a bucket has one hash on average
+            go = at < stop
+            at, stop, left = at[go], stop[go], np.flatnonzero(go) if left is None else left[go]
             if not len(left):
-                out[~hit] = 0
                 return out, hit
+            same = hashes[at] == h[left]
+            hit[left[same]] = True
+            out[left[same]] = values[at[same]]
+            at, stop, left = at[~same] + 1, stop[~same], left[~same]
 
 
-FREE = np.uint64((1 << 64) - 1)
-
-
-def _place(code: np.ndarray, shift: np.uint64) -> np.ndarray:
-    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+def scrambled(code: np.ndarray) -> np.ndarray:
+    """An invertible hash: an odd factor modulo 2**64."""
+    return code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
