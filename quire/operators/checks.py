@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import NORMALIZATION_VERSION, TOKENIZER_VERSION, normalize
@@ -27,13 +27,52 @@ def skip_reason(text: Column, least: int = 1) -> Column:
 
 
 def skip_counts(df: DataFrame, reason: Column, example: str) -> DataFrame:
-    """(reason, n, examples): counts, and the three smallest ids as examples. Only three per task are kept."""
+    """(reason, n, examples): counts, and the three smallest ids as examples; no more than three a task and reason
+    are shuffled for them."""
     rows = df.select(reason.alias("reason"), F.col(example).alias("x")).filter("reason is not null")
-    counts = rows.groupBy("reason").agg(F.count("*").alias("n"), F.min("x").alias("e1"))
-    second = rows.join(counts.select("reason", "e1"), "reason").filter("x > e1").groupBy("reason").agg(F.min("x").alias("e2"))
-    third = rows.join(second, "reason").filter("x > e2").groupBy("reason").agg(F.min("x").alias("e3"))
-    out = counts.join(second, "reason", "left").join(third, "reason", "left")
-    return out.select("reason", "n", F.concat_ws(",", "e1", "e2", "e3").alias("examples"))
+    counts = rows.groupBy("reason").agg(F.count("*").alias("n"))
+    few = rows.withColumn("k", F.row_number().over(Window.partitionBy("reason").orderBy("x"))).filter("k <= 3")
+    shown = few.groupBy("reason").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.cast("string")), ",").alias("examples"))
+    return counts.join(shown, "reason").select("reason", "n", "examples")
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n) of each table after a load."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def value_audit(df: DataFrame, column: str, counts: dict[str, Column] | None = None) -> DataFrame:
+    """The spellings of a column and how often each stands, white space at the ends aside; more counts by name."""
+    more = [F.count_if(c).alias(name) for name, c in (counts or {}).items()]
+    return df.groupBy(F.trim(F.col(column)).alias(column)).agg(F.count("*").alias("n"), *more)
+
+
+def has_all(df: DataFrame, key: str, wanted: list) -> DataFrame:
+    """One row, ``has_all``: whether every wanted id is in the column."""
+    return df.agg((F.count_distinct(F.when(F.col(key).isin(*wanted), F.col(key))) == len(set(wanted))).alias("has_all"))
+
+
+def first_of(df: DataFrame, column: str, n: int = 10) -> DataFrame:
+    """The first values by order, for a report."""
+    return df.select(column).distinct().orderBy(column).limit(n)
+
+
+def result_features(terms: Column, qualities: Column) -> dict[str, Column]:
+    """What a sample of extraction results should cover: any quality, a substance's part, a place, an action that is
+    linked to something. Missing arrays have none."""
+    any_ = lambda p: F.coalesce(F.exists(terms, p), F.lit(False))
+    place = lambda t: F.coalesce(t["variant_place_lemma_normalized"], F.lit("")) != ""
+    linked = lambda t: t["label"].isin("PROCESS", "ADMINISTRATION") & (F.coalesce(t["applies_to"]["kind"], F.lit("UNSPECIFIED")) != "UNSPECIFIED")
+    return {
+        "has_quality": F.coalesce(F.size(qualities) > 0, F.lit(False)),
+        "has_substance_part": any_(lambda t: F.coalesce(t["label"] == "SUBSTANCE_PART", F.lit(False))),
+        "has_place": any_(place),
+        "has_linked_action": any_(lambda t: F.coalesce(linked(t), F.lit(False))),
+    }
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -65,7 +104,7 @@ def validate(entries: DataFrame, lemmata: DataFrame, parts: DataFrame, preparati
     norm = text("greek_normalized")
     accented = text("greek").rlike("^[ἀ-ἇᾰᾱὰά]")
     ids = entries.filter(F.size(F.filter(F.split(text("lemma_ids"), ","), lambda x: F.trim(x) != "")) > 0)
-    ids = ids.select("entry_id", F.explode(F.filter(F.transform(F.split("lemma_ids", ","), F.trim), lambda x: x != "")).alias("l"))
+    ids = ids.select("entry_id", F.explode(F.filter(F.transform(F.split("lemma_ids", ","), lambda x: F.trim(x)), lambda x: x != "")).alias("l"))
     one = entries.agg(
         F.count_if(~text("trans_status").isin(*statuses)).alias("trans_status"),
         F.count_if(text("chapter_title_gr").contains("\n") | text("greek").contains("\n") | text("translation").contains("\n")).alias("embedded_newline"),
@@ -189,10 +228,10 @@ def span_matches(text: Column, start: Column, end: Column, quote: Column) -> Col
     return F.substring(text, start + 1, end - start) == quote
 
 
-def payload_valid(kind: Column, payload: Column) -> Column:
+def payload_valid(kind: Column, payload: Column, required: dict[str, list[str]] | None = None) -> Column:
     """Whether the JSON payload has the keys that its assertion type needs."""
     out = F.lit(True)
-    for k, keys in PAYLOAD_KEYS.items():
+    for k, keys in (PAYLOAD_KEYS if required is None else required).items():
         has = F.lit(True)
         for name in keys:
             has = has & F.get_json_object(payload, f"$.{name}").isNotNull()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import normalize, prefix_key, search_key
@@ -63,8 +63,11 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return found.join(n).filter(F.when(F.col("__n") < 2, True).otherwise(F.raise_error(F.lit("more than one row")))).drop("__n")
 
 
-def list_filter(entries: DataFrame, sources: list[str] | None = None, active: bool | None = True, linked: dict[str, tuple[DataFrame, bool]] | None = None, key: str = "entry_id", contains: tuple[str, str] | None = None) -> DataFrame:
-    """Filters of the list view. ``linked`` maps a name to a table with the key and whether a row must be there."""
+def list_filter(entries: DataFrame, sources: list[str] | None = None, active: bool | None = True, linked: dict[str, tuple[DataFrame, bool]] | None = None, key: str = "entry_id", contains: tuple[str, str] | None = None, equals: dict[str, list] | None = None) -> DataFrame:
+    """Filters of the list view. ``linked`` maps a name to a table with the key and whether a row must be there;
+    ``equals`` a column (book, chapter, status, category) to the values that are wanted."""
+    for column, values in (equals or {}).items():
+        entries = entries.filter(F.col(column).isin(*values))
     if sources:
         entries = entries.filter(F.col("source").isin(*sources))
     if active is not None:
@@ -77,14 +80,19 @@ def list_filter(entries: DataFrame, sources: list[str] | None = None, active: bo
     return entries
 
 
-def facet(assertions: DataFrame, entries: DataFrame, kind: str, where: dict[str, str], stale: bool = False, payload: str = "payload", fk: str = "tei_entry_id") -> DataFrame:
-    """Active entries with an assertion of a kind whose JSON payload has the given texts."""
+def facet(assertions: DataFrame, entries: DataFrame, kind: str, where: dict[str, str], stale: bool = False, payload: str = "payload", fk: str = "tei_entry_id", sources: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
+    """Active entries with an assertion of a kind whose JSON payload has the given texts; of the given sources (of the
+    entry) and statuses (of the assertion) alone."""
     rows = assertions.filter(F.col("assertion_type") == kind)
+    if statuses:
+        rows = rows.filter(F.col("status").isin(*statuses))
+    if sources:
+        entries = entries.filter(F.col("source").isin(*sources))
     if not stale:
         rows = rows.filter(~F.coalesce(F.col("is_stale"), F.lit(False)))
     for path, value in where.items():
         rows = rows.filter(F.get_json_object(payload, f"$.{path}") == value)
-    return rows.join(entries.filter("is_active"), F.col(fk) == F.col("id")).select(entries["*"], rows["payload"])
+    return rows.join(entries.filter("is_active"), F.col(fk) == F.col("id")).select(entries["*"], rows[payload])
 
 
 def facet_substance(entries: DataFrame, links: DataFrame, forms: DataFrame, lemmata: DataFrame, prefix: str) -> DataFrame:
@@ -120,8 +128,25 @@ def sharing(links: DataFrame, entry: str, lemma: str, most: int = 3) -> DataFram
     smaller id. A headword of m entries makes m * m rows, so callers pass headwords that are not ubiquitous."""
     a, b = links.select(F.col(entry).alias("a"), lemma).distinct(), links.select(F.col(entry).alias("b"), lemma).distinct()
     pairs = a.join(b, lemma).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
-    best = pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n_shared")).alias("o"), "b"))), 1, most).alias("m"))
-    return best.select("a", F.explode("m").alias("x")).select("a", F.col("x.b").alias("b"), (-F.col("x.o")).alias("n_shared"))
+    best = Window.partitionBy("a").orderBy(F.col("n_shared").desc(), "b")
+    return pairs.withColumn("__k", F.row_number().over(best)).filter(F.col("__k") <= most).drop("__k")
+
+
+def shared_headwords(links: DataFrame, lemma: str, source: str, least: int = 2) -> DataFrame:
+    """Headwords attested in several sources: (lemma, n_sources)."""
+    return links.groupBy(lemma).agg(F.count_distinct(source).alias("n_sources")).filter(F.col("n_sources") >= least)
+
+
+def type_counts(alignments: DataFrame) -> DataFrame:
+    """(alignment_type, n) in order of the type."""
+    return alignments.groupBy("alignment_type").agg(F.count("*").alias("n")).orderBy("alignment_type")
+
+
+def distinct_tokens(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct normalized tokens of many columns: (token)."""
+    cells = F.array(*[F.col(c).cast("string") for c in columns])
+    tokens = F.flatten(F.transform(cells, lambda c: token_list(c)))
+    return df.select(F.explode(F.array_distinct(tokens)).alias("token")).distinct()
 
 
 def aligned(alignments: DataFrame) -> DataFrame:
@@ -133,8 +158,6 @@ def mentions(tokens: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     """(key, token_index, lemma_id, n_tokens) wherever an alias of one or more words stands. An alias is found at
     its first word by equality and then compared whole with the tokens that follow."""
     first = aliases.select("lemma_id", F.split("alias_normalized", " ").alias("words")).withColumn("w", F.col("words")[0]).withColumn("n", F.size("words"))
-    from pyspark.sql import Window
-
     longest = aliases.agg(F.max(F.size(F.split("alias_normalized", " ")))).first()[0] or 1
     ahead = Window.partitionBy(key).orderBy("token_index").rowsBetween(0, longest - 1)
     rows = tokens.select(key, "token_index", "token_normalized", F.collect_list("token_normalized").over(ahead).alias("run"))

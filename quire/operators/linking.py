@@ -103,8 +103,13 @@ def assign_parts(entries: DataFrame, parts: DataFrame, key: str, cell: str, cate
     """(key, part_id) where the Greek tokens of a cell point at exactly one part. A form of several parts counts
     for the one that the entry's category decides on, else for none."""
     words = entries.select(key, category, F.explode(F.transform(greek_tokens(F.col(cell)), lambda t: normalize(t, "1.0"))).alias("form"))
-    forms = part_forms(parts).groupBy("form").agg(F.collect_set("part_id").alias("ids"))  # as many as one form has parts
-    wanted = F.create_map(*[F.lit(x) for kv in CATEGORY_PARTS.items() for x in kv])
+    return unique_targets(words, part_forms(parts), key, category, CATEGORY_PARTS)
+
+
+def unique_targets(words: DataFrame, forms: DataFrame, key: str, category: str, decides: dict[str, str]) -> DataFrame:
+    """(key, part_id) of words(key, category, form) and forms(form, part_id): where all words point at one part."""
+    forms = forms.groupBy("form").agg(F.collect_set("part_id").alias("ids"))  # as many as one form has parts
+    wanted = F.create_map(*[F.lit(x) for kv in decides.items() for x in kv])
     choice = F.try_element_at(wanted, F.col(category))
     one = F.when(F.size("ids") == 1, F.col("ids")[0]).when(F.array_contains("ids", choice), choice)
     found = words.join(forms, "form").select(key, one.alias("part_id")).filter("part_id is not null")
@@ -146,14 +151,26 @@ def link_preparations(entries: DataFrame, preparations: DataFrame, key: str, fie
     A token matches the first rule that has its form; a preparation is noted where it is first seen."""
     words = field_tokens(entries, key, fields).filter(~F.col("token").isin(*NOT_PREPARATIONS))
     forms = preparation_forms(preparations, words.select("token"))
+    linked, rest = first_matches(words, forms, key)
+    loose = rest.filter(stem_reason(F.col("token")).isNotNull())
+    return linked, loose.select(key, F.col("surface").alias("token"), clip(F.col("cell"), 180).alias("context"))
+
+
+def first_matches(words: DataFrame, forms: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Words (key, field, field_no, pos, surface, token) against forms (form, prep_id, rule): (key, prep_id, is_primary,
+    notes), noted where first seen, and the words that no form matches."""
     rule = forms.groupBy("form").agg(F.min_by("prep_id", F.struct("rule", "prep_id")).alias("prep_id"))
     joined = words.join(rule, words["token"] == rule["form"], "left")
     place = F.struct("field_no", "pos")
     first = joined.filter("prep_id is not null").groupBy(key, "prep_id").agg(F.min(place).alias("at"), F.min_by(F.concat(F.lit("matched_in="), "field", F.lit("; token="), "surface"), place).alias("notes"))
     order = Window.partitionBy(key).orderBy("at")
     linked = first.select(key, "prep_id", (F.row_number().over(order) == 1).alias("is_primary"), "notes")
-    loose = joined.filter(F.col("prep_id").isNull() & stem_reason(F.col("token")).isNotNull())
-    return linked, loose.select(key, F.col("surface").alias("token"), clip(F.col("cell"), 180).alias("context"))
+    return linked, joined.filter(F.col("prep_id").isNull()).select(*words.columns)
+
+
+def term_counts(words: DataFrame, key: str) -> DataFrame:
+    """(token, n, example): how often each word stands, and the smallest key that has it."""
+    return words.groupBy("token").agg(F.count("*").alias("n"), F.min(key).alias("example"))
 
 
 def review_candidates(entries: DataFrame, known: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -176,6 +193,32 @@ def parent_lemmata(lemmata: DataFrame, least: int = 4) -> DataFrame:
     return found.groupBy("lemma_id").agg(F.max_by("canonical_id", F.char_length("norm")).alias("parent_lemma")).filter("lemma_id <> parent_lemma")
 
 
+def family_parents(lemmata: DataFrame, head: str) -> DataFrame:
+    """(lemma_id, parent_lemma): headwords that have the word ``head`` beside others belong to it, as oils do to oil."""
+    words = F.split("headword_normalized", " ")
+    parent = canonical_ids(lemmata).filter(F.col("norm") == head).select(F.col("canonical_id").alias("parent_lemma"))
+    members = lemmata.filter((F.size(words) > 1) & F.array_contains(words, head)).select("lemma_id", F.lit(head).alias("norm"))
+    return members.join(parent.withColumn("norm", F.lit(head)), "norm").select("lemma_id", "parent_lemma")
+
+
+def assigned_parents(lemmata: DataFrame, heads: tuple[str, ...] = ("ελαιον",), least: int = 4) -> DataFrame:
+    """(lemma_id, parent_lemma, relationship): the families come first, then the longest prefix."""
+    out = None
+    for head in heads:
+        one = family_parents(lemmata, head)
+        out = one if out is None else out.union(one.join(out, "lemma_id", "left_anti"))
+    prefix = parent_lemmata(lemmata, least).join(out.select("lemma_id"), "lemma_id", "left_anti")
+    return out.withColumn("relationship", F.lit("family")).union(prefix.withColumn("relationship", F.lit("prefix")))
+
+
+def constant_lookup(df: DataFrame, lookup: DataFrame, where: Column, value: str, out: str) -> DataFrame:
+    """``df`` with a column that has the one value that a small table gives for a code; none or two raise an error."""
+    found = lookup.filter(where).select(value).distinct().limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} rows for the constant {out}")
+    return df.withColumn(out, F.lit(found[0][0]))
+
+
 def match_classes(names: DataFrame, known: DataFrame) -> DataFrame:
     """(name, match): exact, variant (equal only when normalized) or new."""
     exact = known.select(F.col("name").alias("__e")).distinct()
@@ -197,6 +240,14 @@ def vocabulary_facets(texts: DataFrame, key: str, text: str, vocabulary: DataFra
     return hits.groupBy(key, "domain").agg(F.array_join(F.sort_array(F.collect_list("english")), ",").alias("terms"))
 
 
+def heading_terms(texts: DataFrame, key: str, text: str, vocabulary: DataFrame, order: tuple[str, ...] = ("part", "product", "variety", "state")) -> DataFrame:
+    """(key, terms): the vocabulary terms of a heading in one cell, by the order of their domains, then by name."""
+    facets = vocabulary_facets(texts, key, text, vocabulary)
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("domain"))
+    rows = facets.filter(place > 0).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(place.alias("p"), "terms"))).alias("m"))
+    return rows.select(key, F.array_join(F.transform("m", lambda x: x["terms"]), ",").alias("terms"))
+
+
 def bridged(rows: DataFrame, key: str, bridge: DataFrame, old: str, new: str) -> tuple[DataFrame, DataFrame]:
     """Rows under the ids that a bridge table has for their old ones, and the queue of rows without."""
     known = bridge.groupBy(F.col(old).alias("__old")).agg(F.min(new).alias(new))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -28,27 +29,37 @@ class Reader:
     sign stands apart from the words beside it."""
 
     def __init__(self) -> None:
-        self.text = ""
+        self.parts: list[str] = []
+        self.size, self.tail = 0, ""  # of what has been put, and its last characters
         self.events: list[dict] = []
         self.findings: list[str] = []
 
+    @property
+    def text(self) -> str:
+        return "".join(self.parts)
+
+    def put(self, piece: str) -> None:
+        self.parts.append(piece)
+        self.size += len(piece)
+        self.tail = (self.tail + piece)[-len(GAP) :]
+
     def add(self, piece: str | None) -> None:
         for i, word in enumerate((piece or "").split()):
-            space = self.text and (i or piece[0].isspace() or self.text.endswith(GAP)) and not self.text.endswith(" ")
-            if self.text.endswith(GAP) and not (i or piece[0].isspace()) and not word[0].isalnum():
+            space = self.size and (i or piece[0].isspace() or self.tail == GAP) and not self.tail.endswith(" ")
+            if self.tail == GAP and not (i or piece[0].isspace()) and not word[0].isalnum():
                 space = False  # no space before punctuation
-            self.text += (" " if space else "") + word
-        if piece and piece[-1].isspace() and self.text and not self.text.endswith(" "):
-            self.text += " "
+            self.put((" " if space else "") + word)
+        if piece and piece[-1].isspace() and self.size and not self.tail.endswith(" "):
+            self.put(" ")
 
     def walk(self, node) -> None:
         name = _name(node)
         if not name or name in LEFT_OUT:
             return
         if name in ("pb", "lb"):
-            self.events.append({"kind": name, "n": node.get("n"), "ed": node.get("ed"), "offset": len(self.text)})
+            self.events.append({"kind": name, "n": node.get("n"), "ed": node.get("ed"), "offset": self.size})
         elif name == "gap":
-            self.text += (" " if self.text and not self.text.endswith(" ") else "") + GAP
+            self.put((" " if self.size and not self.tail.endswith(" ") else "") + GAP)
         elif name in ("choice", "app"):
             self.choose(node, name)
         else:
@@ -102,7 +113,7 @@ def parse(doc_id: str, content: bytes | str, unit: str = "div", leaf_type: str |
         if _name(node) == unit:
             head = next((c for c in node if _name(c) == "head"), None)
             here = [*path, {"type": node.get("type"), "n": node.get("n"), "xml_id": node.get(XML_ID), "head": " ".join("".join(head.itertext()).split()) if head is not None else None}]
-            leaf = not any(_name(d) == unit for d in node.iter() if d is not node)
+            leaf = not any(_name(d) == unit and (leaf_type is None or d.get("type") == leaf_type) for d in node.iter() if d is not node)
             if leaf and (leaf_type is None or node.get("type") == leaf_type):
                 ident = node.get(XML_ID)
                 text, events, findings = read_segment(node)
@@ -119,15 +130,28 @@ def parse(doc_id: str, content: bytes | str, unit: str = "div", leaf_type: str |
             yield from visit(child, here)
 
     yield from visit(root, [])
+    if not number:
+        yield doc_id, -1, None, None, [], [], "error", "zero_segments"
+
+
+def selection(xpath: str) -> tuple[str, str | None]:
+    """(element, type) of a configuration's expression for segments: all elements of a name, of a type if one is given,
+    that have no such element inside them. Other expressions raise an error."""
+    found = re.fullmatch(r"//(?:\w+:)?(\w+)(\[@type='([^']*)'\])?\[not\((?:descendant::|\.//)(?:\w+:)?(\w+)(\[@type='([^']*)'\])?\)\]", xpath.strip())
+    if not found or found[1] != found[4] or found[3] != found[6]:
+        raise ValueError(f"no selection of innermost elements: {xpath}")
+    return found[1], found[3]
 
 
-def segments(docs: DataFrame, doc_id: str = "tei_doc_id", content: str = "content", unit: str = "div", leaf_type: str | None = None, allow_empty: bool = False) -> DataFrame:
-    """All segments and findings of documents with markup. One document is one task's unit; order is kept in seq."""
+def segments(docs: DataFrame, doc_id: str = "tei_doc_id", content: str = "content", unit: str = "div", leaf_type: str | None = None, allow_empty: bool = False, xpath: str | None = None) -> DataFrame:
+    """All segments and findings of documents with markup. One document is one task's unit; order is kept in seq.
+    ``xpath``, from a document's configuration, stands for unit and type; a document in which it selects nothing
+    has the finding zero_segments."""
+    if xpath is not None:
+        unit, leaf_type = selection(xpath)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string  # noqa: F401
 
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.storage import written
+
 
 def union_sheets(sheets: dict[str, DataFrame]) -> DataFrame:
     """All sheets, each row with its sheet's name; columns that a sheet lacks are null."""
@@ -71,7 +73,8 @@ def backfill(df: DataFrame, column: str, value: Column) -> DataFrame:
 
 def batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     """batch_id of consecutive rows. Ranks come from range partitions and their sizes, not from one sorted task."""
-    parts = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    # a table, so that both of its readers see the same partitions
+    parts = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
     within = Window.partitionBy("__p").orderBy(*order)
     ranked = parts.withColumn("__i", F.row_number().over(within))
     sizes = parts.groupBy("__p").agg(F.count("*").alias("n"))
@@ -115,15 +118,29 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """(node, ancestor, depth) over a tree's edges, by joins that double the reach: log2(depth) rounds. Cycles
-    end after ``most`` levels."""
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, ancestor, depth) over a tree's edges, to any depth, by joins that double the reach: log2(depth) rounds,
+    each a table in the shared folder. A node that is its own ancestor raises an error."""
     step = edges.filter(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth"))
-    known, reach = step, 1
-    while reach < most:
+    known = grown = written(step, "closure")
+    reach = 1
+    while grown.take(1):
+        loop = grown.filter("node = ancestor").take(1)
+        if loop:
+            raise ValueError(f"{loop[0].node!r} is its own ancestor")
+        if grown is not known:
+            known = known.union(grown)
         right = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
-        grown = known.filter(F.col("depth") == reach).join(right, "ancestor").select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        if grown.isEmpty():
-            break
-        known, reach = known.union(grown).persist(), reach * 2  # each round reads the last, not all before it
+        far = known.filter(F.col("depth") == reach).join(right, "ancestor")
+        grown = written(far.select("node", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth")), "closure")
+        reach *= 2
     return known
+
+
+def numbered(sheets: list[DataFrame], order: list[Column], out: str = "row_id") -> DataFrame:
+    """Rows of several sheets, one sheet after the other, each in order, with a number that runs on over all (from 1)."""
+    rows = None
+    for k, df in enumerate(sheets):
+        df = df.withColumn("__sheet", F.lit(k))
+        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+    return batches(rows, [F.col("__sheet"), *order], 1).withColumn(out, F.col("batch_id") + 1).drop("__sheet", "batch_id")

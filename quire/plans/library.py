@@ -261,7 +261,8 @@ def _vocabulary(spark):
 
 
 def _part_words(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.posexplode(F.split(text.normalize(F.col("p_name")), " ")).alias("pos", "token"))
+    words = table(spark, d, "part").select("p_partkey", "p_type", F.posexplode(F.split(text.normalize(F.col("p_name")), " ")).alias("pos", "token"))
+    return words.select("p_partkey", "p_type", F.lit("p_name").alias("field"), F.lit(0).alias("field_no"), "pos", F.col("token").alias("surface"), "token")
 
 
 _WORDS_SQL = "w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS token, generate_subscripts(string_split(lower(p_name), ' '), 1) - 1 AS pos FROM part)"
@@ -273,24 +274,22 @@ f AS (SELECT form, arg_min(prep_id, rule) AS prep_id FROM v GROUP BY form),
 m AS (SELECT p_partkey, prep_id, min(pos) AS pos, arg_min(token, pos) AS token FROM w JOIN f ON token = form GROUP BY 1, 2)
 SELECT p_partkey, prep_id, row_number() OVER (PARTITION BY p_partkey ORDER BY pos) = 1 AS is_primary, 'matched_in=p_name; token=' || token AS notes FROM m""")
 def vocab_link_first_match(spark, d):
-    rule = _vocabulary(spark).groupBy("form").agg(F.min_by("prep_id", "rule").alias("prep_id"))
-    hits = _part_words(spark, d).join(rule, F.col("token") == F.col("form")).groupBy("p_partkey", "prep_id").agg(F.min("pos").alias("pos"), F.min_by("token", "pos").alias("token"))
-    first = F.row_number().over(Window.partitionBy("p_partkey").orderBy("pos")) == 1
-    return hits.select("p_partkey", "prep_id", first.alias("is_primary"), F.concat(F.lit("matched_in=p_name; token="), "token").alias("notes"))
+    return linking.first_matches(_part_words(spark, d), _vocabulary(spark), "p_partkey")[0]
 
 
 @query(f"""
-WITH {_VOCAB_SQL}, {_WORDS_SQL}
-SELECT p_partkey, min(prep_id) AS part_id FROM w JOIN v ON token = form GROUP BY p_partkey HAVING count(DISTINCT prep_id) = 1""")
+WITH {_VOCAB_SQL}, {_WORDS_SQL},
+f AS (SELECT form, min(prep_id) AS one, count(*) AS n FROM v GROUP BY form),
+h AS (SELECT p_partkey, CASE WHEN n = 1 THEN one WHEN p_type = 'ECONOMY' THEN 'P7' WHEN p_type = 'SMALL' THEN 'P1' END AS part_id FROM w JOIN f ON token = form JOIN part USING (p_partkey))
+SELECT p_partkey, min(part_id) AS part_id FROM h WHERE part_id IS NOT NULL GROUP BY p_partkey HAVING count(DISTINCT part_id) = 1""")
 def unique_part_assignment(spark, d):
-    hits = _part_words(spark, d).join(_vocabulary(spark), F.col("token") == F.col("form"))
-    return hits.groupBy("p_partkey").agg(F.min("prep_id").alias("part_id"), F.max("prep_id").alias("m")).filter("part_id = m").drop("m")
+    words = _part_words(spark, d).select("p_partkey", "p_type", F.col("token").alias("form"))
+    return linking.unique_targets(words, _vocabulary(spark).withColumnRenamed("prep_id", "part_id"), "p_partkey", "p_type", {"ECONOMY": "P7", "SMALL": "P1", "PROMO": "P3"})
 
 
 @query(f"WITH {_VOCAB_SQL}, {_WORDS_SQL} SELECT token, count(*) AS n, min(p_partkey) AS example FROM w WHERE token NOT IN (SELECT form FROM v) GROUP BY token")
 def unmatched_terms(spark, d):
-    loose = _part_words(spark, d).join(_vocabulary(spark), F.col("token") == F.col("form"), "left_anti")
-    return loose.groupBy("token").agg(F.count("*").alias("n"), F.min("p_partkey").alias("example"))
+    return linking.term_counts(linking.first_matches(_part_words(spark, d), _vocabulary(spark), "p_partkey")[1], "p_partkey")
 
 
 @query(f"""
@@ -412,7 +411,7 @@ WITH x AS (SELECT DISTINCT p.p_name, s.s_nationkey FROM lineitem l JOIN part p O
 SELECT p_name, count(*) AS n_sources FROM x GROUP BY 1 HAVING count(*) >= 2""")
 def shared_across_sources(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.groupBy("p_name").agg(F.count_distinct("s_nationkey").alias("n_sources")).filter("n_sources >= 2")
+    return facets.shared_headwords(rows, "p_name", "s_nationkey")
 
 
 @query(r"""
@@ -595,7 +594,12 @@ def marginal_entries(spark, d):
     return marginal.cut_lines(docs, "conv_id").withColumnRenamed("doc_id", "conv_id")
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<head\b[^>]*>.*?</head\s*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(t, '(?s)<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM b),
+e AS (SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM c)
+SELECT page_id, length(t)::INTEGER AS n_chars, sha256(t) AS text_sha256 FROM e""")
 def reading_text_html(spark, d):
     t = markup.html_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.char_length(t).alias("n_chars"), F.sha2(t, 256).alias("text_sha256"))
@@ -604,7 +608,7 @@ def reading_text_html(spark, d):
 @query(r"""
 SELECT doc_id, regexp_replace(replace(replace(replace(text, '&', ''), '<', ''), '>', ''), '[\x00-\x08\x0B-\x1F]', '', 'g') AS raw,
   sha256(trim(regexp_replace(regexp_replace(replace(replace(replace(text, '&', ''), '<', ''), '>', ''), '[\x00-\x08\x0B-\x1F]', '', 'g'), '\s+', ' ', 'g'))) AS reading_sha256
-FROM documents""".replace("raw,", "raw,"))
+FROM documents""")
 def tei_segments(spark, d):
     clean = F.regexp_replace(F.translate("text", "&<>", ""), "[\\x00-\\x08\\x0B-\\x1F]", "")
     xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div n="1"><div n="2" xml:id="s'), F.col("doc_id").cast("string"), F.lit('"><pb n="1"/>'), clean, F.lit("<note>left out</note></div></div></body></text></TEI>"))
@@ -614,9 +618,9 @@ def tei_segments(spark, d):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE floor(p_retailprice)::BIGINT::VARCHAR END AS price_text, TRY_CAST(CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE p_size::VARCHAR || '.7' END AS DOUBLE)::DECIMAL(18, 1)::DOUBLE AS n0,
+SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE floor(p_retailprice)::BIGINT::VARCHAR END AS price_text,
   CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS size_int, CASE p_type WHEN 'ECONOMY' THEN 'vegetable' ELSE '' END AS category, p_partkey AS id_number, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_brand END AS display, p_partkey % 5 = 0 AS is_null
-FROM part""".replace("TRY_CAST(CASE WHEN p_partkey % 4 = 0 THEN 'x' ELSE p_size::VARCHAR || '.7' END AS DOUBLE)::DECIMAL(18, 1)::DOUBLE AS n0,\n ", ""))
+FROM part""")
 def typed_coercions(spark, d):
     p = table(spark, d, "part")
     k = F.col("p_partkey")
@@ -633,13 +637,12 @@ def union_sheets(spark, d):
     return tables.union_sheets(sheets).agg(F.count("*").alias("n"), F.count_distinct("k").alias("n_keys"), F.count_if(F.col("sheet") == "a").alias("n_a"))
 
 
-@query("SELECT 'customer' AS table_name, count(*) AS n FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
+_LOADED = ("customer", "lineitem", "nation", "orders", "part", "region", "supplier")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in _LOADED))
 def load_counts(spark, d):
-    out = None
-    for name in ("customer", "orders", "part"):
-        one = table(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = one if out is None else out.union(one)
-    return out
+    return checks.table_counts({t: table(spark, d, t) for t in _LOADED})
 
 
 @query("""
@@ -653,36 +656,216 @@ def bridge_lookup(spark, d):
     return found.select("p_partkey", "new_id", F.lit(False).alias("queued")).union(queue.select("p_partkey", F.lit(None).cast("bigint"), F.lit(True)))
 
 
-@query("""
-SELECT o_orderkey, CASE WHEN l.l_orderkey IS NULL THEN 0 ELSE l.n END AS n_links, coalesce(l.first_part, -1) AS first_part FROM orders o
-LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_partkey) AS first_part FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey""")
+_LEMMA_SQL = """l AS (SELECT 'L' || lpad(p_partkey::VARCHAR, 6, '0') AS id, lower(p_name) AS h FROM part WHERE p_partkey % 2 = 0),
+c AS (SELECT h, min(id) AS id FROM l GROUP BY h),
+i AS (SELECT p_partkey, p_name, p_brand FROM part)"""
+
+
+def _lemma_cells(spark, d):
+    p = table(spark, d, "part")
+    entries = p.select("p_partkey", F.concat(F.upper("p_name"), F.lit("; "), "p_brand", F.lit(" , "), "p_name").alias("cell"), "p_type")
+    lemmata = p.filter("p_partkey % 2 = 0").select(F.concat(F.lit("L"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("lemma_id"), F.lower("p_name").alias("headword_normalized"))
+    return linking.link_lemmata(entries, lemmata, "p_partkey", "cell", F.col("p_type"))
+
+
+@query(f"WITH {_LEMMA_SQL} SELECT p_partkey, coalesce(c.id, '') AS lemma_ids FROM i LEFT JOIN c ON c.h = p_name")
 def left_link_default(spark, d):
-    links = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_links"), F.min("l_partkey").alias("first_part"))
-    out = table(spark, d, "orders").join(links, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return out.select("o_orderkey", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first_part", F.lit(-1)).alias("first_part"))
+    return _lemma_cells(spark, d)[0]
+
+
+@query(f"""WITH {_LEMMA_SQL} SELECT p_partkey, p_brand AS unmatched_term, p_type || ': ' || upper(p_name) || '; ' || p_brand || ' , ' || p_name AS context FROM part
+UNION ALL SELECT p_partkey, x AS unmatched_term, p_type || ': ' || upper(p_name) || '; ' || p_brand || ' , ' || p_name FROM part, unnest([p_name, upper(p_name)]) u(x) WHERE p_name NOT IN (SELECT h FROM c)""")
+def unmatched_lemmata(spark, d):
+    return _lemma_cells(spark, d)[1]
 
 
 @query("""
-WITH w AS (SELECT event_id, props, json_extract_string(props, '$.k')::INTEGER AS k FROM events)
-SELECT k % 10 AS bucket, count(*) AS n, count(*) FILTER (WHERE json_extract_string(props, '$.k') IS NOT NULL) AS n_valid, count(*) FILTER (WHERE k BETWEEN 10 AND 19) AS n_in_range FROM w GROUP BY 1""")
+WITH w AS (SELECT event_type, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_type, count(*) AS n, count(*) FILTER (WHERE CASE event_type WHEN 'click' THEN k IS NOT NULL WHEN 'view' THEN false ELSE true END) AS n_valid FROM w GROUP BY 1""")
 def payload_checks(spark, d):
-    k = F.get_json_object("props", "$.k")
-    rows = table(spark, d, "events").select(k.cast("int").alias("k"), k.isNotNull().alias("valid"))
-    return rows.groupBy((F.col("k") % 10).alias("bucket")).agg(F.count("*").alias("n"), F.count_if("valid").alias("n_valid"), F.count_if(F.col("k").between(10, 19)).alias("n_in_range"))
+    valid = checks.payload_valid(F.col("event_type"), F.col("props"), {"click": ["k"], "view": ["k", "missing"]})
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(valid).alias("n_valid"))
 
 
 @query("""
-SELECT source, count(*) AS n, count(DISTINCT lang) AS n_langs, count(*) FILTER (WHERE contains(lower(text), 'license')) AS n_licensed FROM documents GROUP BY source""")
+SELECT trim(lang) AS lang, count(*) AS n, count(*) FILTER (WHERE contains(lower(text), 'license')) AS n_licensed FROM documents GROUP BY 1""")
 def source_audit(spark, d):
-    docs = table(spark, d, "documents").select("source", "lang", F.contains(F.lower("text"), F.lit("license")).alias("l"))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("n_langs"), F.count_if("l").alias("n_licensed"))
+    docs = table(spark, d, "documents").withColumn("lang", F.concat(F.when(F.col("doc_id") % 2 == 0, " ").otherwise(""), "lang", F.lit(" ")))
+    return checks.value_audit(docs, "lang", {"n_licensed": F.contains(F.lower("text"), F.lit("license"))})
 
 
-@query("""
-WITH x AS (SELECT p_name AS h, p_partkey FROM part), w AS (SELECT p_name AS t, p_name || ' ' || p_type AS long_name, p_partkey FROM part)
-SELECT w.p_partkey, min(x.p_partkey) AS parent FROM w JOIN x ON w.t = x.h GROUP BY 1""")
+_HEADS_SQL = """h AS (SELECT 'L' || lpad(p_partkey::VARCHAR, 7, '0') AS id, p_name AS n FROM part
+  UNION ALL SELECT 'L' || lpad((1000000 + p_partkey)::VARCHAR, 7, '0'), p_name || ' ' || lower(p_type) FROM part WHERE p_partkey % 3 = 0
+  UNION ALL SELECT 'L' || lpad((2000000 + p_partkey)::VARCHAR, 7, '0'), p_name || ' ' || lower(p_type) || ' of ' || lower(p_brand) FROM part WHERE p_partkey % 2 = 0),
+c AS (SELECT n, min(id) AS id FROM h GROUP BY n),
+w AS (SELECT id, string_split(n, ' ') AS ws FROM h),
+x AS (SELECT id, array_to_string(ws[1:k], ' ') AS pre, k FROM w, unnest(generate_series(1, len(ws) - 1)) u(k)),
+m AS (SELECT x.id AS lemma_id, arg_max(c.id, k) AS parent_lemma FROM x JOIN c ON x.pre = c.n WHERE length(pre) >= 4 GROUP BY x.id)"""
+
+
+def _headwords(spark, d):
+    p = table(spark, d, "part")
+    ident = lambda k: F.concat(F.lit("L"), F.lpad((F.col("p_partkey") + k).cast("string"), 7, "0")).alias("lemma_id")
+    long = p.filter("p_partkey % 3 = 0").select(ident(1_000_000), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("headword_normalized"))
+    longer = p.filter("p_partkey % 2 = 0").select(ident(2_000_000), F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("of"), F.lower("p_brand")).alias("headword_normalized"))
+    return p.select(ident(0), F.col("p_name").alias("headword_normalized")).union(long).union(longer)
+
+
+@query(f"WITH {_HEADS_SQL} SELECT lemma_id, parent_lemma FROM m")
 def prefix_parents(spark, d):
+    return linking.parent_lemmata(_headwords(spark, d))
+
+
+@query(f"""WITH {_HEADS_SQL.replace("h AS (", "h AS (SELECT 'L9000000' AS id, 'small' AS n UNION ALL ", 1)},
+f AS (SELECT id AS lemma_id, 'L9000000' AS parent_lemma FROM w WHERE list_contains(ws, 'small') AND len(ws) > 1)
+SELECT lemma_id, parent_lemma, 'family' AS relationship FROM f
+UNION ALL SELECT lemma_id, parent_lemma, 'prefix' FROM m WHERE lemma_id NOT IN (SELECT lemma_id FROM f)""")
+def assigned_parents(spark, d):
+    head = spark.createDataFrame([("L9000000", "small")], "lemma_id string, headword_normalized string")
+    return linking.assigned_parents(_headwords(spark, d).union(head), ("small",))
+
+
+# ---- operators that only unit tests used to reach ---------------------------------------------
+
+
+@query("""
+WITH a AS (SELECT source, sum(n_chars)::BIGINT AS l FROM documents GROUP BY 1), b AS (SELECT source, sum(n_chars)::BIGINT AS r FROM documents WHERE doc_id % 9 <> 0 GROUP BY 1)
+SELECT source, l AS left_total, coalesce(r, 0) AS right_total, abs(l - coalesce(r, 0)) > 0.05 * l AS alert FROM a LEFT JOIN b USING (source)""")
+def reconciled_sources(spark, d):
+    docs = table(spark, d, "documents")
+    return checks.reconcile(docs, docs.filter("doc_id % 9 <> 0"), "source", "n_chars")
+
+
+_ALIGN_SQL = """r AS (SELECT l_orderkey * 10 + l_linenumber AS line_no, 'p~' || l_partkey AS sa, 'p~' || (l_partkey * 7 + l_suppkey) % 2500 AS sb, CASE l_linenumber % 3 WHEN 0 THEN 'excerpt' WHEN 1 THEN 'independent' ELSE 'other' END AS t, l_discount AS c FROM lineitem),
+s AS (SELECT * FROM r WHERE t <> 'other' AND sa <> sb),
+e AS (SELECT 'p~' || p_partkey AS i, p_partkey AS id FROM part)"""
+
+
+def _resolved(spark, d):
+    k = F.col("l_linenumber") % 3
+    ident = lambda c: F.concat(F.lit("p~"), c.cast("string"))
+    rows = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), ident(F.col("l_partkey")).alias("source_a_entry_id"), ident((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 2500).alias("source_b_entry_id"),
+        F.when(k == 0, "excerpt").when(k == 1, "independent").otherwise("other").alias("alignment_type"), F.col("l_discount").alias("confidence"), F.lit("e").alias("evidence"), F.lit("c").alias("curator"), F.lit("run").alias("source"),
+    )
+    return checks.resolve_alignments(rows, table(spark, d, "part").select(ident(F.col("p_partkey")).alias("display_entry_id"), F.col("p_partkey").alias("id")))
+
+
+@query(f"""WITH {_ALIGN_SQL}, g AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, t, max(line_no) AS line_no FROM s JOIN e x ON sa = x.i JOIN e y ON sb = y.i GROUP BY 1, 2, 3)
+SELECT a, b, t AS alignment_type, line_no FROM g""")
+def resolved_alignments(spark, d):
+    return _resolved(spark, d)[0].select("a", "b", "alignment_type", "line_no")
+
+
+@query(f"""WITH {_ALIGN_SQL}, g AS (SELECT DISTINCT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, t FROM s JOIN e x ON sa = x.i JOIN e y ON sb = y.i)
+SELECT t AS alignment_type, count(*) AS n FROM g GROUP BY 1""")
+def alignment_type_counts(spark, d):
+    return facets.type_counts(_resolved(spark, d)[0])
+
+
+@query(f"""WITH {_ALIGN_SQL}, u AS (SELECT sa AS id FROM s WHERE sa NOT IN (SELECT i FROM e) UNION SELECT sb FROM s WHERE sb NOT IN (SELECT i FROM e)) SELECT id FROM u ORDER BY id LIMIT 10""")
+def unresolved_ids(spark, d):
+    return checks.first_of(_resolved(spark, d)[2], "id")
+
+
+_ALIASES = [("A1", "the"), ("A2", "of the"), ("A3", "in that the"), ("A4", "de la")]
+
+
+@query(rf"""
+WITH t AS (SELECT conv_id * 1000 + turn AS id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{Mn}}]*'), lambda x: strip_accents(lower(x))) AS ts FROM conversations),
+p AS (SELECT id, ts, unnest(generate_series(1, len(ts))) AS i FROM t WHERE len(ts) > 0),
+a AS (SELECT lemma_id, string_split(alias, ' ') AS ws FROM (VALUES {", ".join(map(str, _ALIASES))}) v(lemma_id, alias))
+SELECT id, (i - 1)::INTEGER AS token_index, lemma_id, len(ws)::INTEGER AS n_tokens FROM p JOIN a ON ts[i:i + len(ws) - 1] = ws""")
+def alias_mentions(spark, d):
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return facets.mentions(text.tokens(rows, "id", "text"), spark.createDataFrame(_ALIASES, "lemma_id string, alias_normalized string"), "id")
+
+
+@query("""
+SELECT l_orderkey, bool_or(l_returnflag = 'R') AS has_substance_part, bool_or(l_linenumber = 3) AS has_place, bool_or(l_returnflag = 'A' AND l_linestatus = 'F') AS has_linked_action, bool_or(l_quantity > 40) AS has_quality
+FROM lineitem GROUP BY 1""")
+def result_features(spark, d):
+    flag = F.col("l_returnflag")
+    term = F.struct(
+        F.when(flag == "R", "SUBSTANCE_PART").when(flag == "A", "PROCESS").otherwise("OTHER").alias("label"),
+        F.when(F.col("l_linenumber") == 3, "λημνος").when(F.col("l_linenumber") == 4, "").alias("variant_place_lemma_normalized"),
+        F.when(F.col("l_linestatus") == "F", F.struct(F.lit("TERM").alias("kind"))).when(F.col("l_linenumber") == 1, F.struct(F.lit("UNSPECIFIED").alias("kind"))).alias("applies_to"),
+    )
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(term).alias("terms"), F.collect_list(F.when(F.col("l_quantity") > 40, "q")).alias("qualities"))
+    return rows.select("l_orderkey", *(c.alias(n) for n, c in checks.result_features(F.col("terms"), F.col("qualities")).items()))
+
+
+@query("SELECT count(DISTINCT p_partkey) FILTER (WHERE p_partkey IN (1, 7, 19)) = 3 AS has_all FROM part UNION ALL SELECT count(DISTINCT p_partkey) FILTER (WHERE p_partkey IN (1, -5)) = 2 FROM part")
+def id_subset(spark, d):
     p = table(spark, d, "part")
-    short = p.groupBy(F.col("p_name").alias("t")).agg(F.min("p_partkey").alias("parent"))
-    long = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("n"))
-    return long.withColumn("t", F.array_join(F.slice(F.split("n", " "), 1, 2), " ")).join(short, "t").select("p_partkey", "parent")
+    return checks.has_all(p, "p_partkey", [1, 7, 19]).union(checks.has_all(p, "p_partkey", [1, -5]))
+
+
+@query("SELECT s_suppkey, (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_3') AS edition_id FROM supplier")
+def constant_lookup(spark, d):
+    return linking.constant_lookup(table(spark, d, "supplier").select("s_suppkey"), table(spark, d, "nation"), F.col("n_name") == "NATION_3", "n_nationkey", "edition_id")
+
+
+@query(f"""
+WITH {_VOCAB_SQL}, {_WORDS_SQL}, h AS (SELECT DISTINCT p_partkey, domain, form FROM w JOIN v ON token = form WHERE domain <> 'jewel')
+SELECT p_partkey, string_agg(form, ',' ORDER BY CASE domain WHEN 'size' THEN 1 WHEN 'shape' THEN 2 ELSE 3 END, form) AS terms FROM h GROUP BY 1""")
+def heading_terms(spark, d):
+    return linking.heading_terms(table(spark, d, "part"), "p_partkey", "p_name", _vocabulary(spark).withColumn("english", F.col("form")), ("size", "shape", "colour"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority IN ('1-URGENT', '5-LOW')")
+def list_filters(spark, d):
+    return facets.list_filter(table(spark, d, "orders"), active=None, equals={"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT", "5-LOW"]}).select("o_orderkey")
+
+
+@query("""
+SELECT e.event_id, c.c_name FROM events e JOIN customer c ON e.user_id = c.c_custkey
+WHERE e.event_type = 'view' AND json_extract_string(e.props, '$.k') = '7' AND c.c_acctbal > 0 AND c.c_mktsegment IN ('HOUSEHOLD', 'BUILDING') AND e.event_id % 2 = 0""")
+def facet_status(spark, d):
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("assertion_type"), "props", F.col("user_id").alias("tei_entry_id"), F.lit(False).alias("is_stale"), F.when(F.col("event_id") % 2 == 0, "reviewed").otherwise("draft").alias("status"))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", (F.col("c_acctbal") > 0).alias("is_active"), F.col("c_mktsegment").alias("source"))
+    joined = e.withColumn("payload", F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").alias("k"))))
+    found = facets.facet(joined, c, "view", {"k": "7"}, sources=["HOUSEHOLD", "BUILDING"], statuses=["reviewed"])
+    return found.select(F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"), "c_name")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY k, id) AS row_id, id FROM (SELECT 0 AS k, s_suppkey AS id FROM supplier UNION ALL SELECT 1, p_partkey FROM part)""")
+def numbered_rows(spark, d):
+    sheets = [table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), table(spark, d, "part").select(F.col("p_partkey").alias("id"))]
+    return tables.numbered(sheets, [F.col("id")]).select("row_id", "id")
+
+
+@query(r"""
+WITH x AS (SELECT unnest([p_name, p_brand, p_type]) AS c FROM part)
+SELECT DISTINCT unnest(list_filter(regexp_split_to_array(strip_accents(lower(c)), '[^\p{L}\p{N}]+'), lambda w: w <> '')) AS token FROM x""")
+def distinct_tokens(spark, d):
+    return facets.distinct_tokens(table(spark, d, "part"), ["p_name", "p_brand", "p_type"])
+
+
+@query("""
+WITH e AS (SELECT p_partkey // 2 AS i, CASE p_partkey % 3 WHEN 0 THEN 'draft' WHEN 1 THEN '' ELSE 'odd' END AS st, 'P' || p_size AS part, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'L' || (p_partkey + 3) || ', L1' END AS l, p_name || CASE WHEN p_partkey % 11 = 0 THEN chr(10) || 'x' ELSE '' END AS g, p_partkey FROM part),
+n AS (SELECT count(*) AS n FROM part), lemma AS (SELECT 'L' || p_partkey AS id FROM part)
+SELECT 'duplicate_entry_id' AS rule, (SELECT count(*) FROM (SELECT i FROM e GROUP BY i HAVING count(*) > 1))::DOUBLE AS n
+UNION ALL SELECT 'trans_status', count(*) FILTER (WHERE st = 'odd') FROM e
+UNION ALL SELECT 'part_fk', count(*) FILTER (WHERE part NOT IN (SELECT 'P' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)) FROM e
+UNION ALL SELECT 'lemma_fk', (SELECT count(DISTINCT i) FROM e, unnest(string_split(l, ', ')) u(x) WHERE l <> '' AND x NOT IN (SELECT id FROM lemma))
+UNION ALL SELECT 'embedded_newline', count(*) FILTER (WHERE p_partkey % 11 = 0) FROM e
+UNION ALL SELECT 'greek_normalized', count(*) FILTER (WHERE p_partkey % 13 = 0) FROM e
+UNION ALL SELECT 'no_accented_alpha', 1 UNION ALL SELECT 'accented_alpha_not_plain', 0
+UNION ALL SELECT 'prep_fk', count(*) FILTER (WHERE s_suppkey >= 50) FROM supplier
+UNION ALL SELECT 'lemma_coverage', round(100.0 * count(*) FILTER (WHERE l <> '') / count(*), 1) FROM e""")
+def validation_rules(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    s = table(spark, d, "supplier")
+    greek = F.concat("p_name", F.when(k % 11 == 0, "\nx").otherwise(""))
+    entries = p.select(
+        F.floor(k / 2).cast("string").alias("entry_id"), F.when(k % 3 == 0, "draft").when(k % 3 == 1, "").otherwise("odd").alias("trans_status"), F.concat(F.lit("P"), F.col("p_size").cast("string")).alias("part_id"),
+        F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("L"), (k + 3).cast("string"), F.lit(", L1"))).alias("lemma_ids"), F.lit("").alias("chapter_title_gr"), F.lit("").alias("translation"), greek.alias("greek"),
+        F.concat(F.when(k % 13 == 0, "X").otherwise(""), text.normalize(greek)).alias("greek_normalized"),
+    )
+    lemmata = p.select(F.concat(F.lit("L"), k.cast("string")).alias("lemma_id"))
+    parts = s.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("part_id"))
+    links = s.select(F.col("s_suppkey").cast("string").alias("prep_id"))
+    found, _ = checks.validate(entries, lemmata, parts, links.filter(F.col("prep_id").cast("int") < 50), links)
+    return spark.createDataFrame([(rule, float(n)) for rule, n in found.items()], "rule string, n double")
\ No newline at end of file

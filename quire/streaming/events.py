@@ -21,20 +21,16 @@ def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes"
     return counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def upserting(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
+def upserting(path: str, keys: list[str], order: str, first: int = 0) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink: merges each batch into a table of versions; of a key the row
     that is last by ``order`` stays, whichever batch it came in. A batch
-    that is run again writes the same version, so restarts do no harm."""
+    that is run again writes the same version, so restarts do no harm. Batch ``first`` starts from an empty
+    table; for any other a missing version is an error, not an empty table."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = f"{path}/v={number:012d}"
-        try:
-            before = spark.read.parquet(f"{path}/v={number - 1:012d}") if number else batch.limit(0)
-        except Exception as e:  # the first batch that this table sees
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            before = batch.limit(0)
+        before = batch.limit(0) if number == first else spark.read.parquet(f"{path}/v={number - 1:012d}")
         last_wins(before.unionByName(batch), keys, [F.col(order)]).write.mode("overwrite").parquet(new)
 
     return merge

@@ -276,3 +276,80 @@ def test_quality_statements(spark):
     df = spark.createDataFrame(list(cases.items()), "k string, t string")
     got = sorted((r.k, r.axis, r.degree, r.intensity, r.hedge) for r in qualities.extract(df, "k", "t").collect())
     assert got == [("a", "COLD", None, "moderate", None), ("a", "DRY", 3, None, "που"), ("a", "HOT", 3, None, "που"), ("d", "DRY", None, "strong", None), ("e", "COLD", 4, None, None)]
+
+
+def test_closure_of_any_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1) for i in range(1, 201)], "c int, p int")
+    got = tables.closure(chain, "c", "p")
+    assert got.count() == 20_100 and got.agg(F.max("depth")).first()[0] == 200
+    assert got.distinct().count() == 20_100 and got.filter("node - ancestor <> depth").isEmpty()
+    for loop in ([(1, 2), (2, 3), (3, 1)], [(1, 1)]):
+        with pytest.raises(ValueError, match="its own ancestor"):
+            tables.closure(spark.createDataFrame(loop, "c int, p int"), "c", "p")
+
+
+def test_skip_counts_and_features(spark):
+    df = spark.createDataFrame([(10, None), (9, ""), (2, " "), (30, ""), (4, ""), (1, "x y")], "k int, t string")
+    got = {r.reason: (r.n, r.examples) for r in checks.skip_counts(df, checks.skip_reason(F.col("t")), "k").collect()}
+    assert got == {"null_contents": (1, "10"), "blank_contents": (4, "2,4,9")}
+    assert checks.has_all(df, "k", [1, 2, 2]).first()[0] and not checks.has_all(df, "k", [1, 77]).first()[0]
+    from quire.sources.readers import RESULT
+
+    terms = [{"label": "PROCESS", "applies_to": {"kind": "UNSPECIFIED"}}, {"label": "X", "variant_place_lemma_normalized": ""}]
+    results = [("a", terms, None), ("b", [{"label": "PROCESS", "applies_to": {"kind": "TERM"}}, {"label": "SUBSTANCE_PART"}], [{"axis": "HOT"}]), ("c", None, [])]
+    found = spark.createDataFrame(results, RESULT)
+    features = checks.result_features(F.col("terms"), F.col("qualities"))
+    assert list(features) == ["has_quality", "has_substance_part", "has_place", "has_linked_action"]
+    assert rows(found.select("source_id", *(c.alias(n) for n, c in features.items()))) == [("a", False, False, False, False), ("b", True, True, False, True), ("c", False, False, False, False)]
+
+
+def test_segments_by_configured_expression(spark):
+    xpath = "//tei:div[@type='chapter'][not(descendant::tei:div[@type='chapter'])]"
+    assert markup.selection(xpath) == ("div", "chapter") and markup.selection("//tei:div[not(descendant::tei:div)]") == ("div", None)
+    for bad in ("//tei:div", "/TEI/text", "//tei:div[@type='a'][not(descendant::tei:div[@type='b'])]"):
+        with pytest.raises(ValueError):
+            markup.selection(bad)
+    nested = TEI.format(a='<div type="section"><p>x</p></div>', b="<p>y</p>")
+    docs = spark.createDataFrame([("d", nested), ("e", nested.replace('"chapter"', '"part"'))], "tei_doc_id string, content string")
+    out = markup.segments(docs, xpath=xpath).collect()
+    assert sorted((r.tei_doc_id, r.reading_text) for r in out if r.reading_text) == [("d", "x"), ("d", "y")]
+    assert [(r.tei_doc_id, r.code) for r in out if r.code] == [("e", "zero_segments")]
+
+
+def test_constants_families_and_headings(spark):
+    editions = spark.createDataFrame([("KUHN", 4), ("CMG", 5)], "code string, edition_id int")
+    df = spark.createDataFrame([(1,)], "k int")
+    assert rows(linking.constant_lookup(df, editions, F.col("code") == "KUHN", "edition_id", "e")) == [(1, 4)]
+    with pytest.raises(ValueError):
+        linking.constant_lookup(df, editions, F.col("code") == "X", "edition_id", "e")
+    lemmata = spark.createDataFrame([("L001", "ελαιον"), ("L002", "ελαιον ροδινον"), ("L003", "ροδον"), ("L004", "ροδον αγριον"), ("L005", "αγριον ελαιον")], "lemma_id string, headword_normalized string")
+    assert rows(linking.assigned_parents(lemmata), "lemma_id") == [("L002", "L001", "family"), ("L004", "L003", "prefix"), ("L005", "L001", "family")]
+    vocabulary = spark.createDataFrame([("ριζα", "part", "root"), ("φυλλον", "part", "leaf"), ("αγριος", "variety", "wild"), ("ξηρος", "state", "dry")], "form string, domain string, english string")
+    heads = spark.createDataFrame([("e", "ξηρὸς ἄγριος ῥίζα, φύλλον")], "k string, t string")
+    assert rows(linking.heading_terms(heads, "k", "t", vocabulary)) == [("e", "leaf,root,wild,dry")]
+
+
+def test_small_functions(spark):
+    from quire.functions import cells, citations
+    from quire.sources import readers
+
+    df = spark.createDataFrame([("6.1.1.12",), ("6.x",)], "r string")
+    first, number = citations.entry_key(F.col("r"))
+    assert [tuple(r) for r in df.select(first, number).collect()] == [("6.1.1", 12), ("6", None)]
+    run = checks.import_run({"n": F.count("*")}, df, "run1", "full").first()
+    assert run.id == "run1" and run.counts == '{"n":2}' and run.mode == "full"
+    assert df.select(cells.category(F.lit(" Plant "))).first()[0] == "vegetable"
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "k int, s string").createOrReplaceTempView("scanned")
+    assert rows(readers.scan(spark, "scanned", ["k"], {"s": "a"})) == [(1,), (3,)] and readers.scan(spark, "scanned", limit=2).count() == 2
+
+
+def test_streaming_sink_does_not_lose_rows(spark, tmp_path):
+    from quire.streaming import events
+
+    merge = events.upserting(str(tmp_path / "t"), ["k"], "v")
+    batch = lambda *r: spark.createDataFrame(list(r), "k int, v int")
+    merge(batch((1, 1), (1, 3), (2, 1)), 0)
+    merge(batch((1, 2), (3, 1)), 1)
+    assert rows(spark.read.parquet(str(tmp_path / "t/v=000000000001"))) == [(1, 3), (2, 1), (3, 1)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        merge(batch((9, 9)), 7)
