@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import ship
+from quire.storage import dropped, freed_shuffles, shared_folder, written  # noqa: F401
 
 #: A slice of a batch holds about so many bytes of text; numpy's temporaries are some thirty times that, twice an executor.
 SLICE_BYTES = 1_000_000
 BATCH_BYTES, DEFAULT_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a temporary folder is taken on a local master; a cluster must name one.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Queries that run in here delete their shuffle files when they end."""
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEAN_UP, before)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -52,24 +23,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(BATCH_BYTES, str(8 << 20))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, from a Parquet table in the shared folder: it outlives executors and cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
-    with freed_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quire_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the table of ``written``, once nothing reads it any more."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df._quire_path)
-    path.getFileSystem(conf).delete(path, True)
-
-
 def slices(batches: Iterator, column: str, most: int = SLICE_BYTES) -> Iterator:
     """Each batch in runs of rows with about ``most`` bytes of ``column``; a longer text is a run of its own."""
     import numpy as np
