@@ -22,13 +22,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import slices, written
+from quire.llm.common import dropped, slices, written
 from quire.llm.hashing import text_buffer
 
 ORDER = 4
 LONG = 6
 #: N-grams of the model that a task holds at a time, 16 bytes each and up to 8 in the index.
 PART = 1 << 22
+#: Rows of a part that the driver fetches at a time.
+PIECE = 1 << 19
 #: Up to so many languages a table of one row each is broadcast; beyond, it is shuffled.
 MANY_LANGUAGES = 10_000
 WHITE = b" \t\n\x0b\x0c\r"
@@ -141,12 +143,14 @@ def _discounts(grams: DataFrame) -> DataFrame:
     return grams.groupBy("lang").agg(*n).select("lang", d(1), d(2), d(3))
 
 
-def _smoothed(counts: DataFrame, top: int) -> tuple[dict[int, DataFrame], dict[int, DataFrame]]:
+def _smoothed(counts: DataFrame, top: int) -> tuple[dict[int, DataFrame], dict[int, DataFrame], list[DataFrame]]:
     """Per order (lang, tail, below, short): the interpolated probability of each n-gram and that of its last ORDER
-    bytes; per order of a context (lang, ctx, bow). Lower orders count distinct left neighbours."""
+    bytes; per order of a context (lang, ctx, bow); the tables that both are read from. Lower orders count
+    distinct left neighbours."""
     grams = {top: counts}
     for order in range(top - 1, 0, -1):
-        grams[order] = grams[order + 1].select("lang", F.expr(f"code & {(1 << 8 * order) - 1}").alias("code")).groupBy("lang", "code").agg(F.count("*").alias("n"))
+        tails = grams[order + 1].select("lang", F.expr(f"code & {(1 << 8 * order) - 1}").alias("code"))
+        grams[order] = written(tails.groupBy("lang", "code").agg(F.count("*").alias("n")), f"grams{order}")  # read three times
     few = counts.select("lang").distinct().limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES
     small = F.broadcast if few else (lambda df: df)  # a row a language
     found, contexts = {}, {}
@@ -162,13 +166,13 @@ def _smoothed(counts: DataFrame, top: int) -> tuple[dict[int, DataFrame], dict[i
         p = (F.col("n") - F.col("d")) / F.col("total") + F.col("bow") * rest
         lower = g.select("lang", F.col("code").alias("tail"), p.alias("below"), (p if order <= ORDER else F.col("short")).alias("short"))
         found[order] = written(lower, f"kn{order}") if order < top else lower
-    return found, contexts
+    return found, contexts, [*grams.values(), *(found[k] for k in range(1, top))]
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
     """(order, slot, logp, logb) for n-grams of ORDER bytes: log probabilities of all n-grams and log back-off weights
     of all contexts, by their full hashes."""
-    found, contexts = _smoothed(counts, ORDER)
+    found, contexts, _ = _smoothed(counts, ORDER)
     none = F.lit(None).cast("double")
     parts = [c.select(F.lit(k).alias("order"), _hash(F.col("lang"), F.col("ctx"), k).alias("slot"), none.alias("p"), "bow") for k, c in contexts.items()]
     parts += [g.select(F.lit(k).alias("order"), _hash(F.col("lang"), F.col("tail"), k).alias("slot"), F.col("below").alias("p"), none.alias("bow")) for k, g in found.items()]
@@ -313,17 +317,22 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     into as many parts of about PART rows as there have to be."""
     counts = written(count_ngrams(docs, text_col, lang_col, LONG), "ngrams")
     n = -(-counts.count() // PART) or 1
-    top = _smoothed(counts, LONG)[0][LONG].withColumnRenamed("tail", "code")
+    found, _, tables = _smoothed(counts, LONG)
+    top = found[LONG].withColumnRenamed("tail", "code")
     part = F.pmod(F.xxhash64("lang", "code"), F.lit(n)).cast("int").alias("part")
-    return written(top.select(part, "lang", "code", F.log("below").cast("float").alias("long"), F.log("short").cast("float").alias("short")), "model")
+    model = written(top.select(part, "lang", "code", F.log("below").cast("float").alias("long"), F.log("short").cast("float").alias("short")), "model")
+    for table in tables:
+        dropped(table)
+    return model
 
 
-def gathered(model: DataFrame, part: int, pieces: int = 8) -> Part:
-    """One part, fetched in pieces, so that the driver holds little beside it."""
+def gathered(model: DataFrame, part: int, n_rows: int) -> Part:
+    """One part of ``n_rows`` rows, fetched in pieces of about PIECE, so that the driver holds little beside it."""
     import pyarrow as pa
 
     found: dict[str, list] = {}
     rows = model.filter(F.col("part") == part).drop("part")
+    pieces = -(-n_rows // PIECE)
     for k in range(pieces):
         got = rows.filter(F.pmod(F.xxhash64("code", "lang"), F.lit(pieces)) == k).toArrow()
         if not got.num_rows:
@@ -395,14 +404,15 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text", lang_col: s
     with ``prefix``. A part of the model is broadcast at a time; with more than one, the sums of the later parts
     are added by text and language. An n-gram that is in no part is an error."""
     names = [prefix + x.split()[0] for x in STATS.split(", ")]
-    n = (model.agg(F.max("part")).first()[0] or 0) + 1
-    rows = sums(docs, gathered(model, 0), text_col, lang_col, prefix)
+    size = dict(model.groupBy("part").count().collect())  # a row for each PART n-grams
+    n = max(size, default=0) + 1
+    rows = sums(docs, gathered(model, 0, size.get(0, 0)), text_col, lang_col, prefix)
     logs, found, grams = names[-2:], f"{prefix}found", f"{prefix}grams"
     if n > 1:
         key = lambda text, lang: [F.coalesce(F.md5(F.col(text).cast("string")), F.lit("")).alias("__key"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("__key_lang")]
         more = None
         for k in range(1, n):
-            got = sums(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), gathered(model, k), "text", "lang", "__")
+            got = sums(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), gathered(model, k, size.get(k, 0)), "text", "lang", "__")
             got = got.filter("__grams > 0").select(*key("text", "lang"), "__log_perplexity", "__short_perplexity", "__found")
             got = written(got.groupBy("__key", "__key_lang").agg(*(F.first(c).alias(c) for c in got.columns[2:])), "sums")
             more = got if more is None else more.union(got)
@@ -471,7 +481,9 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
     bands and for the verdicts, rather than shuffled; nulls and empty tables as in ``assess``."""
     slim = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = learn(slim)
-    limits = written(both_bands(written(score(slim, model).drop("text"), "scores")), "bands")
+    scores = written(score(slim, model).drop("text"), "scores")
+    limits = written(both_bands(scores), "bands")
+    dropped(scores)
     scored = score(docs, model, text_col, lang_col, "__s_")
     failed = base_failed(F.col("__s_n_words"), F.col("__s_n_repeat_words"))
     rows = scored.join(limits, F.coalesce(F.col(lang_col), F.lit("")) == F.col("__band_lang"), "left")
