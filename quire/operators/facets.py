@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import normalize, prefix_key, search_key
 
+#: What a join may broadcast.
+BROADCAST_BYTES = 8 << 20
+
 # Fixed values.
 LIST_PAGE, SEARCH_PAGE, LEAST_CHARS = 50, 100, 3
 #: table -> (roles that read, roles that write); the rest only the loading service writes.
@@ -174,13 +177,24 @@ def jaccard(x: Column, y: Column) -> Column:
 
 
 def passages(items: DataFrame, x: str, texts: DataFrame, y: str, lead: int, key: str) -> DataFrame:
-    """Items beside the runs of tokens in texts that begin like them: equal first ``lead`` tokens, by a hash
-    join on exploded windows, which carry their place only. ``run`` is as long as the item."""
-    words = lambda c, i: F.array_join(F.slice(c, i, F.lit(lead)), " ")
+    """Items beside the runs of tokens in texts that begin like them: equal first ``lead`` tokens, looked up by a
+    64-bit hash of each window and then compared. ``run`` is as long as the item. Items of at most
+    ``BROADCAST_BYTES`` are broadcast, so texts are read once and not shuffled; of others the windows' hashes and
+    places are, and the texts of hits join again."""
     starts = F.when(F.size(y) >= lead, F.sequence(F.lit(1), F.size(y) - lead + 1)).otherwise(F.array().cast("array<int>"))
-    keys = texts.select(key, F.posexplode(F.transform(starts, lambda i: words(F.col(y), i))).alias("pos", "k"))
-    hits = keys.join(items.withColumn("k", words(F.col(x), F.lit(1))), "k").drop("k")
-    return hits.join(texts.select(key, y), key).withColumn("run", F.slice(y, F.col("pos") + 1, F.size(x))).drop("pos", y)
+    windows = F.posexplode(F.transform(starts, lambda i: F.xxhash64(F.slice(y, i, F.lit(lead))))).alias("__pos", "__k")
+    keyed = items.filter(F.size(x) >= lead).withColumn("__k", F.xxhash64(F.slice(x, F.lit(1), F.lit(lead))))
+    if estimated_bytes(items) <= BROADCAST_BYTES:
+        hits = texts.select(key, y, windows).join(F.broadcast(keyed), "__k")
+    else:
+        hits = texts.select(key, windows).join(keyed, "__k").join(texts.select(key, y), key)
+    same = F.slice(y, F.col("__pos") + 1, F.lit(lead)) == F.slice(x, F.lit(1), F.lit(lead))
+    return hits.filter(same).withColumn("run", F.slice(y, F.col("__pos") + 1, F.size(x))).drop("__pos", "__k", y)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate from the sizes of the files; huge where it has none."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def may(table: str, role: str | None, write: bool = False) -> bool:

@@ -121,7 +121,16 @@ def test_facets(spark):
     assert rows(facets.facet_substance(entries, links, forms, lemmata, "Ἀψίνθ")) == [("d~1", "αψινθιου", "αψινθιον")]
 
 
-def test_mentions_and_passages(spark):
+@pytest.mark.parametrize("most", [-1, 8 << 20])
+def test_passages(spark, monkeypatch, most):
+    monkeypatch.setattr(facets, "BROADCAST_BYTES", most)
+    items = spark.createDataFrame([("i", "a b c d".split()), ("short", ["a"]), ("none", None), ("j", "b c".split())], "item string, x array<string>")
+    texts = spark.createDataFrame([(1, "z a b q a b c".split()), (2, ["a"]), (3, []), (4, None), (5, "b c".split())], "doc int, y array<string>")
+    got = rows(facets.passages(items, "x", texts, "y", 2, "doc").select("item", "doc", F.array_join("run", " ").alias("run")))
+    assert got == sorted([("i", 1, "a b q a"), ("i", 1, "a b c"), ("j", 1, "b c"), ("j", 5, "b c")])
+
+
+def test_mentions(spark):
     tokens = spark.createDataFrame([("e", i, t) for i, t in enumerate("a red cat and a red hat".split())], "e string, token_index int, token_normalized string")
     aliases = spark.createDataFrame([("L1", "red cat"), ("L2", "a"), ("L3", "red fox")], "lemma_id string, alias_normalized string")
     assert rows(facets.mentions(tokens, aliases, "e")) == [("e", 0, "L2", 1), ("e", 1, "L1", 2), ("e", 4, "L2", 1)]
