@@ -90,6 +90,13 @@ def test_tokens(spark):
     assert [s for _, s, _, _ in sorted(got[8])] == [0, 12]
 
 
+def test_tokens_of_long_texts_and_repeated_keys(spark):
+    long = ", ".join("ab" * (i % 7) + "c" for i in range(5000))
+    df = spark.createDataFrame([(1, long), (1, "x y"), (1, "x y"), (None, "z")], "k int, t string")
+    got = sorted((r.token_index, r.start_offset, r.end_offset, r.token_text) for r in text.tokens(df, "k", "t").collect())
+    assert got == sorted([*tokens_of(long), *tokens_of("x y"), *tokens_of("x y"), *tokens_of("z")])
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.text(alphabet="aé1 .,ῥ́\n", max_size=20), min_size=1, max_size=5))
 def test_tokens_property(spark, cases):
