@@ -529,6 +529,19 @@ def test_packing_covers_all_ids(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_buckets(spark, tmp_path):
+    docs = [(1, "one two three"), (1, "one two three"), (2, ""), (3, None), (None, "red hat " * 400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    pieces = packing.pack(df, vocabulary("byte_bpe_50k.json"))
+    packing.write_buckets(pieces, str(tmp_path / "packed"))
+    want = sorted(map(str, (tuple(r) for r in pieces.drop("sequence_id").collect())))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    assert sorted(map(str, (tuple(r) for r in back.select(*pieces.drop("sequence_id").columns).collect()))) == want
+    assert back.filter("bucket <> length or octet_length(ids) <> 4 * length").count() == 0
+    folders = {int(f.name.split("=")[1]) for f in (tmp_path / "packed").glob("bucket=*")}
+    assert folders == {r.length for r in pieces.collect()} and all(n & (n - 1) == 0 for n in folders)
+
+
 def test_token_counts_match_plain_dynamic_programming(docs, empty):
     path = vocabulary("piece_bpe_32k.model")
     scores = tokencount.zipf_scores(path)
