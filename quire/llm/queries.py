@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, licenses, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, warc
+from quire.llm import bpe, licenses, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, vectorcodes, warc
 from quire.llm.common import prepare, shared_folder
 
 
@@ -70,8 +70,15 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    found = vectorcodes.label_errors(coded.select("vec_id", "label", code.alias("code"), "error"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vectorcodes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_topk, op3_licenses, op4_quality, op5_bpe, op6_packing, op7_tokencount, op8_toxicity, op9_substrings, op10_nearjoin)}
+    return {f.__name__: f for f in (op1_warc, op2_topk, op3_licenses, op4_quality, op5_bpe, op6_packing, op7_tokencount, op8_toxicity, op9_substrings, op10_nearjoin, op13_vectorcodes)}
 
 
 OP1_SQL = """
@@ -108,5 +115,30 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(kept))::BIGINT AS n_re
 """
 
 
+def _op13_sql() -> str:
+    """Each round: distances of every part to every entry, the least of distance * 256 + entry, then flooring means."""
+    steps = []
+    for k in range(5):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT p.vec_id, p.label, p.part, any_value(p.x) AS x, min((list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b.c) + list_dot_product(b.c, b.c))::BIGINT * 256 + b.entry) AS best
+  FROM p JOIN b{k} b ON p.part = b.part GROUP BY p.row, p.vec_id, p.label, p.part)""")
+        if k < 4:
+            steps.append(f"""
+m{k} AS (SELECT part, best % 256 AS entry, j, floor(sum(x[j]) / count(*)) AS c FROM a{k}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY 1, 2, 3),
+l{k} AS (SELECT part, entry, list(c ORDER BY j) AS c FROM m{k} GROUP BY 1, 2),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(l{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN l{k} USING (part, entry))""")
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+p AS MATERIALIZED (SELECT row, vec_id, label, k AS part, e[k * len(e) // 4 + 1:(k + 1) * len(e) // 4] AS x FROM v, range(4) t(k)),
+b0 AS (SELECT part, row - 1 AS entry, x AS c FROM p WHERE row <= 256),{",".join(steps)},
+o AS (SELECT vec_id, label, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: y::BIGINT), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o, h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_substrings": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_substrings": OP9_SQL, "op13_vectorcodes": _op13_sql()}
