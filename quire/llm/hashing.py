@@ -71,6 +71,20 @@ def text_buffer(column, feeds: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each span of the bytes, by their values and number alone; each seed has a byte table of its own."""
+    n = len(data)
+    if not len(starts):
+        return np.zeros(0, U64)
+    table = mix(_TABLE + U64(seed)) if seed else _TABLE
+    up, down = _powers(n + 1)
+    sums = np.empty(n + 1, U64)
+    sums[0] = 0
+    np.cumsum(table[data] * up[:n], out=sums[1:])
+    value = (sums[stops] - sums[starts]) * down[starts]
+    return mix(value ^ (stops - starts).astype(U64) * U64(0xA0761D6478BD642F))
+
+
 class Words:
     """The words of a batch of texts: hash, byte span, and the first word of each text."""
 
@@ -88,15 +102,7 @@ class Words:
         self.n_words = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.bytes)
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        up, down = _powers(n + 1)
-        sums = np.empty(n + 1, U64)
-        sums[0] = 0
-        np.cumsum(_TABLE[self.bytes] * up[:n], out=sums[1:])
-        value = (sums[self.stops] - sums[self.starts]) * down[self.starts]
-        return mix(value ^ (self.stops - self.starts).astype(U64) * U64(0xA0761D6478BD642F))
+        return span_hashes(self.bytes, self.starts, self.stops)
 
 
 def windows(words: np.ndarray, size: int, seed: int = 0) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, licenses, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, vectorcodes, warc
+from quire.llm import bpe, collocations, licenses, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, vectorcodes, warc
 from quire.llm.common import prepare, shared_folder
 
 
@@ -70,6 +70,10 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
     code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
@@ -78,7 +82,7 @@ def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_topk, op3_licenses, op4_quality, op5_bpe, op6_packing, op7_tokencount, op8_toxicity, op9_substrings, op10_nearjoin, op13_vectorcodes)}
+    return {f.__name__: f for f in (op1_warc, op2_topk, op3_licenses, op4_quality, op5_bpe, op6_packing, op7_tokencount, op8_toxicity, op9_substrings, op10_nearjoin, op12_collocations, op13_vectorcodes)}
 
 
 OP1_SQL = """
@@ -115,6 +119,23 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(kept))::BIGINT AS n_re
 """
 
 
+OP12_SQL = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM t),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p WHERE len(ws) > 0),
+f AS MATERIALIZED (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM i, (VALUES (1), (2), (3)) s(size) WHERE i + size - 1 <= len(ws) GROUP BY 1, 2, 3),
+c AS MATERIALIZED (SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE size > 1 AND f >= 10),
+u AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+k AS (SELECT u.lang, u.phrase, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM u JOIN f x ON x.lang = u.lang AND x.phrase = u.head JOIN f y ON y.lang = u.lang AND y.phrase = u.tail),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+m AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, unnest([ws[1] || ' ' || ws[2], ws[2] || ' ' || ws[3]]) AS phrase, a FROM c WHERE size = 3) GROUP BY 1, 2),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY 1),
+x AS (SELECT b.* FROM b LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT x.*, n.n, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, phrase) AS rank FROM x JOIN n USING (lang)) WHERE rank <= 2000
+"""
+
+
 def _op13_sql() -> str:
     """Each round: distances of every part to every entry, the least of distance * 256 + entry, then flooring means."""
     steps = []
@@ -141,4 +162,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_substrings": OP9_SQL, "op13_vectorcodes": _op13_sql()}
+    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_substrings": OP9_SQL, "op12_collocations": OP12_SQL, "op13_vectorcodes": _op13_sql()}
