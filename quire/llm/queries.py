@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, collocations, licenses, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, vectorcodes, warc
+from quire.llm import bpe, collocations, licenses, minhash, nearjoin, packing, quality, substrings, tokencount, topk, toxicity, vectorcodes, warc
 from quire.llm.common import prepare, shared_folder
 
 
@@ -70,6 +70,10 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -82,7 +86,7 @@ def op13_vectorcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_topk, op3_licenses, op4_quality, op5_bpe, op6_packing, op7_tokencount, op8_toxicity, op9_substrings, op10_nearjoin, op12_collocations, op13_vectorcodes)}
+    return {f.__name__: f for f in (op1_warc, op2_topk, op3_licenses, op4_quality, op5_bpe, op6_packing, op7_tokencount, op8_toxicity, op9_substrings, op10_nearjoin, op11_minhash, op12_collocations, op13_vectorcodes)}
 
 
 OP1_SQL = """
@@ -119,6 +123,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - len(kept))::BIGINT AS n_re
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) = 1 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, len(g) AS n FROM s),
+i AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM i x JOIN i y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a WHERE r.root < e.b)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, min(r.root) AS component_id, min(r.root) = n.doc_id AS kept FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
 OP12_SQL = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM t),
@@ -162,4 +178,4 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_substrings": OP9_SQL, "op12_collocations": OP12_SQL, "op13_vectorcodes": _op13_sql()}
+    return {"op1_warc": OP1_SQL, "op2_topk": OP2_SQL, "op9_substrings": OP9_SQL, "op11_minhash": OP11_SQL, "op12_collocations": OP12_SQL, "op13_vectorcodes": _op13_sql()}
