@@ -242,6 +242,17 @@ def _prefixes(batches: Iterator, record: np.dtype) -> Iterator[tuple[tuple, np.n
         yield key, *all_rows()
 
 
+def _highest(scored: DataFrame, top: int) -> DataFrame:
+    """The rows that can be among a language's first ``top``: those down to the score step in which the last of them
+    lies. Steps are counted first, at most 1,001 a language."""
+    step = F.call_function("div", F.col("score"), F.lit(1000))
+    above = Window.partitionBy("lang").orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    steps = scored.groupBy("lang", step.alias("step")).agg(F.count("*").alias("m"))
+    steps = steps.withColumn("above", F.coalesce(F.sum("m").over(above), F.lit(0))).filter(F.col("above") < top)
+    lowest = steps.groupBy("lang").agg(F.min("step").alias("lowest"))
+    return scored.join(lowest, "lang").filter(step >= F.col("lowest")).drop("lowest")
+
+
 def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cover: int = COVER, top: int | None = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): per language the ``top`` phrases of 2 to ``longest`` words, all of
     them where ``top`` is None.
@@ -278,6 +289,8 @@ def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cover: int
     covers = covers.groupBy("lang", "hashes").agg(F.max("f").alias("longer"))
     kept = scored.join(covers, ["lang", "hashes"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("a")))
     kept = written(kept.select("lang", "hashes", "a", "x.l", "x.r", "x.score"), "scored")
+    if top is not None:
+        kept = _highest(kept, top)
 
     spelled = kept.select("lang", "hashes", F.posexplode("hashes").alias("i", "h")).join(frequent.select("lang", "h", "word"), ["lang", "h"])
     spelled = spelled.groupBy("lang", "hashes").agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("ws"))

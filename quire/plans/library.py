@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire import ship
 from quire.functions import cells, citations, text
-from quire.operators import checks, facets, linking, marginal, markup, tables
+from quire.operators import anchoring, checks, facets, linking, marginal, markup, spans, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -533,6 +533,49 @@ def reanchor(spark, d):
     return q.select("doc_id", checks.reanchor(F.col("quote"), F.col("st"), F.col("text")).alias("r")).select("doc_id", "r.outcome", F.col("r.start").alias("start_offset"))
 
 
+@query("""
+WITH q AS (SELECT doc_id, text, substr(text, 41, 30) AS quote, substr(text, 21, 20) || substr(text, 41, 30) || substr(text, 71, 20) AS whole FROM documents WHERE length(text) >= 100),
+m AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN text ELSE 'new ' || text END AS now FROM q),
+i AS (SELECT *, instr(now, whole) AS p FROM m),
+r AS (SELECT doc_id, CASE WHEN substr(now, 41, 30) = quote THEN 'stable' WHEN instr(substr(now, p + 1), whole) = 0 THEN 'reanchored' ELSE 'needs_review' END AS outcome, p FROM i)
+SELECT doc_id, outcome, CASE outcome WHEN 'stable' THEN 40 WHEN 'reanchored' THEN p + 19 END::INTEGER AS start_offset, 1.0::DOUBLE AS score FROM r""")
+def reanchor_in_context(spark, d):
+    docs = table(spark, d, "documents").filter(F.char_length("text") >= 100)
+    part = lambda at, n: F.substring("text", at, n)
+    anchors = docs.select("doc_id", part(41, 30).alias("quote"), part(21, 20).alias("prefix_context"), part(71, 20).alias("suffix_context"), F.lit(40).alias("start_offset"))
+    now = docs.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("new "), "text")).alias("now"))
+    found = anchoring.reanchored(anchors, now, "doc_id", "id", "now")
+    return found.select("doc_id", "anchor.outcome", F.col("anchor.start").alias("start_offset"), "anchor.score")
+
+
+def _spans(spark, d):
+    """Spans of 750 code points that overlap by 250, from the start of each text past its end."""
+    starts = F.explode(F.sequence(F.lit(0), F.char_length("text"), F.lit(500)))
+    return table(spark, d, "documents").select("doc_id", starts.alias("start_offset")).select("doc_id", "start_offset", F.col("start_offset").alias("span_id"), (F.col("start_offset") + 750).alias("end_offset"))
+
+
+@query(_TOKENS + """,
+x AS (SELECT doc_id, i - 1 AS k, stop - length(token) AS a, stop AS b FROM t),
+sp AS (SELECT doc_id, unnest(range(0, length(text) + 1, 500)) AS span_id FROM documents)
+SELECT sp.doc_id, sp.span_id::INTEGER AS span_id, min(k)::INTEGER AS start_token, (max(k) + 1)::INTEGER AS end_token, count(*) FILTER (WHERE a >= span_id AND b <= span_id + 750) AS n_inside
+FROM sp LEFT JOIN x ON x.doc_id = sp.doc_id AND a < span_id + 750 AND span_id < b GROUP BY 1, 2""")
+def span_tokens(spark, d):
+    return spans.covering_tokens(_spans(spark, d), text.tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "span_id")
+
+
+@query(_TOKENS + """,
+x AS (SELECT doc_id, i, stop - length(token) AS a, stop AS b FROM t),
+m AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 3 END AS s, CASE WHEN doc_id % 5 = 0 THEN 12 ELSE 20 END AS e FROM documents)
+SELECT m.doc_id, coalesce(CASE WHEN f.a IS NOT NULL AND l.b IS NOT NULL THEN f.a END, 0)::INTEGER AS start_offset, coalesce(CASE WHEN f.a IS NOT NULL AND l.b IS NOT NULL THEN l.b END, 100)::INTEGER AS end_offset,
+  CASE WHEN f.a IS NULL OR l.b IS NULL THEN 'lost' WHEN f.a = 0 AND l.b = 100 THEN 'agree' ELSE 'moved' END AS status
+FROM m LEFT JOIN x f ON f.doc_id = m.doc_id AND f.i = s + 1 LEFT JOIN x l ON l.doc_id = m.doc_id AND l.i = e""")
+def tokens_decide(spark, d):
+    docs = table(spark, d, "documents")
+    start, end = F.when(F.col("doc_id") % 4 == 0, 0).otherwise(3), F.when(F.col("doc_id") % 5 == 0, 12).otherwise(20)
+    anchors = docs.select("doc_id", start.alias("start_token"), end.alias("end_token"), F.lit(0).alias("start_offset"), F.lit(100).alias("end_offset"))
+    return spans.by_tokens(anchors, text.tokens(docs, "doc_id", "text"), "doc_id").drop("start_token", "end_token")
+
+
 @query("""
 WITH f AS (SELECT d.doc_id, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 c AS (SELECT min(doc_id) AS a FROM f WHERE quality = 0), e AS (SELECT min(doc_id) AS b FROM f WHERE toxic = 1 AND doc_id <> (SELECT a FROM c)),
