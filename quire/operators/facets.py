@@ -157,16 +157,6 @@ def aligned(alignments: DataFrame) -> DataFrame:
     return alignments.select(F.col("a").alias("entry"), F.col("b").alias("other"), "alignment_type").union(alignments.select("b", "a", "alignment_type"))
 
 
-def mentions(tokens: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
-    """(key, token_index, lemma_id, n_tokens) wherever an alias of one or more words stands. An alias is found at
-    its first word by equality and then compared whole with the tokens that follow."""
-    first = aliases.select("lemma_id", F.split("alias_normalized", " ").alias("words")).withColumn("w", F.col("words")[0]).withColumn("n", F.size("words"))
-    longest = aliases.agg(F.max(F.size(F.split("alias_normalized", " ")))).first()[0] or 1
-    ahead = Window.partitionBy(key).orderBy("token_index").rowsBetween(0, longest - 1)
-    rows = tokens.select(key, "token_index", "token_normalized", F.collect_list("token_normalized").over(ahead).alias("run"))
-    return rows.join(first, rows["token_normalized"] == first["w"]).filter(F.slice("run", F.lit(1), F.col("n")) == F.col("words")).select(key, "token_index", "lemma_id", F.col("n").alias("n_tokens"))
-
-
 def token_list(text: Column) -> Column:
     return F.filter(F.split(normalize(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
@@ -178,7 +168,8 @@ def jaccard(x: Column, y: Column) -> Column:
 
 def passages(items: DataFrame, x: str, texts: DataFrame, y: str, lead: int, key: str) -> DataFrame:
     """Items beside the runs of tokens in texts that begin like them: equal first ``lead`` tokens, looked up by a
-    64-bit hash of each window and then compared. ``run`` is as long as the item. Items of at most
+    64-bit hash of each window and then compared. An item of fewer tokens has no such beginning and no row;
+    ``reuse.runs`` finds items of any length, and reuse that begins anywhere. ``run`` is as long as the item. Items of at most
     ``BROADCAST_BYTES`` are broadcast, so texts are read once and not shuffled; of others the windows' hashes and
     places are, and the texts of hits join again."""
     starts = F.when(F.size(y) >= lead, F.sequence(F.lit(1), F.size(y) - lead + 1)).otherwise(F.array().cast("array<int>"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire import ship
 from quire.functions import cells, citations, text
-from quire.operators import anchoring, checks, facets, linking, marginal, markup, spans, tables
+from quire.operators import anchoring, checks, facets, linking, marginal, markup, mentions, reuse, spans, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -427,6 +427,37 @@ def passage_overlap(spark, d):
     return hits.groupBy("item_id", "doc_id").agg(F.round(F.max(facets.jaccard(F.col("x"), F.col("run"))), 6).alias("similarity"))
 
 
+_REUSE = r"""
+WITH a AS (SELECT item_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS x FROM benchmark),
+b AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS y FROM documents),
+p AS (SELECT item_id, i, array_to_string(x[i:i + 7], ' ') AS g FROM (SELECT item_id, x, unnest(range(1, len(x) - 6)) AS i FROM a WHERE len(x) > 7)),
+q AS (SELECT doc_id, j, array_to_string(y[j:j + 7], ' ') AS g FROM (SELECT doc_id, y, unnest(range(1, len(y) - 6)) AS j FROM b WHERE len(y) > 7)),
+s AS (SELECT item_id, doc_id, i, j, i - row_number() OVER (PARTITION BY item_id, doc_id, j - i ORDER BY i) AS island FROM p JOIN q USING (g)),
+k AS (SELECT doc_id, y, unnest(range(1, len(y) + 1)) AS j FROM b),
+r AS (SELECT item_id, doc_id, min(i) - 1 AS item_start, min(j) - 1 AS text_start, count(*) + 7 AS n_tokens FROM s GROUP BY item_id, doc_id, j - i, island
+  UNION ALL SELECT item_id, doc_id, 0, j - 1, len(x) FROM a JOIN k ON len(x) BETWEEN 1 AND 7 AND y[j:j + len(x) - 1] = x)
+"""
+
+
+def _token_lists(spark, d):
+    tokens = facets.token_list(F.col("text"))
+    return table(spark, d, "benchmark").select("item_id", tokens.alias("x")), table(spark, d, "documents").select("doc_id", tokens.alias("y"))
+
+
+@query(_REUSE + "SELECT item_id, doc_id, item_start::INTEGER AS item_start, text_start::INTEGER AS text_start, n_tokens::INTEGER AS n_tokens FROM r")
+def reused_runs(spark, d):
+    return reuse.runs(*_token_lists(spark, d), "item_id", "doc_id", "x", "y")
+
+
+@query(_REUSE + """,
+l AS (SELECT *, lag(item_start + n_tokens) OVER w AS pi, lag(text_start + n_tokens) OVER w AS pt FROM r WINDOW w AS (PARTITION BY item_id, doc_id ORDER BY text_start, item_start)),
+c AS (SELECT *, sum(CASE WHEN text_start - pt BETWEEN 0 AND 10 AND item_start - pi BETWEEN 0 AND 10 THEN 0 ELSE 1 END) OVER (PARTITION BY item_id, doc_id ORDER BY text_start, item_start) AS chain FROM l)
+SELECT item_id, doc_id, min(item_start)::INTEGER AS item_start, max(item_start + n_tokens)::INTEGER AS item_end, min(text_start)::INTEGER AS text_start, max(text_start + n_tokens)::INTEGER AS text_end,
+  sum(n_tokens)::INTEGER AS n_equal, count(*)::INTEGER AS n_runs FROM c GROUP BY item_id, doc_id, chain""")
+def reused_passages(spark, d):
+    return reuse.passages(reused_runs(spark, d), "item_id", "doc_id")
+
+
 @query("""
 SELECT t.name AS table_name, r.role, r.role IN ('authenticated', 'viewer', 'editor', 'service') AS can_read,
        t.writer <> '' AND (r.role = 'service' OR r.role = t.writer) AS can_write
@@ -821,7 +852,8 @@ a AS (SELECT lemma_id, string_split(alias, ' ') AS ws FROM (VALUES {", ".join(ma
 SELECT id, (i - 1)::INTEGER AS token_index, lemma_id, len(ws)::INTEGER AS n_tokens FROM p JOIN a ON ts[i:i + len(ws) - 1] = ws""")
 def alias_mentions(spark, d):
     rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return facets.mentions(text.tokens(rows, "id", "text"), spark.createDataFrame(_ALIASES, "lemma_id string, alias_normalized string"), "id")
+    normal = F.transform(text.token_texts(F.col("text")), lambda t: text.normalize(t))
+    return mentions.mentions(rows.select("id", normal.alias("tokens")), spark.createDataFrame(_ALIASES, "lemma_id string, alias_normalized string"), "id", "tokens")
 
 
 @query("""

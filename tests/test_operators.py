@@ -130,12 +130,6 @@ def test_passages(spark, monkeypatch, most):
     assert got == sorted([("i", 1, "a b q a"), ("i", 1, "a b c"), ("j", 1, "b c"), ("j", 5, "b c")])
 
 
-def test_mentions(spark):
-    tokens = spark.createDataFrame([("e", i, t) for i, t in enumerate("a red cat and a red hat".split())], "e string, token_index int, token_normalized string")
-    aliases = spark.createDataFrame([("L1", "red cat"), ("L2", "a"), ("L3", "red fox")], "lemma_id string, alias_normalized string")
-    assert rows(facets.mentions(tokens, aliases, "e")) == [("e", 0, "L2", 1), ("e", 1, "L1", 2), ("e", 4, "L2", 1)]
-
-
 def test_policies(spark):
     assert facets.may("translations", "editor", True) and not facets.may("translations", "viewer", True)
     assert facets.may("entries", "viewer") and not facets.may("entries", "editor", True) and facets.may("entries", "service", True)
