@@ -7,14 +7,17 @@ orders with their line items are entries with links, nations and regions are doc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import ship
 from quire.functions import cells, citations, text
-from quire.operators import anchoring, checks, facets, linking, marginal, markup, mentions, reuse, spans, tables
+from quire.operators import anchoring, checks, facets, linking, marginal, markup, mentions, reuse, sharing, spans, tables, trigrams
+from quire.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -397,13 +400,36 @@ def text_contains(spark, d):
     return facets.list_filter(table(spark, d, "documents"), active=None, key="doc_id", contains=("text", "LICENSE")).select("doc_id", "source")
 
 
+_NEEDLES = ("License", "und die", "%", "th", "src1", "qqqxz", "Ü")
+
+
+@query(f"SELECT needle, doc_id FROM documents JOIN (VALUES {', '.join(f"('{n}')" for n in _NEEDLES)}) v(needle) ON contains(lower(text), lower(needle)) OR contains(lower(source), lower(needle))")
+def trigram_search(spark, d):
+    docs, columns, path = table(spark, d, "documents"), ["text", "source"], f"{shared_folder(spark)}/quire/trigrams-{uuid.uuid4().hex}"
+    trigrams.build(docs, "doc_id", columns, path)
+    found = [trigrams.search(docs, path, "doc_id", columns, n).select(F.lit(n).alias("needle"), "doc_id") for n in _NEEDLES]
+    return reduce(DataFrame.union, found)
+
+
 @query("""
 WITH l AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS p FROM lineitem),
 s AS (SELECT a.e AS a, b.e AS b, count(*) AS n FROM l a JOIN l b ON a.p = b.p AND a.e <> b.e GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM s)
 SELECT a, b, n AS n_shared FROM r WHERE k <= 3""")
 def compare_shared(spark, d):
-    return facets.sharing(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 3)
+    return sharing.sharing(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 3)
+
+
+@query("""
+WITH l AS (SELECT DISTINCT o_custkey AS e, unnest([o_orderpriority, o_orderstatus, o_orderkey // 20 || '']) AS p FROM orders),
+s AS (SELECT a.e AS a, b.e AS b, count(*) AS n FROM l a JOIN l b ON a.p = b.p AND a.e <> b.e GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM s)
+SELECT a, b, n AS n_shared FROM r WHERE k <= 3""")
+def compare_ubiquitous(spark, d):
+    """Priorities and states are shared by most customers, the twenty orders around one by few."""
+    near = F.floor(F.col("o_orderkey") / 20).cast("string")
+    links = table(spark, d, "orders").select("o_custkey", F.explode(F.array("o_orderpriority", "o_orderstatus", near)).alias("head"))
+    return sharing.sharing(links, "o_custkey", "head", 3, heavy=50)
 
 
 @query("""
