@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire import ship
 from quire.functions import cells, citations, text
-from quire.operators import anchoring, checks, facets, linking, marginal, markup, mentions, reuse, sharing, spans, tables, trigrams
+from quire.operators import anchoring, bucketed, checks, facets, linking, marginal, markup, mentions, reuse, sharing, spans, tables, trigrams
 from quire.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,38 @@ def upsert_merge(spark, d):
     return tables.upsert(target, batch, ["c_custkey"], [F.col("seq")])
 
 
+def _bucketed(spark, target, by, name):
+    """A bucketed table in the shared folder that holds ``target``."""
+    made = bucketed.BucketedTable.create(spark, f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex}", target.schema, by, 16)
+    made.change(target, "first", lambda rows, new: new)
+    return made
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN lower(c_name) WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS c_name,
+       CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 2 WHEN c_custkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
+       CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey END AS c_nationkey
+FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0""")
+def bucketed_upsert(spark, d):
+    target, batch = _halves(spark, d)
+    made = _bucketed(spark, target, ["c_custkey"], "customers")
+    for again in ("batch", "batch"):  # the second run is known and changes nothing
+        made.upsert(batch, again, ["c_custkey"], [F.col("seq")])
+    return made.read()
+
+
+@query("""
+SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 10 AND c_custkey % 4 = 0 THEN false ELSE true END AS is_active,
+       CASE WHEN c_nationkey < 10 THEN 'run2' ELSE 'run1' END AS last_import_run_id
+FROM customer""")
+def bucketed_deactivate(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    made = _bucketed(spark, c.withColumns({"is_active": F.lit(True), "last_import_run_id": F.lit("run1")}), ["c_nationkey"], "entries")
+    run = c.filter("c_nationkey < 10 and c_custkey % 4 <> 0")
+    made.change(run, "run2", lambda rows, new: tables.deactivate_unseen(rows, new, ["c_custkey", "c_nationkey"], "c_nationkey", "run2"))
+    return made.read()
+
+
 @query("""
 SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 10 AND c_custkey % 4 = 0 THEN false ELSE true END AS is_active,
        CASE WHEN c_nationkey < 10 THEN 'run2' ELSE 'run1' END AS last_import_run_id

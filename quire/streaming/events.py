@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.bucketed import BucketedTable
 from quire.operators.tables import last_wins
 
 
@@ -34,3 +35,13 @@ def upserting(path: str, keys: list[str], order: str, first: int = 0) -> Callabl
         last_wins(before.unionByName(batch), keys, [F.col(order)]).write.mode("overwrite").parquet(new)
 
     return merge
+
+
+def merging(path: str, keys: list[str], order: str, query: str = "stream") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink into a ``BucketedTable``: of a key the row that is last by ``order`` stays, and each batch
+    rewrites only the buckets of its keys. A batch that is run again is known by its number and changes nothing."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        BucketedTable(batch.sparkSession, path).keep_last(batch, f"{query}-{number}", keys, order)
+
+    return merge
