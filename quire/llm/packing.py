@@ -44,6 +44,24 @@ def encoder(path: str):
     return _LOADED[path]
 
 
+def token_ids(path: str, text: str):
+    """The ids of a text. tiktoken's pattern fails on white space of about a million characters, which it follows
+    backwards; such a text goes to ``tokenizers`` itself, at its speed."""
+    import numpy as np
+
+    try:
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        from tokenizers import Tokenizer
+
+        if (path, "library") not in _LOADED:
+            library = Tokenizer.from_file(path)
+            library.no_truncation()
+            library.no_padding()
+            _LOADED[path, "library"] = library
+        return np.array(_LOADED[path, "library"].encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def piece_lengths(n: int, longest: int) -> list[int]:
     """Binary lengths that sum to n, longest first."""
     full, rest = divmod(n, longest)
@@ -66,11 +84,11 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, number = encoder(tokenizer_path), TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 33
         for batch in slices(batches, "text"):
             owner, starts, lengths, totals, blobs = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(token_ids(tokenizer_path, text or ""), np.uint32(end_id)).astype("<u4")
                 raw, at = ids.tobytes(), 0
                 for n in piece_lengths(len(ids), longest):
                     owner.append(i)

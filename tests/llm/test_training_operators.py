@@ -529,6 +529,30 @@ def test_packing_covers_all_ids(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a" + " " * 2_000_000 + "b", "\t" * 2_000_000, "a\n" + "\n" * 2_000_000 + " x", "a" * 200_000]
+    pieces = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect():
+        pieces[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        ids = b"".join(bytes(r.ids) for r in sorted(pieces[i], key=lambda r: r.start))
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids + [0]
+
+
+def test_packing_of_repeated_rows_null_ids_and_clashing_names(docs, clashing):
+    path = vocabulary("byte_bpe_50k.json")
+    want = Counter((r.doc_id, r.text) for r in docs.collect())
+    rows = packing.pack(clashing, path).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(i for i, _ in want.elements())
+    again = Counter((r.doc_id, r.start, r.length, bytes(r.ids), r.doc_tokens, r.offset) for r in rows)
+    assert again == Counter((r.doc_id, r.start, r.length, bytes(r.ids), r.doc_tokens, r.offset) for r in packing.pack(docs, path).collect())
+
+
 def test_packing_buckets(spark, tmp_path):
     docs = [(1, "one two three"), (1, "one two three"), (2, ""), (3, None), (None, "red hat " * 400)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
