@@ -10,32 +10,32 @@ from quire.functions.text import clip, greek_tokens, normalize
 
 # Inflected forms of part nouns, normalized.
 PART_FORMS = {
-    "ριζα": "ριζα ριζης ριζαν ριζαι ριζων ριζας",
-    "φυλλον": "φυλλον φυλλα φυλλων φυλλοις φυλλοι",
-    "σπερμα": "σπερμα σπερματος σπερματι σπερματα σπερματων",
-    "καρπος": "καρπος καρπου καρπον καρποι καρπων",
-    "ανθος": "ανθος ανθους ανθει ανθη ανθων",
-    "φλοιος": "φλοιος φλοιου φλοιον φλοιοι φλοιων",
-    "χυλος": "χυλος χυλου χυλον χυλοι χυλων",
-    "οπος": "οπος οπου οπον οποι οπων",
-    "κλαδος": "κλαδος κλαδου κλαδον κλαδοι κλαδων",
-    "βλαστος": "βλαστος βλαστου βλαστον βλαστοι βλαστων",
-    "τεφρα": "τεφρα τεφρας",
-    "αιμα": "αιμα αιματος",
-    "γαλα": "γαλα γαλακτος γαλακτι",
-    "χολη": "χολη χολης",
-    "πιμελη": "πιμελη πιμελης",
-    "μυελος": "μυελος μυελου",
-    "ηπαρ": "ηπαρ ηπατος",
-    "κοπρος": "κοπρος κοπρου",
-    "ουρον": "ουρον ουρου",
-    "οστουν": "οστουν οστα οστου οστων",
-    "κερας": "κερας κερατος κερατα κερατων",
-    "δερμα": "δερμα δερματος",
-    "ονυξ": "ονυξ ονυχος ονυχες",
-    "ωον": "ωον ωου ωα",
-    "λιθος": "λιθος λιθου λιθον λιθοι λιθων",
-    "σποδος": "σποδος σποδου σποδον σποδοι σποδων",
+    "ριζα": ("ριζα", "ριζης", "ριζαν", "ριζαι", "ριζων", "ριζας"),
+    "φυλλον": ("φυλλον", "φυλλα", "φυλλων", "φυλλοις", "φυλλοι"),
+    "σπερμα": ("σπερμα", "σπερματος", "σπερματι", "σπερματα", "σπερματων"),
+    "καρπος": ("καρπος", "καρπου", "καρπον", "καρποι", "καρπων"),
+    "ανθος": ("ανθος", "ανθους", "ανθει", "ανθη", "ανθων"),
+    "φλοιος": ("φλοιος", "φλοιου", "φλοιον", "φλοιοι", "φλοιων"),
+    "χυλος": ("χυλος", "χυλου", "χυλον", "χυλοι", "χυλων"),
+    "οπος": ("οπος", "οπου", "οπον", "οποι", "οπων"),
+    "κλαδος": ("κλαδος", "κλαδου", "κλαδον", "κλαδοι", "κλαδων"),
+    "βλαστος": ("βλαστος", "βλαστου", "βλαστον", "βλαστοι", "βλαστων"),
+    "τεφρα": ("τεφρα", "τεφρας"),
+    "αιμα": ("αιμα", "αιματος"),
+    "γαλα": ("γαλα", "γαλακτος", "γαλακτι"),
+    "χολη": ("χολη", "χολης"),
+    "πιμελη": ("πιμελη", "πιμελης"),
+    "μυελος": ("μυελος", "μυελου"),
+    "ηπαρ": ("ηπαρ", "ηπατος"),
+    "κοπρος": ("κοπρος", "κοπρου"),
+    "ουρον": ("ουρον", "ουρου"),
+    "οστουν": ("οστουν", "οστα", "οστου", "οστων"),
+    "κερας": ("κερας", "κερατος", "κερατα", "κερατων"),
+    "δερμα": ("δερμα", "δερματος"),
+    "ονυξ": ("ονυξ", "ονυχος", "ονυχες"),
+    "ωον": ("ωον", "ωου", "ωα"),
+    "λιθος": ("λιθος", "λιθου", "λιθον", "λιθοι", "λιθων"),
+    "σποδος": ("σποδος", "σποδου", "σποδον", "σποδοι", "σποδων"),
 }
 # Process words that are no substances; tokens that are no preparations.
 NOT_SUBSTANCES = ("βρεξαντα", "εψησις", "εψησεως")
@@ -44,10 +44,10 @@ NOT_PREPARATIONS = ("ωμοτριβες", "ξηρα")
 CATEGORY_PARTS = {"mineral": "P302", "vegetable": "P005", "animal": "P005"}
 # Base -> (forms that always count, prefix of attested forms that count, forms that count if attested).
 PREPARATION_FORMS = {
-    "κεκαυμενος": ("κεκαυμενος κεκαυμενη κεκαυμενον", "κεκαυμε", ""),
-    "εψησις": ("εψησις εψησεως", "εψησ", ""),
-    "πεπλυμενος": ("πεπλυμενον", "πεπλυμε", ""),
-    "αφεψημα": ("αφεψημα", None, "αφεψηματος αφεψηματι αφεψηματα αφεψηματων"),
+    "κεκαυμενος": (("κεκαυμενος", "κεκαυμενη", "κεκαυμενον"), "κεκαυμε", ()),
+    "εψησις": (("εψησις", "εψησεως"), "εψησ", ()),
+    "πεπλυμενος": (("πεπλυμενον",), "πεπλυμε", ()),
+    "αφεψημα": (("αφεψημα",), None, ("αφεψηματος", "αφεψηματι", "αφεψηματα", "αφεψηματων")),
 }
 # Stems of preparation-like words, in the order in which they are tried.
 STEMS = {"εψη": "boiled/cooked family", "πεπλυ": "washed family", "εκπιεσ": "expressed/pressed family", "τετριμ": "ground family", "κοπαν": "pounded family", "ξηρ": "dried family"}
@@ -93,7 +93,7 @@ def link_lemmata(entries: DataFrame, lemmata: DataFrame, key: str, cell: str, wh
 
 def part_forms(parts: DataFrame) -> DataFrame:
     """(form, part_id): known inflections of each part's word, or the word itself."""
-    table = F.create_map(*[x for base, forms in PART_FORMS.items() for x in (F.lit(base), F.array(*map(F.lit, forms.split())))])
+    table = F.create_map(*[x for base, forms in PART_FORMS.items() for x in (F.lit(base), F.array(*map(F.lit, forms)))])
     base = normalize(F.col("greek"), "1.0", strip=True)
     rows = parts.filter((F.trim("part_id") != "") & (F.trim("greek") != ""))
     return rows.select(F.explode(F.coalesce(F.try_element_at(table, base), F.array(base))).alias("form"), F.trim("part_id").alias("part_id")).distinct()
@@ -120,12 +120,12 @@ def preparation_forms(preparations: DataFrame, attested: DataFrame) -> DataFrame
     """(form, prep_id, rule): forms by vocabulary order. ``attested(token)`` has the normalized tokens in use."""
     base = normalize(F.col("greek"), "1.0", strip=True)
     rules = preparations.select(F.trim("prep_id").alias("prep_id"), "rule", base.alias("base"))
-    fixed = F.create_map(*[x for b, (always, _, _) in PREPARATION_FORMS.items() for x in (F.lit(b), F.array(*map(F.lit, always.split())))])
+    fixed = F.create_map(*[x for b, (always, _, _) in PREPARATION_FORMS.items() for x in (F.lit(b), F.array(*map(F.lit, always)))])
     always = rules.select(F.explode(F.coalesce(F.try_element_at(fixed, F.col("base")), F.array("base"))).alias("form"), "prep_id", "rule")
     seen = attested.select(F.col("token").alias("form")).distinct()
     out = always
     for b, (_, prefix, listed) in PREPARATION_FORMS.items():
-        hit = F.col("form").startswith(prefix) if prefix else F.col("form").isin(*listed.split())
+        hit = F.col("form").startswith(prefix) if prefix else F.col("form").isin(*listed)
         out = out.union(seen.filter(hit).join(F.broadcast(rules.filter(F.col("base") == b)).select("prep_id", "rule")))  # one rule
     return out.groupBy("form", "prep_id").agg(F.min("rule").alias("rule"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire import ship
-from quire.functions import cells, citations, text
+from quire.functions import cells, citations, jsonorder, text
 from quire.operators import anchoring, bucketed, checks, facets, linking, marginal, markup, mentions, reuse, sharing, spans, tables, trigrams
 from quire.storage import shared_folder
 
@@ -604,6 +604,19 @@ def run_diff(spark, d):
     return checks.run_diff(side(2), side(5), li.select("id").distinct(), "id", ["terms"])
 
 
+@query("""
+WITH v AS (SELECT event_type, event_id, event_id % 5 AS t, CASE event_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'false' WHEN 2 THEN (event_id % 997 - 500)::VARCHAR WHEN 3 THEN '"' || user_id || '"' ELSE '[' || (event_id % 89 - 40) || ',"' || user_id || '"]' END AS value FROM events),
+o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY t, CASE t WHEN 2 THEN event_id % 997 - 500 WHEN 4 THEN event_id % 89 - 40 ELSE 0 END, value) AS k, row_number() OVER (PARTITION BY event_type, value ORDER BY event_id) AS again FROM v),
+r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY k) AS place FROM o WHERE again = 1)
+SELECT event_type, value, place::INTEGER AS place FROM r""")
+def json_order(spark, d):
+    e, text_of = table(spark, d, "events"), lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    number = lambda n, shift: (F.col("event_id") % n - shift).cast("string")
+    kinds = F.array(F.lit("null"), F.lit("false"), number(997, 500), text_of("user_id"), F.concat(F.lit("["), number(89, 40), F.lit(","), text_of("user_id"), F.lit("]")))
+    values = e.select("event_type", kinds[(F.col("event_id") % 5).cast("int")].alias("value")).distinct().withColumn("key", jsonorder.json_key("value"))
+    return values.select("event_type", "value", F.row_number().over(Window.partitionBy("event_type").orderBy("key")).alias("place"))
+
+
 @query(f"""
 SELECT doc_id, sha256({NORM}) <> CASE WHEN doc_id % 5 = 0 THEN sha256('x' || {NORM}) ELSE sha256({NORM}) END AS is_stale FROM documents""")
 def stale_assertions(spark, d):

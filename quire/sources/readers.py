@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,12 +83,25 @@ def workbook(spark: SparkSession, path: str, sheets: list[str]) -> dict[str, Dat
     return out
 
 
-def json_lines(spark: SparkSession, path: str, schema: str = ALIGNMENT) -> DataFrame:
-    """Rows with line_no, the fields, and error (invalid_json) where a line does not parse; blank lines go.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line) of text files, numbered from 1 in each, read by as many tasks as they have splits.
+
+    A first pass counts the lines of each split; a line's number is that of its split's first line, from running
+    totals over the splits, and its place there. Lines end in a line feed, before which a carriage return goes.
+    """
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start")
+    # both passes read one listing of the files, so rows have the same ids in both
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", *place, F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = splits.select("path", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(splits, ["path", "start"]).select("path", (F.col("id") + F.col("shift") + 1).alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
 
-    Line numbers need a file's lines in one task: the file is read whole, and its lines exploded."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).filter(F.trim("line") != "")
-    parsed = lines.select((F.col("n") + 1).alias("line_no"), F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+
+def json_lines(spark: SparkSession, path: str, schema: str = ALIGNMENT) -> DataFrame:
+    """Rows with line_no, the fields, and error (invalid_json) where a line does not parse; blank lines go."""
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
+    parsed = lines.select("line_no", F.from_json("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     return parsed.select("line_no", "r.*").withColumn("error", F.when(F.col("_corrupt").isNotNull(), "invalid_json")).drop("_corrupt")
 
 
@@ -101,8 +114,8 @@ def results(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a text file in order; blank lines and comments go."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("seq", "id"))
-    return lines.select("seq", F.trim("id").alias("id")).filter((F.col("id") != "") & ~F.col("id").startswith("#"))
+    lines = numbered_lines(spark, path).select((F.col("line_no") - 1).alias("seq"), F.trim("line").alias("id"))
+    return lines.filter((F.col("id") != "") & ~F.col("id").startswith("#"))
 
 
 def fetched(ids: DataFrame, docs: DataFrame, key: str) -> DataFrame:
