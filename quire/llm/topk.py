@@ -3,9 +3,10 @@
 Candidates are dealt by descending length into chunks. All vectors are rotated by the right singular
 vectors of the candidates, so the first coordinates carry most of an inner product; the rest is at most
 the product of the lengths of the remainders (Cauchy-Schwarz). Each query starts from a lower bound, its
-k-th score among the longest candidates, which every task has. A query passes over a chunk whose longest
-vector cannot reach the bound; in a chunk the partial sum grows prefix by prefix, and after each prefix the
-pairs whose sum and residual bound stay below are dropped. What is left is scored exactly in integers.
+k-th score among a handful of the longest candidates, which every task has. A query passes over a chunk whose
+longest vector cannot reach the bound; a chunk is taken in runs that double, so that the bound rises early, and
+in a run the partial sum grows prefix by prefix, and after each prefix the pairs whose sum and residual bound
+stay below are dropped. What is left is scored exactly in integers.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quire.llm.common import dropped, partitions, written
 CHUNK, QUERIES, GROUP = 2048, 512, 16_384
 #: The share of the coordinates that is summed before each look at the bounds.
 STEPS = 8
+#: Candidates whose scores are a query's first bound, and the first run of a chunk.
+SEED = 32
 
 
 def quantized(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -69,7 +72,7 @@ class Top:
 
     ``least`` is what a score must reach to count: a lower bound of the k-th best score of all."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int, least: np.ndarray | None = None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int, least: np.ndarray | None = None, spent: int = 0):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.turned = vectors @ turn
         self.length = np.sqrt((self.turned**2).sum(1))
@@ -79,10 +82,16 @@ class Top:
         self.found = np.zeros(0, np.int64)
         self.query = np.zeros(0, np.int64)  # the row of the query of each score
         self.least = np.full(len(ids), -np.inf) if least is None else least.astype(float)
-        self.pairs = self.scored = 0
+        self.pairs, self.scored = 0, spent  # pairs seen, and exact scores, those for ``least`` included
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -> None:
         """A chunk of candidates."""
+        at, size = 0, SEED
+        while at < len(ids):
+            self._run(ids[at : at + size], vectors[at : at + size], turn)
+            at, size = at + size, 2 * size
+
+    def _run(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -> None:
         self.pairs += len(self.ids) * len(ids)
         turned = vectors @ turn
         length = np.sqrt((turned**2).sum(1))
@@ -146,7 +155,7 @@ def exact(left: np.ndarray, right: np.ndarray, row: np.ndarray, col: np.ndarray,
     return out
 
 
-def longest_first(rows: DataFrame, dim: int, most: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+def longest_first(rows: DataFrame, dim: int, most: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """(ids, vectors) of the ``most`` longest rows: a bounded table, which every task gets."""
     got = rows.orderBy(F.col("len").desc(), "vec_id").limit(most).select("vec_id", "v").toArrow()
     return got["vec_id"].to_numpy().astype(np.int64), _matrix(got["v"].combine_chunks(), dim)
@@ -167,7 +176,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
 
 def searched(vectors: DataFrame, is_query: Column, k: int = 5) -> tuple[DataFrame, DataFrame]:
-    """What ``top_k`` gives, and (pairs, scored): the pairs of a query and a candidate, and how many were scored."""
+    """What ``top_k`` gives, and (pairs, scored): the pairs of a query and a candidate, and how many exact
+    scores were computed, first bounds included."""
     spark = vectors.sparkSession
     parts = partitions(spark)
     rows = written(vectors.withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).withColumn("asks", is_query), "vectors")
@@ -187,21 +197,23 @@ def searched(vectors: DataFrame, is_query: Column, k: int = 5) -> tuple[DataFram
                 longest = batch.column(2).to_numpy(zero_copy_only=False)
                 for at in range(0, len(ids), most):
                     some = slice(at, at + most)
-                    least = np.full(len(ids[some]), -np.inf)
-                    if query:  # what the k-th of the longest candidates reaches, all of them will
+                    least, spent = np.full(len(ids[some]), -np.inf), 0
+                    if query:  # what the k-th of some candidates reaches, that of all will
                         top = Top(ids[some], m[some], turn, k)
                         top.add(*first, turn)
-                        least = top.least
-                    yield pa.RecordBatch.from_arrays([pa.array([float(longest[some].max())]), pa.array([ids[some].tobytes()], pa.binary()), pa.array([m[some].tobytes()], pa.binary()), pa.array([least.tobytes()], pa.binary())], names=["longest", "ids", "data", "least"])
+                        least, spent = top.least, top.scored
+                    blobs = [pa.array([x.tobytes()], pa.binary()) for x in (ids[some], m[some], least)]
+                    yield pa.RecordBatch.from_arrays([pa.array([float(longest[some].max())]), *blobs, pa.array([spent], pa.int64())], names=["longest", "ids", "data", "least", "spent"])
 
         return run
 
-    schema = "longest double, ids binary, data binary, least binary"
+    schema = "longest double, ids binary, data binary, least binary, spent long"
     asked = rows.filter("asks").groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.lit(0.0).alias("len"))
     queries = asked.repartition(max(1, min(parts, -(-size.asked // QUERIES))), "vec_id").mapInArrow(chunks(QUERIES, True), schema)
     given = rows.repartitionByRange(parts, F.col("len").desc(), F.col("vec_id")).sortWithinPartitions(F.col("len").desc(), F.col("vec_id")).select("vec_id", "v", "len").mapInArrow(chunks(CHUNK, False), schema)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int")).withColumn("stripe", every(stripes)).withColumn("longest", F.lit(float("inf")))
+    left = left.withColumn("spent", F.when(F.col("stripe") == 0, F.col("spent")).otherwise(F.lit(0)))  # counted once
     right = given.withColumn("stripe", F.pmod(F.xxhash64("ids"), F.lit(stripes)).cast("int")).withColumn("group", every(groups))
 
     def search(batches: Iterator) -> Iterator:
@@ -222,13 +234,13 @@ def searched(vectors: DataFrame, is_query: Column, k: int = 5) -> tuple[DataFram
                 ids = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
                 data = np.frombuffer(batch.column(4)[i].as_py(), np.int64).reshape(len(ids), dim)
                 if batch.column(2)[i].as_py() == float("inf"):
-                    tops.append(Top(ids, data, turn, k, np.frombuffer(batch.column(5)[i].as_py(), np.float64)))
+                    tops.append(Top(ids, data, turn, k, np.frombuffer(batch.column(5)[i].as_py(), np.float64), batch.column(6)[i].as_py()))
                 else:
                     for top in tops:
                         top.add(ids, data, turn)
         yield from out(tops)
 
-    names = ["group", "stripe", "longest", "ids", "data", "least"]
+    names = ["group", "stripe", "longest", "ids", "data", "least", "spent"]
     # a unit's queries come first: their "longest" is infinite
     dealt = left.select(*names).union(right.select(*names)).repartition(parts, "group", "stripe").sortWithinPartitions("group", "stripe", F.col("longest").desc())
     found = written(dealt.mapInArrow(search, "query_id long, vec_id long, score long, sums boolean"), "found")
