@@ -1,10 +1,10 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, large-star and small-star.
 
 Documents with the same shingle set are one text class, which has a signature of many minima. Classes that share a
-band's minima are a bucket; buckets with the same members are one. Links are looked for in rounds, and only between
-classes that are not connected yet, so a group of near copies costs its members and not their pairs: two star rounds
-compare every class of a bucket with one of them, drawn anew each time, then what is left unconnected in a bucket is
-compared in full, the few against all. Every candidate passes its signatures first and then its full shingle sets.
+band's minima are a bucket; buckets with the same members are one. A group of near copies costs its members and not
+their pairs: first every class of a bucket is compared with two of them, the bucket's centres, and then what that leaves
+unconnected in a bucket is compared in full, the few against all. Every candidate passes its signatures first and then
+its full shingle sets.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from quire.llm.nearjoin import gram_sets, keyed
 
 PERCENT, GRAM, HASHES = 80, 2, 200
 #: So many of a bucket's less common classes are held by a task, which streams so many others past them.
-FEW, MANY = 256, 4096
+FEW, MANY = 256, 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -110,10 +110,9 @@ def likely(pairs: DataFrame, alike: DataFrame, percent: int, agree: int, hashes:
                 same = (_matrix(batch.column(2), hashes) == _matrix(batch.column(3), hashes)).sum(1)
                 yield batch.select(["a", "b"]).filter(pa.array(same >= agree))
 
-    # signatures move only where sizes fit
-    sized = _fitting(alike.select("sig", "n"), alike.select("sig", "n"), pairs).filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-    both = _fitting(alike.select("sig", "marks"), alike.select("sig", "marks"), sized)
-    return both.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a binary, b binary")
+    both = _fitting(alike.select("sig", "n", "marks"), alike.select("sig", "n", "marks"), pairs)
+    sized = both.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return sized.select("a", "b", "marks_a", "marks_b").mapInArrow(run, "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,36 +148,84 @@ def shingle_sets(members: DataFrame, alike: DataFrame, docs: DataFrame, gram: in
     return texts.dropDuplicates(["sig"]).select("sig", "text").mapInArrow(run, "sig binary, grams binary")
 
 
-def star_candidates(members: DataFrame, labels: DataFrame | None, draw: int) -> DataFrame:
-    """Pairs (a, b): each class of a bucket with the bucket's centre, where they are not connected. The centre has the
-    smallest hash of this ``draw``, so a group has the same one in most of its buckets."""
-    rows = _labelled(members, labels)
-    centre = F.min(F.struct(F.xxhash64(F.lit(draw), "sig").alias("h"), "sig", "label")).alias("c")
-    centres = written(rows.groupBy("bucket").agg(centre), "centres")
-    pairs = rows.join(centres, "bucket").filter(F.col("label") != F.col("c.label"))
-    return pairs.select(F.least("sig", "c.sig").alias("a"), F.greatest("sig", "c.sig").alias("b")).distinct()
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, sig, label), a table."""
-    if labels is None:
-        return members.withColumn("label", F.col("sig"))
-    found = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
-    return written(found.select("bucket", "sig", F.coalesce("label", "sig").alias("label")), "labelled")
-
-
-def remaining_candidates(members: DataFrame, labels: DataFrame, alike: DataFrame, percent: int, agree: int, hashes: int) -> DataFrame:
-    """All pairs (a, b) of classes of a bucket that are not connected and whose sizes and signatures allow the
-    threshold: the classes outside the bucket's commonest component, in chunks, against all, in pieces."""
-    rows = _labelled(members, labels)
+def star_candidates(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): each class of a bucket with the bucket's two centres, those with the smallest hash of two draws, so
+    that a group has the same ones in most of its buckets and one odd class does not stand for all."""
+    centres = [F.min(F.struct(F.xxhash64(F.lit(draw), "sig").alias("h"), "sig")).alias(f"c{draw}") for draw in (0, 1)]
+    found = members.join(written(members.groupBy("bucket").agg(*centres), "centres"), "bucket")
+    pairs = found.select("sig", F.explode(F.array_distinct(F.array("c0.sig", "c1.sig"))).alias("c")).filter("sig <> c")
+    return pairs.select(F.least("sig", "c").alias("a"), F.greatest("sig", "c").alias("b")).distinct()
+
+
+def overlaps(few: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets of distinct hashes, as a product of matrices of 0 and 1, so many columns at a
+    time; columns are the hashes of ``few`` that ``others`` have too."""
+    flat = lambda sets: (np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+    (x, i), (y, j) = flat(few), flat(others)
+    known = np.unique(x)
+    at = np.searchsorted(known, y)
+    met = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == y)
+    used, at = np.unique(at[met], return_inverse=True)
+    j, place = j[met], np.full(len(known), -1)
+    place[used] = np.arange(len(used))
+    k = place[np.searchsorted(known, x)]
+    out = np.zeros((len(few), len(others)), np.int64)
+    for low in range(0, len(used), 4096):
+        left, right = (k >= low) & (k < low + 4096), (at >= low) & (at < low + 4096)
+        a, b = np.zeros((len(few), 4096), np.float32), np.zeros((len(others), 4096), np.float32)
+        a[i[left], k[left] - low] = 1
+        b[j[right], at[right] - low] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+class _Classes:
+    """Rows of a unit: their hashes, components, sizes, signatures, buckets and sets."""
+
+    def __init__(self, part, hashes: int):
+        self.sig, self.label = part.column(4).to_pylist(), np.array(part.column(5).to_pylist(), object)
+        self.n, self.marks = part.column(6).to_numpy(), _matrix(part.column(7), hashes)
+        self.buckets = part.column(8).flatten().to_numpy().reshape(len(self.sig), -1)
+        self.grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in part.column(9)]
+
+    def links(self, others: _Classes, bucket: int, percent: int, agree: int, met: set) -> list[tuple]:
+        """Of each class the first link to each other component, but those that are in ``met``."""
+        last = np.iinfo(np.int64).max
+        likely = np.zeros((len(self.sig), len(others.sig)), bool)
+        for i, n in enumerate(self.n):
+            fit = np.flatnonzero((np.minimum(others.n, n) * 100 >= np.maximum(others.n, n) * percent) & (others.label != self.label[i]))
+            fit = fit[(others.marks[fit] == self.marks[i]).sum(1) >= agree]
+            least = np.where(others.buckets[fit] == self.buckets[i], self.buckets[i], last).min(1, initial=last)
+            likely[i, fit[least == bucket]] = True
+        x, y = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
+        if not len(x):
+            return []
+        both = overlaps([self.grams[k] for k in x], [others.grams[k] for k in y])
+        linked = likely[np.ix_(x, y)] & (100 * both >= percent * (self.n[x, None] + others.n[None, y] - both))
+        out = []
+        for i, k in zip(*np.nonzero(linked), strict=True):
+            pair = self.sig[x[i]], others.label[y[k]]
+            if pair not in met:
+                met.add(pair)
+                out.append((pair[0], others.sig[y[k]]))
+        return out
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, alike: DataFrame, sets: DataFrame, percent: int, agree: int, hashes: int) -> DataFrame:
+    """Links (a, b) between classes of a bucket that are not connected: the classes outside the bucket's commonest
+    component, in chunks, against all, in pieces. A pair is compared in the least bucket that it shares, by sizes,
+    signatures and then full sets in the task, and of a class's links to one component the first is returned: rows
+    follow the classes, however many pairs are just below the threshold."""
+    rows = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
+    rows = written(rows.select("bucket", "sig", F.coalesce("label", "sig").alias("label")), "labelled")
     sizes = rows.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket")
     sizes = sizes.agg(F.max(F.struct("k", "label")).alias("big"), F.sum("k").alias("m"), F.count("*").alias("labels")).filter("labels > 1")
-    sizes = written(sizes.select("bucket", "big.label", "m", (F.col("m") - F.col("big.k")).alias("s")), "buckets").withColumnRenamed("label", "big")
-    rows = rows.join(sizes, "bucket").join(alike.select("sig", "n", "marks"), "sig")
+    sizes = written(sizes.select("bucket", F.col("big.label").alias("big"), "m", (F.col("m") - F.col("big.k")).alias("s")), "buckets")
+    rows = rows.join(sizes, "bucket").join(alike.select("sig", "n", "marks", "buckets"), "sig").join(sets, "sig")
     chunks, pieces = F.ceil(F.col("s") / FEW).cast("int"), F.ceil(F.col("m") / MANY).cast("int")
     mine = lambda k: F.pmod(F.xxhash64("sig"), k).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    rest = ["sig", "label", "n", "marks"]
+    rest = ["sig", "label", "n", "marks", "buckets", "grams"]
     few = rows.filter(F.col("label") != F.col("big")).select("bucket", mine(chunks).alias("chunk"), every(pieces).alias("piece"), F.lit(0).alias("side"), *rest)
     others = rows.select("bucket", every(chunks).alias("chunk"), mine(pieces).alias("piece"), F.lit(1).alias("side"), *rest)
     unit, parts = ["bucket", "chunk", "piece"], partitions(rows.sparkSession)
@@ -187,32 +234,28 @@ def remaining_candidates(members: DataFrame, labels: DataFrame, alike: DataFrame
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, held = None, []
+        key, held, met = None, [], set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             units = np.stack([batch.column(k).to_numpy() for k in range(4)])
             begins = np.concatenate(([0], np.flatnonzero((units[:, 1:] != units[:, :-1]).any(0)) + 1))
+            out = []
             for begin, end in zip(begins, np.append(begins[1:], batch.num_rows), strict=True):
-                this, side = tuple(units[:3, begin]), units[3, begin]
-                part = batch.slice(begin, end - begin)
-                rows = part.column(4).to_pylist(), np.array(part.column(5).to_pylist(), object), part.column(6).to_numpy(), _matrix(part.column(7), hashes)
-                if side == 0:  # the few of a unit come first, perhaps in several batches
-                    if this != key:
-                        key, held = this, []
-                    held.append(rows)
+                this = tuple(units[:3, begin])
+                if this != key:
+                    key, held, met = this, [], set()
+                if units[3, begin] == 0:  # the few of a unit come first, perhaps in several batches
+                    held.append(_Classes(batch.slice(begin, end - begin), hashes))
                     continue
-                out = []
-                for sigs, label, n, marks in held:
-                    for i in range(len(sigs)):
-                        fit = (rows[1] != label[i]) & (np.minimum(rows[2], n[i]) * 100 >= np.maximum(rows[2], n[i]) * percent)
-                        at = np.flatnonzero(fit)
-                        at = at[(rows[3][at] == marks[i]).sum(1) >= agree]
-                        out += [(min(sigs[i], rows[0][k]), max(sigs[i], rows[0][k])) for k in at]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                for at in range(begin, end, MANY):
+                    others = _Classes(batch.slice(at, min(MANY, end - at)), hashes)
+                    for few in held:
+                        out += few.links(others, this[0], percent, agree, met)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return work.mapInArrow(run, "a binary, b binary").distinct()
+    return work.mapInArrow(run, "a binary, b binary")
 
 
 def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -225,7 +268,7 @@ def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         # large-star: every larger neighbour of a node to the node's smallest
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "large")
         # small-star: every smaller neighbour of a node, and the node, to the smallest
         small = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = large.join(small, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -245,19 +288,13 @@ def link_classes(docs: DataFrame, alike: DataFrame, percent: int, gram: int, has
     agree = least_agreement(percent, hashes)
     members = written(shared_buckets(alike), "members")
     sets = written(shingle_sets(members, alike, docs, gram), "sets")
-    labels = None
-    for step in range(3):
-        if step < 2:
-            pairs = likely(written(star_candidates(members, labels, step), "pairs"), alike, percent, agree, hashes)
-        else:
-            pairs = remaining_candidates(members, labels, alike, percent, agree, hashes)
-        pairs = written(pairs, "likely")
-        if labels is not None and not pairs.take(1):
-            continue
-        links = written(confirmed(pairs, sets, percent), "links")
-        # a component of before is as good as its links
-        found = links if labels is None else links.union(labels.filter("node <> label"))
-        labels = written(stars(found), "components")
+    pairs = written(likely(written(star_candidates(members), "pairs"), alike, percent, agree, hashes), "likely")
+    links = written(confirmed(pairs, sets, percent), "links")
+    labels = written(stars(links), "components")
+    links = written(remaining_links(members, labels, alike, sets, percent, agree, hashes), "links")
+    if links.take(1):
+        # a component is as good as its links
+        labels = written(stars(links.union(labels.filter("node <> label"))), "components")
     dropped(sets)
     return labels
 

@@ -87,7 +87,7 @@ def test_what_stars_leave_is_compared_in_full(spark, monkeypatch):
     """Without star rounds that connect anything, the rest alone finds every link, in chunks and pieces."""
     monkeypatch.setattr(minhash, "FEW", 3)
     monkeypatch.setattr(minhash, "MANY", 5)
-    none = lambda members, labels, draw: members.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
+    none = lambda members: members.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
     monkeypatch.setattr(minhash, "star_candidates", none)
     rows = list(enumerate(near_texts(3)))
     got = Counter((r.doc_id, r.n_shingles, r.component_id, bool(r.kept)) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
@@ -103,7 +103,7 @@ def test_a_group_of_near_copies_costs_its_members(spark):
     signed = minhash.signatures(docs, *minhash.banding(), 2)
     alike = written(signed.select("sig", "key", F.col("doc_id").alias("least"), "n", "marks", "buckets"), "alike")
     members = written(minhash.shared_buckets(alike), "members")
-    assert minhash.star_candidates(members, None, 0).count() < 20 * 400
+    assert minhash.star_candidates(members).count() < 20 * 400
     labels = minhash.link_classes(docs, alike, 80, 2, 200)
     brute = Counter()
     for (_, _, component, _), n in brute_components(rows).items():
