@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,25 +77,26 @@ def token_texts(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_SEGMENT), F.lit(2))
 
 
-def running_totals(df: DataFrame, values: str, out: str) -> DataFrame:
-    """The array of ints ``values`` summed up to and with each place, without a shuffle; ``values`` goes. Sums grow
-    within blocks and over the blocks, of about the cube root of twice the length: n elements cost some n ** (4 / 3)."""
-    grown = lambda a, first: F.aggregate(a, F.array(first), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-    kept = [c for c in df.columns if c != values]
-    rows = df.withColumn("__size", F.greatest(F.ceil(F.cbrt(2 * F.size(values))).cast("int"), F.lit(1)))
-    n = F.ceil(F.size(values) / F.col("__size")).cast("int")
-    blocks = F.transform(F.sequence(F.lit(1), n), lambda b: F.slice(values, (b - 1) * F.col("__size") + 1, F.col("__size")))
-    rows = rows.select(*kept, F.when(F.size(values) > 0, blocks).otherwise(F.array().cast("array<array<int>>")).alias("__blocks"))
-    before = grown(F.transform("__blocks", lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)), F.lit(0))
-    rows = rows.select(*kept, "__blocks", F.slice(before, F.lit(1), F.size("__blocks")).alias("__before"))
-    sums = F.zip_with("__blocks", "__before", lambda a, first: F.slice(grown(a, first), F.lit(2), F.size(a)))
-    return rows.select(*kept, F.flatten(sums).alias(out))
+def running_totals(values: Column) -> Column:
+    """The array of ints ``values`` summed up to and with each place: one pass over the numbers of an Arrow batch, so
+    it is linear in a row's length and shuffles nothing. A null array stays null."""
+
+    @F.arrow_udf("array<int>")
+    def totals(lists: pa.Array) -> pa.Array:
+        flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        sums = np.concatenate(([0], np.cumsum(flat)))
+        begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        within = sums[1:] - np.repeat(sums[begins], ends - begins)
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(within.astype(np.int32)), mask=lists.is_null() if lists.null_count else None)
+
+    return totals(values)
 
 
 def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token_index, start_offset, end_offset, token_text, token_normalized), offsets half-open in code points."""
-    rows = df.select(key, F.transform(segments(F.col(text)), lambda s: F.char_length(s)).alias("__n"), token_texts(F.col(text)).alias("__t"))
-    rows = running_totals(rows, "__n", "__end")
+    ends = running_totals(F.transform(segments(F.col(text)), lambda s: F.char_length(s)))
+    rows = df.select(key, ends.alias("__end"), token_texts(F.col(text)).alias("__t"))
     rows = rows.select(key, F.posexplode(F.arrays_zip(F.col("__t").alias("t"), F.col("__end").alias("e"))).alias("token_index", "x"))
     rows = rows.select(key, "token_index", F.col("x.t").alias("token_text"), F.col("x.e").alias("end_offset"))
     return rows.select(key, "token_index", (F.col("end_offset") - F.char_length("token_text")).alias("start_offset"), "end_offset", "token_text", normalize(F.col("token_text")).alias("token_normalized"))

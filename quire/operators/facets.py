@@ -83,9 +83,9 @@ def list_filter(entries: DataFrame, sources: list[str] | None = None, active: bo
     return entries
 
 
-def facet(assertions: DataFrame, entries: DataFrame, kind: str, where: dict[str, str], stale: bool = False, payload: str = "payload", fk: str = "tei_entry_id", sources: list[str] | None = None, statuses: list[str] | None = None) -> DataFrame:
+def facet(assertions: DataFrame, entries: DataFrame, kind: str, where: dict[str, str], stale: bool = False, payload: str = "payload", fk: str = "tei_entry_id", sources: list[str] | None = None, statuses: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
     """Active entries with an assertion of a kind whose JSON payload has the given texts; of the given sources (of the
-    entry) and statuses (of the assertion) alone."""
+    entry) and statuses (of the assertion) alone. Each has the payload and the assertion's columns in ``keep``."""
     rows = assertions.filter(F.col("assertion_type") == kind)
     if statuses:
         rows = rows.filter(F.col("status").isin(*statuses))
@@ -95,7 +95,7 @@ def facet(assertions: DataFrame, entries: DataFrame, kind: str, where: dict[str,
         rows = rows.filter(~F.coalesce(F.col("is_stale"), F.lit(False)))
     for path, value in where.items():
         rows = rows.filter(F.get_json_object(payload, f"$.{path}") == value)
-    return rows.join(entries.filter("is_active"), F.col(fk) == F.col("id")).select(entries["*"], rows[payload])
+    return rows.join(entries.filter("is_active"), F.col(fk) == F.col("id")).select(entries["*"], rows[payload], *[rows[c] for c in keep or []])
 
 
 def facet_substance(entries: DataFrame, links: DataFrame, forms: DataFrame, lemmata: DataFrame, prefix: str) -> DataFrame:

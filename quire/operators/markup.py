@@ -143,10 +143,10 @@ def selection(xpath: str) -> tuple[str, str | None]:
     return found[1], found[3]
 
 
-def segments(docs: DataFrame, doc_id: str = "tei_doc_id", content: str = "content", unit: str = "div", leaf_type: str | None = None, allow_empty: bool = False, xpath: str | None = None) -> DataFrame:
+def segments(docs: DataFrame, doc_id: str = "tei_doc_id", content: str = "content", unit: str = "div", leaf_type: str | None = None, allow_empty: bool = False, xpath: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """All segments and findings of documents with markup. One document is one task's unit; order is kept in seq.
     ``xpath``, from a document's configuration, stands for unit and type; a document in which it selects nothing
-    has the finding zero_segments."""
+    has the finding zero_segments. Columns in ``keep`` go through with each of a document's rows."""
     if xpath is not None:
         unit, leaf_type = selection(xpath)
 
@@ -154,16 +154,22 @@ def segments(docs: DataFrame, doc_id: str = "tei_doc_id", content: str = "conten
         import pyarrow as pa
 
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(parse(name, data, unit, leaf_type, allow_empty))
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
+            rows, owner = [], []
+            for i, (name, data) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = [dict(zip(names, r, strict=True)) for r in parse(name, data, unit, leaf_type, allow_empty)]
+                rows += found
+                owner += [i] * len(found)
+            if rows:
+                columns = pa.RecordBatch.from_pylist(rows, schema=schema).columns
+                kept = [c.take(pa.array(owner)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*columns, *kept], names=[*names, *(keep or [])])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     kind = docs.sparkSession.createDataFrame([], SEGMENT).schema
     names, schema = kind.names, to_arrow_schema(kind)
-    return docs.select(F.col(doc_id).cast("string"), content).mapInArrow(run, SEGMENT)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep or [])
+    return docs.select(F.col(doc_id).cast("string"), content, *(keep or [])).mapInArrow(run, SEGMENT + kinds)
 
 
 def summary_ref(events, edition: str | None = None):

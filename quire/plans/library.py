@@ -361,9 +361,7 @@ WHERE e.event_type = 'click' AND json_extract_string(e.props, '$.k') = '7' AND c
 def facet_quality(spark, d):
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("assertion_type"), F.col("props").alias("payload"), F.col("user_id").alias("tei_entry_id"), F.lit(False).alias("is_stale"))
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name", (F.col("c_acctbal") > 0).alias("is_active"))
-    found = facets.facet(e, c.join(e.select("tei_entry_id").distinct(), F.col("id") == F.col("tei_entry_id"), "left_semi"), "click", {"k": "7"})
-    clicks = e.filter("assertion_type = 'click'").filter(F.get_json_object("payload", "$.k") == "7")
-    return clicks.join(found.select("id", "c_name").distinct(), F.col("tei_entry_id") == F.col("id")).select("event_id", "c_name")
+    return facets.facet(e, c, "click", {"k": "7"}, keep=["event_id"]).select("event_id", "c_name")
 
 
 @query("""
@@ -758,8 +756,8 @@ def tei_segments(spark, d):
     clean = F.regexp_replace(F.translate("text", "&<>", ""), "[\\x00-\\x08\\x0B-\\x1F]", "")
     xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div n="1"><div n="2" xml:id="s'), F.col("doc_id").cast("string"), F.lit('"><pb n="1"/>'), clean, F.lit("<note>left out</note></div></div></body></text></TEI>"))
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("tei_doc_id"), F.encode(xml, "UTF-8").alias("content"), clean.alias("raw"))
-    found = markup.segments(rows).filter("reading_text is not null").select("tei_doc_id", F.sha2("reading_text", 256).alias("reading_sha256"))
-    return rows.join(found, "tei_doc_id").select(F.col("tei_doc_id").cast("long").alias("doc_id"), "raw", "reading_sha256")
+    found = markup.segments(rows, keep=["raw"]).filter("reading_text is not null")
+    return found.select(F.col("tei_doc_id").cast("long").alias("doc_id"), "raw", F.sha2("reading_text", 256).alias("reading_sha256"))
 
 
 @query("""

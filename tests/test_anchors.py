@@ -129,3 +129,22 @@ def test_tokens_decide(spark):
     assert got == {"a": (7, 17, "agree"), "b": (0, 5, "moved"), "c": (0, 1, "lost"), "d": (0, 0, "lost"), "e": (0, 0, "lost")}
     cover = {r.id: (r.start_token, r.end_token, r.n_inside) for r in spans.covering_tokens(anchors, tokens, "doc", "id").collect()}
     assert cover == {"a": (1, 3, 2), "b": (0, 2, 1), "c": (0, 1, 0), "d": (None, None, 0), "e": (None, None, 0)}
+
+
+def test_running_totals(spark):
+    rows = [(1, [3, 1, 2]), (2, []), (3, None), (4, [5]), (5, list(range(50_000)))]
+    df = spark.createDataFrame(rows, "id int, x array<int>").repartition(2)
+    got = {r.id: r.y for r in df.select("id", text.running_totals(F.col("x")).alias("y")).collect()}
+    total = lambda x: None if x is None else [sum(x[: i + 1]) for i in range(min(len(x), 10))]
+    assert {i: y if y is None else y[:10] for i, y in got.items()} == {i: total(x) for i, x in rows}
+    assert got[5][-1] == sum(range(50_000))
+
+
+def test_segments_keep_columns(spark):
+    from quire.operators import markup
+
+    body = "<TEI><text><body><div xml:id='a'>one</div><div xml:id='b'>two</div></body></text></TEI>"
+    docs = spark.createDataFrame([("d", body, 7), ("e", "<broken", None), ("f", body, 9)], "tei_doc_id string, content string, extra int")
+    out = markup.segments(docs, keep=["extra"]).collect()
+    assert sorted((r.tei_doc_id, r.extra, r.reading_text) for r in out if r.reading_text) == [("d", 7, "one"), ("d", 7, "two"), ("f", 9, "one"), ("f", 9, "two")]
+    assert [(r.tei_doc_id, r.extra, r.severity) for r in out if r.severity == "error" and r.code.startswith("parse")] == [("e", None, "error")]
