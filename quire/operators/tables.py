@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.fingerprints import same_rows  # noqa: F401  # an operator of tables too
 from quire.storage import written
 
 
@@ -113,11 +114,6 @@ def top_groups(df: DataFrame, size: str, key: str, n: int = 20) -> DataFrame:
     return df.orderBy(F.col(size).desc(), F.col(key)).limit(n)
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two runs gave the same bag of rows."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
-
-
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """(node, ancestor, depth) over a tree's edges, to any depth, by joins that double the reach: log2(depth) rounds,
     each a table in the shared folder. A node that is its own ancestor raises an error."""

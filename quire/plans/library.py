@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quire import ship
 from quire.functions import cells, citations, jsonorder, text
-from quire.operators import anchoring, bucketed, checks, facets, linking, marginal, markup, mentions, reuse, sharing, spans, tables, trigrams
+from quire.operators import anchoring, bucketed, checks, facets, fingerprints, linking, marginal, markup, mentions, reuse, sharing, spans, tables, trigrams
 from quire.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -184,6 +184,18 @@ def upsert_merge(spark, d):
     return tables.upsert(target, batch, ["c_custkey"], [F.col("seq")])
 
 
+@query("""
+WITH a AS (SELECT l_orderkey, l_partkey, l_quantity FROM lineitem),
+b AS (SELECT l_orderkey, l_partkey, CASE WHEN l_orderkey % 97 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity FROM lineitem WHERE l_partkey % 101 <> 0),
+d AS (SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+SELECT l_orderkey, l_partkey, l_quantity, side, count(*) AS n FROM d GROUP BY 1, 2, 3, 4""")
+def bag_differences(spark, d):
+    a = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    more = F.when(F.col("l_orderkey") % 97 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    b = a.filter("l_partkey % 101 <> 0").withColumn("l_quantity", more)
+    return fingerprints.differences(a, b, ["l_orderkey"])
+
+
 def _bucketed(spark, target, by, name):
     """A bucketed table in the shared folder that holds ``target``."""
     made = bucketed.BucketedTable.create(spark, f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex}", target.schema, by, 16)
