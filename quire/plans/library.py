@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quire import ship
 from quire.functions import cells, citations, jsonorder, text
 from quire.operators import anchoring, bucketed, checks, facets, fingerprints, linking, marginal, markup, mentions, reuse, sharing, spans, tables, trigrams
+from quire.sources import readers, sinks
 from quire.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1024,4 +1025,96 @@ def validation_rules(spark, d):
     parts = s.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("part_id"))
     links = s.select(F.col("s_suppkey").cast("string").alias("prep_id"))
     found, _ = checks.validate(entries, lemmata, parts, links.filter(F.col("prep_id").cast("int") < 50), links)
-    return spark.createDataFrame([(rule, float(n)) for rule, n in found.items()], "rule string, n double")
\ No newline at end of file
+    return spark.createDataFrame([(rule, float(n)) for rule, n in found.items()], "rule string, n double")
+
+
+# ---- files and cells --------------------------------------------------------------------------
+
+
+def _fresh(spark, name):
+    return f"{shared_folder(spark)}/quire/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(source, '') AS source FROM documents")
+def csv_round_trip(spark, d):
+    path = _fresh(spark, "csv")
+    sinks.csv(table(spark, d, "documents").select("doc_id", "text", "source"), path, ["doc_id"])
+    return readers.csv(spark, path, ["doc_id", "text"]).select("doc_id", F.sha2("text", 256).alias("text_sha256"), "source")
+
+
+@query("""
+WITH l AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n % 5 = 0 THEN NULL ELSE sha256(text) END AS text_sha256, CASE WHEN n % 5 = 0 THEN 'invalid_json' END AS error, count(*) AS n FROM (SELECT n, CASE WHEN n % 5 <> 0 THEN conv_id END AS conv_id, CASE WHEN n % 5 <> 0 THEN turn END AS turn, text FROM l) GROUP BY 1, 2, 3, 4""")
+def json_lines_round_trip(spark, d):
+    """Every fifth line is cut off, so that it does not parse."""
+    rows, path = table(spark, d, "conversations").select("conv_id", "turn", "text"), _fresh(spark, "lines")
+    sinks.json_lines(rows, f"{path}/whole", ["conv_id", "turn"])
+    lines = tables.batches(rows, [F.col("conv_id"), F.col("turn")], 1).select((F.col("batch_id") + 1).alias("n"), F.to_json(F.struct("conv_id", "turn", "text")).alias("value"))
+    whole = spark.read.text(f"{path}/whole").join(lines.filter("n % 5 <> 0"), "value", "left_semi").union(lines.filter("n % 5 = 0").select(F.left("value", F.lit(9))))
+    whole.write.text(f"{path}/cut")
+    read = readers.json_lines(spark, f"{path}/cut", "conv_id long, turn long, text string, _corrupt string")
+    return read.groupBy("conv_id", "turn", F.sha2("text", 256).alias("text_sha256"), "error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id % 10 > 1")
+def id_list_round_trip(spark, d):
+    ids, path = F.col("doc_id"), _fresh(spark, "ids")
+    line = F.when(ids % 10 == 0, F.concat(F.lit("# "), ids.cast("string"))).when(ids % 10 == 1, "  ").otherwise(F.concat(F.lit("  "), ids.cast("string"), F.lit(" ")))
+    table(spark, d, "documents").select(line.alias("value")).write.text(path)
+    return readers.id_list(spark, path).select("id")
+
+
+@query("""SELECT 'count.nation' AS key, (SELECT count(*) FROM nation)::VARCHAR AS value UNION ALL SELECT 'count.orders', (SELECT count(*) FROM orders)::VARCHAR UNION ALL SELECT 'run', 'r1'
+UNION ALL SELECT 'nation.' || n_nationkey, n_name FROM nation""")
+def export_bundle(spark, d):
+    path, nation = _fresh(spark, "bundle"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    sinks.bundle({"nation": (nation, ["n_nationkey"]), "orders": (table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])}, path, {"run": "r1"})
+    rows = spark.read.schema("n_nationkey int, n_name string").json(f"{path}/nation")
+    return spark.read.schema("key string, value string").json(f"{path}/meta").union(rows.select(F.concat(F.lit("nation."), F.col("n_nationkey").cast("string")), "n_name"))
+
+
+@query(f"SELECT doc_id, source, left({NORM}, 512) AS prefix FROM documents WHERE starts_with(left({NORM}, 512), 'the th') ORDER BY source, doc_id LIMIT 100")
+def prefix_search_stored(spark, d):
+    path = _fresh(spark, "prefix")
+    sinks.stored_prefix(table(spark, d, "documents"), path, "text")
+    return facets.search(spark.read.parquet(path), " Thé  TH", ["source", "doc_id"]).select("doc_id", "source", "prefix")
+
+
+@query(f"SELECT doc_id, sha256({NORM}) AS normalized_sha256, sha256(trim(regexp_replace(coalesce(text, ''), '[\\s\\x{{00A0}}]+', ' ', 'g'))) AS squashed_sha256 FROM documents")
+def legacy_normalization(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.normalize(t, "1.0"), 256).alias("normalized_sha256"), F.sha2(text.squash(t), 256).alias("squashed_sha256"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, replace(coalesce(text, ''), 'qu', 'q-' || chr(10) || '  u') AS t FROM conversations)
+SELECT conv_id, turn, sha256(regexp_replace(t, '(\p{L})-\s*\n\s*(\p{L})', '\1\2', 'g')) AS joined_sha256 FROM t""")
+def dehyphenated(spark, d):
+    cut = F.replace(F.coalesce(F.col("text"), F.lit("")), F.lit("qu"), F.lit("q-\n  u"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sha2(text.dehyphenate(cut), 256).alias("joined_sha256"))
+
+
+@query(r"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_orderkey || '.' || l_linenumber || CASE l_partkey % 4 WHEN 0 THEN '.t.1' WHEN 1 THEN ' x' WHEN 2 THEN ':' || l_suppkey ELSE '.' END AS ref FROM lineitem),
+m AS (SELECT *, regexp_full_match(trim(ref), '[0-9]([0-9.:,t]*[0-9])?') AND contains(ref, '.') AS is_marker FROM r)
+SELECT l_orderkey, l_linenumber, ref, is_marker, is_marker AND contains(ref, '.t.') AS is_title, regexp_replace(ref, '\.[^.]*$', '') AS head, try_cast(regexp_extract(ref, '([^.]*)$', 1) AS INTEGER) AS number FROM m""")
+def marker_lines(spark, d):
+    tail = F.when(F.col("l_partkey") % 4 == 0, ".t.1").when(F.col("l_partkey") % 4 == 1, " x").when(F.col("l_partkey") % 4 == 2, F.concat(F.lit(":"), F.col("l_suppkey").cast("string"))).otherwise(".")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), tail).alias("ref"))
+    head, number = citations.entry_key(F.col("ref"))
+    return rows.select("*", citations.is_marker(F.col("ref")).alias("is_marker"), citations.is_title_marker(F.col("ref")).alias("is_title"), head.alias("head"), number.alias("number"))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE (l_orderkey % 7)::VARCHAR END AS book, CASE l_partkey % 5 WHEN 0 THEN 'PR' WHEN 1 THEN '' ELSE (l_partkey % 5)::VARCHAR END AS chapter,
+  CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE ' ' || l_suppkey % 3 END AS section FROM lineitem),
+c AS (SELECT *, array_to_string(list_filter([book, chapter, trim(coalesce(section, ''))], lambda x: x <> ''), '.') AS dotted FROM p)
+SELECT l_orderkey, l_linenumber, CASE WHEN dotted = '' THEN 'row' || l_linenumber ELSE dotted END AS legacy,
+  CASE WHEN chapter = 'PR' AND book = '' THEN 'prooimion' WHEN chapter = 'PR' THEN book || '.prooimion' WHEN dotted = '' THEN 'row' || l_linenumber ELSE dotted END AS ref FROM c""")
+def refs_from_parts(spark, d):
+    book = F.when(F.col("l_orderkey") % 7 == 0, "").otherwise((F.col("l_orderkey") % 7).cast("string"))
+    chapter = F.when(F.col("l_partkey") % 5 == 0, "PR").when(F.col("l_partkey") % 5 == 1, "").otherwise((F.col("l_partkey") % 5).cast("string"))
+    section = F.when(F.col("l_suppkey") % 3 != 0, F.concat(F.lit(" "), (F.col("l_suppkey") % 3).cast("string")))
+    none, row = F.lit(None).cast("string"), F.col("l_linenumber")
+    made = lambda legacy: cells.build_ref(legacy, book, chapter, section, none, none, none, row)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", made(True).alias("legacy"), made(False).alias("ref"))
