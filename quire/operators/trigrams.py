@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A task turns so many rows into postings at a time.
-ROWS = 200
+from quire.storage import dropped, written
+
+#: A task turns so many rows into postings at a time; a posting row has at most so many keys.
+ROWS = 1000
 #: A search intersects the postings of so many of its trigrams, the rarest.
 RAREST = 4
 #: Up to so many candidates are looked up by their keys, which a scan takes as a filter; more are joined.
@@ -21,9 +24,9 @@ def trigrams(text: str | None) -> set[str]:
 
 
 def build(df: DataFrame, key: str, columns: list[str], path: str) -> None:
-    """Writes the index of the lower-cased text columns: ``postings`` (trigram, key), in order, and ``frequency``
-    (trigram, n). Rows are dealt by ranges of trigram and key, so a trigram of most rows takes several files. Rows of a
-    null key are left out."""
+    """Writes the index of the lower-cased text columns: ``postings`` (trigram, keys), in order, a row for the keys of a
+    run of ROWS rows, and ``frequency`` (trigram, n). Posting rows are dealt by ranges of trigram and first key, so a
+    trigram of most rows takes several files. Rows of a null key are left out."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -31,15 +34,22 @@ def build(df: DataFrame, key: str, columns: list[str], path: str) -> None:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                found = [set().union(*map(trigrams, row)) for row in zip(*[c.to_pylist() for c in part.columns[1:]], strict=True)]
-                keys = part.column(0).take(pa.array([i for i, grams in enumerate(found) for _ in grams], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([g for grams in found for g in grams], pa.string()), keys], names=["trigram", "key"])
+                places: dict[str, list[int]] = {}
+                for i, row in enumerate(zip(*[c.to_pylist() for c in part.columns[1:]], strict=True)):
+                    for gram in set().union(*map(trigrams, row)):
+                        places.setdefault(gram, []).append(i)
+                ends = pa.array([0, *accumulate(map(len, places.values()))], pa.int32())
+                keys = part.column(0).take(pa.array(list(chain.from_iterable(places.values())), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(places), pa.string()), pa.ListArray.from_arrays(ends, keys)], names=["trigram", "keys"])
 
     rows = df.filter(F.col(key).isNotNull()).select(key, *[F.lower(F.col(c)) for c in columns])
-    rows = rows.mapInArrow(run, f"trigram string, key {df.schema[key].dataType.simpleString()}")
-    rows.repartitionByRange("trigram", "key").sortWithinPartitions("trigram", "key").write.parquet(f"{path}/postings")
+    # a table, as dealing by ranges reads its rows twice
+    rows = written(rows.mapInArrow(run, f"trigram string, keys array<{df.schema[key].dataType.simpleString()}>"), "postings")
+    order = "trigram", F.col("keys")[0]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/postings")
+    dropped(rows)
     stored = df.sparkSession.read.parquet(f"{path}/postings")
-    counts = stored.groupBy("trigram").agg(F.count("*").alias("n"))
+    counts = stored.groupBy("trigram").agg(F.sum(F.size("keys")).alias("n"))
     counts.repartitionByRange("trigram").sortWithinPartitions("trigram").write.parquet(f"{path}/frequency")
 
 
@@ -52,9 +62,9 @@ def candidates(spark: SparkSession, path: str, needle: str) -> DataFrame | None:
     found = spark.read.parquet(f"{path}/frequency").filter(F.col("trigram").isin(grams)).collect()
     postings = spark.read.parquet(f"{path}/postings")
     if len(found) < len(grams):
-        return postings.select("key").limit(0)
+        return postings.select(F.explode("keys").alias("key")).limit(0)
     rarest = [r.trigram for r in sorted(found, key=lambda r: (r.n, r.trigram))[:RAREST]]
-    rows = postings.filter(F.col("trigram").isin(rarest))
+    rows = postings.filter(F.col("trigram").isin(rarest)).select("trigram", F.explode("keys").alias("key"))
     if len(rarest) == 1:
         return rows.select("key").distinct()
     return rows.groupBy("key").agg(F.count_distinct("trigram").alias("m")).filter(F.col("m") == len(rarest)).select("key")

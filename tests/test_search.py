@@ -49,7 +49,7 @@ def test_candidates_are_read_by_their_keys(spark, index, tmp_path):
 
 
 def test_postings_are_in_order(spark, index):
-    rows = [tuple(r) for r in spark.read.parquet(f"{index[1]}/postings").collect()]
+    rows = [(r.trigram, k) for r in spark.read.parquet(f"{index[1]}/postings").collect() for k in r["keys"]]
     assert len(rows) == len(set(rows)) + len(trigrams.trigrams("wine"))  # id 202 is there twice
     counts = {r.trigram: r.n for r in spark.read.parquet(f"{index[1]}/frequency").collect()}
     assert counts == Counter(g for g, _ in rows)
