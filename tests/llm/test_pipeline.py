@@ -64,7 +64,7 @@ def test_empty_corpus(spark, tmp_path):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.queries()} and {"pipeline"} <= names
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.queries()} and {"pipeline"} <= names
     assert set(queries.oracle_sql()) <= names
 
 
