@@ -72,9 +72,11 @@ def canonical_ids(lemmata: DataFrame) -> DataFrame:
     return rows.groupBy(F.trim("headword_normalized").alias("norm")).agg(F.min_by("lemma_id", F.struct(id_order(F.col("lemma_id")), "lemma_id")).alias("canonical_id"))
 
 
-def clusters(lemmata: DataFrame) -> DataFrame:
-    """Headwords that several ids share: canonical_lemma_id, headword_normalized, member_lemma_ids, n_members."""
-    by = F.sort_array(F.collect_list(F.struct(id_order(F.col("lemma_id")).alias("o"), "lemma_id")))
+def clusters(lemmata: DataFrame, order: str | None = None) -> DataFrame:
+    """Headwords that several ids share: canonical_lemma_id, headword_normalized, member_lemma_ids, n_members.
+
+    Members stand by the column ``order`` (ids cut to a fixed width do not tell their own), else by their numbers."""
+    by = F.sort_array(F.collect_list(F.struct((F.col(order) if order else id_order(F.col("lemma_id"))).alias("o"), "lemma_id")))
     rows = lemmata.filter(F.coalesce(F.trim("headword_normalized"), F.lit("")) != "").groupBy("headword_normalized").agg(by.alias("m")).filter(F.size("m") > 1)
     return rows.select(F.col("m")[0]["lemma_id"].alias("canonical_lemma_id"), "headword_normalized", F.array_join(F.transform("m", lambda x: x["lemma_id"]), ",").alias("member_lemma_ids"), F.size("m").alias("n_members"))
 

@@ -156,8 +156,9 @@ def link_explode_primary(spark, d):
 WITH l AS (SELECT 'L' || lpad(p_partkey::VARCHAR, 6, '0') AS lemma_id, p_partkey, strip_accents(lower(p_name)) AS h FROM part)
 SELECT arg_min(lemma_id, p_partkey) AS canonical_lemma_id, h AS headword_normalized, string_agg(lemma_id, ',' ORDER BY p_partkey) AS member_lemma_ids, count(*)::INTEGER AS n_members FROM l GROUP BY h HAVING count(*) > 1""")
 def canonical_clusters(spark, d):
-    rows = table(spark, d, "part").select(F.concat(F.lit("L"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("lemma_id"), text.normalize(F.col("p_name")).alias("headword_normalized"))
-    return linking.clusters(rows)
+    """Keys of seven digits lose the last in an id, so members go by key."""
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("L"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("lemma_id"), text.normalize(F.col("p_name")).alias("headword_normalized"))
+    return linking.clusters(rows, "p_partkey")
 
 
 @query("""
