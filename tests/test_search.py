@@ -89,3 +89,41 @@ def test_a_headword_of_all_entries_makes_no_pairs(spark):
 
 def test_sharing_of_no_links(spark):
     assert sharing.sharing(spark.createDataFrame([], "entry int, head string"), "entry", "head").collect() == []
+
+
+@pytest.mark.parametrize(("wide", "heavy", "pairs", "columns", "rounds"), [(3, 5, 1 << 20, 4096, 3), (128, 1000, 7, 2, 1), (1, 1000, 50, 4096, 2), (5, 12, 50, 3, 4)])
+def test_sharing_in_any_division(spark, monkeypatch, wide, heavy, pairs, columns, rounds):
+    for name, value in (("WIDE", wide), ("PAIRS", pairs), ("COLUMNS", columns), ("ROUND", 0), ("ROUNDS", rounds)):
+        monkeypatch.setattr(sharing, name, value)
+    rng = random.Random(wide)
+    links = [(f"e{e}", f"h{int(rng.paretovariate(0.7)) % 40}") for e in range(60) for _ in range(rng.randrange(9))]
+    links += [(f"e{e}", f"same{k}") for e in range(50, 60) for k in range(4)] + [(f"e{e}", "everywhere") for e in range(0, 60, 2)]
+    got = sorted(tuple(r) for r in sharing.sharing(spark.createDataFrame(links, "entry string, head string"), "entry", "head", 3, heavy).collect())
+    assert got == brute(links)
+
+
+def test_postings_over_arrow_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        links = [(e, h) for e in range(40) for h in (e % 2, 2 + e // 3, 100 + e // 20, 1000 + e)]
+        got = sorted(tuple(r) for r in sharing.sharing(spark.createDataFrame(links, "entry int, head int"), "entry", "head").collect())
+        assert got == brute(links)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def shuffled(spark) -> int:
+    """Rows that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_pairs_of_a_light_headword_are_not_shuffled(spark):
+    """Ten headwords of 400 entries each: 1.6 million pairs, of which three an entry are needed."""
+    links = spark.range(4000).selectExpr("id AS entry", "id % 10 AS head").union(spark.range(4000).selectExpr("id", "100 + id div 20"))
+    before = shuffled(spark)
+    got = sharing.sharing(links, "entry", "head").collect()
+    assert shuffled(spark) - before < 100_000
+    assert sorted((r.b, r.n_shared) for r in got if r.a == 2013) == [(3, 1), (13, 1), (2003, 2)]
