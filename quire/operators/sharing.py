@@ -18,6 +18,8 @@ BLOCK = 1024
 WIDE = 128
 #: Pairs that a task holds at once, and columns of a matrix.
 PAIRS, COLUMNS = 1 << 20, 4096
+#: What may be broadcast, in rows of the heavy headwords or of the sets' nearest entries; tables of entries never are.
+SMALL = 20_000
 #: Of more headwords sent along than this, and their results, a quarter of the postings and entries is shuffled at a time.
 ROUND, ROUNDS = 1 << 24, 4
 
@@ -28,6 +30,11 @@ def _first(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:
     return rows.withColumn("__k", rank).filter(F.col("__k") <= most).drop("__k")
 
 
+def _beside(table: DataFrame, n: int) -> DataFrame:
+    """The right side of a join, broadcast by its rows: compressed files are no measure of what a driver holds."""
+    return F.broadcast(table) if n <= SMALL else table.hint("merge")
+
+
 def _in_rounds(rows: DataFrame, by: str, n: int, work: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """What ``work`` makes of rows, whose groups ``by`` it keeps apart: written for one share of them after the other, so
     shuffle files of one share are there at a time."""
@@ -196,7 +203,7 @@ def sharing(links: DataFrame, entry: str, lemma: str, most: int = 3, heavy: int
     n_hot = hot.count()
     entries = sets.filter("not wide").select("a", "wide", F.col("heads").alias("light"), F.array().cast("array<bigint>").alias("heavy"))
     if n_hot:
-        marked = rows.join(hot.withColumn("hot", F.lit(True)), "h", "left")
+        marked = rows.join(_beside(hot.withColumn("hot", F.lit(True)), n_hot), "h", "left")
         some = lambda which: F.sort_array(F.collect_list(F.when(which, F.col("h"))))
         entries = written(marked.groupBy("a", "wide").agg(some(F.expr("hot is null and not wide")).alias("light"), some(F.col("hot")).alias("heavy")), "entries")
     narrow = entries.filter("not wide")
@@ -207,10 +214,10 @@ def sharing(links: DataFrame, entry: str, lemma: str, most: int = 3, heavy: int
     best = lambda pairs: _first(pairs.repartition("a").groupBy("a", "b").agg(F.max("n").alias("n")), "a", [F.col("n").desc(), "b"], most)
     met = [_in_rounds(postings, "h", rounds, lambda some: _within(some.select("h", "a", rest), most), "near")]
     if sets.filter("wide").take(1):
-        light = rows.join(hot, "h", "left_anti")
-        pairs = light.filter("wide").select("h", "a").join(light.select("h", F.col("a").alias("b")), "h").filter("a <> b").groupBy("a", "b").agg(F.count("*").cast("int").alias("n"))
+        light = rows.join(_beside(hot, n_hot), "h", "left_anti")
+        pairs = light.filter("wide").select("h", "a").join(light.select("h", F.col("a").alias("b")).hint("merge"), "h").filter("a <> b").groupBy("a", "b").agg(F.count("*").cast("int").alias("n"))
         if n_hot:
-            side = lambda c: entries.select(F.col("a").alias(c), F.col("heavy").alias(f"heavy_{c}"))
+            side = lambda c: entries.select(F.col("a").alias(c), F.col("heavy").alias(f"heavy_{c}")).hint("merge")
             pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n") + F.size(F.array_intersect("heavy_a", "heavy_b"))).alias("n"))
         both = F.explode(F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))).alias("p")
         met.append(written(best(pairs.select(both).select("p.*")), "wide"))
@@ -221,7 +228,7 @@ def sharing(links: DataFrame, entry: str, lemma: str, most: int = 3, heavy: int
         n_sets = few.count()
         # an entry may be among the nearest of its own set
         nearest = written(_nearest(few, n_sets, most + 1), "nearest")
-        near = heads.select("a", "s").join(nearest, "s").filter("a <> b")
+        near = heads.select("a", "s").join(_beside(nearest, n_sets * (most + 1)), "s").filter("a <> b")
         met.append(near.select("a", "b", F.col("n").cast("int")))
     out = _in_rounds(reduce(DataFrame.union, met), "a", rounds, best, "best")
     return out.select("a", "b", F.col("n").cast("long").alias("n_shared"))

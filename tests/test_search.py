@@ -93,7 +93,7 @@ def test_sharing_of_no_links(spark):
 
 @pytest.mark.parametrize(("wide", "heavy", "pairs", "columns", "rounds"), [(3, 5, 1 << 20, 4096, 3), (128, 1000, 7, 2, 1), (1, 1000, 50, 4096, 2), (5, 12, 50, 3, 4)])
 def test_sharing_in_any_division(spark, monkeypatch, wide, heavy, pairs, columns, rounds):
-    for name, value in (("WIDE", wide), ("PAIRS", pairs), ("COLUMNS", columns), ("ROUND", 0), ("ROUNDS", rounds)):
+    for name, value in (("WIDE", wide), ("PAIRS", pairs), ("COLUMNS", columns), ("ROUND", 0), ("ROUNDS", rounds), ("SMALL", 3)):
         monkeypatch.setattr(sharing, name, value)
     rng = random.Random(wide)
     links = [(f"e{e}", f"h{int(rng.paretovariate(0.7)) % 40}") for e in range(60) for _ in range(rng.randrange(9))]
@@ -127,3 +127,13 @@ def test_pairs_of_a_light_headword_are_not_shuffled(spark):
     got = sharing.sharing(links, "entry", "head").collect()
     assert shuffled(spark) - before < 100_000
     assert sorted((r.b, r.n_shared) for r in got if r.a == 2013) == [(3, 1), (13, 1), (2003, 2)]
+
+
+def test_entries_are_not_broadcast(spark):
+    """A table of 150,000 entries with their heavy headwords is small in a file and large in a driver."""
+    links = spark.range(150_000).selectExpr("id AS entry", "explode(array(repeat('a', 90), repeat('b', 90), repeat('c', 90), concat('h', id div 2))) AS head")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")
+    try:
+        assert sharing.sharing(links, "entry", "head", 3, heavy=100).filter("n_shared = 4").count() == 150_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
